@@ -70,6 +70,17 @@ def pick(values: Sequence[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index)
 
 
+def computed_once(df: DataFrame, name: str) -> DataFrame:
+    """Keep an expensive column from being copied into later filters.
+
+    Spark pushes a filter below a projection by substituting the expression,
+    so a filter on a long CASE would evaluate it twice and blow up planning.
+    A generator is a boundary that filters do not cross.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(F.col(name))).alias(name))
+
+
 def cut_text(c: Column, limit: int, keep: int, tail: str = "...") -> Column:
     """Text longer than ``limit`` becomes its first ``keep`` characters and ``tail``."""
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, keep), F.lit(tail))).otherwise(c)

@@ -48,9 +48,14 @@ def migrate_text_time(text: Column, inserted_at: Column) -> Column:
     return F.when(looks_iso, F.coalesce(text.try_cast("timestamp"), inserted_at)).otherwise(inserted_at)
 
 
+def whole_division(a: Column, b: int) -> Column:
+    """Floor of ``a / b`` for whole numbers, exact."""
+    return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("bigint")
+
+
 def bucket(ts: Column | str, seconds: int) -> Column:
     """Number of the ``seconds``-wide epoch bucket that holds ``ts``."""
-    return F.floor(F.unix_micros(as_timestamp(ts)) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return whole_division(micros(ts), seconds * 1_000_000)
 
 
 def bucket_start(number: Column | str, seconds: int) -> Column:

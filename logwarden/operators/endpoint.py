@@ -13,7 +13,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import field, has, pick
+from logwarden.functions.text import computed_once, field, has, pick
 from logwarden.operators import endpoint_rules as R
 
 _POSITION = {rule.rule_id: i + 1 for i, rule in enumerate(R.ALL_RULES)}
@@ -144,7 +144,7 @@ def detect_endpoint(df: DataFrame, mode: str = "reference") -> DataFrame:
         ],
     )
     e = SimpleNamespace(mode=mode, **{key: F.col(_WORK + key) for key in _INPUTS})
-    numbered = staged.withColumn(_WORK + "n", rule_number(e))
+    numbered = computed_once(staged.withColumn(_WORK + "n", rule_number(e)), _WORK + "n")
     n = F.col(_WORK + "n")
     return numbered.select(*base, *_verdict(n, e))
 

@@ -7,7 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import field, has, pick, to_long
+from logwarden.functions.text import computed_once, field, has, pick, to_long
 
 # Ports and service names.
 C2_PORTS = ["4444", "4445", "5555", "6666", "7777", "1337", "31337", "9001", "9030", "6667", "6697"]
@@ -67,7 +67,7 @@ def detect_firewall(df: DataFrame) -> DataFrame:
         .otherwise(0)
     )
     base = [c for c in df.columns if c not in VERDICT_COLUMNS]
-    numbered = df.select(*base, number.alias("__fw_n"))
+    numbered = computed_once(df.select(*base, number.alias("__fw_n")), "__fw_n")
     n = F.col("__fw_n")
     level = (
         F.when((n == 1) & (F.lower(e.severity) == "critical"), "CRITICAL")
