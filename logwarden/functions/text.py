@@ -67,7 +67,8 @@ def any_true(conditions: Sequence[Column]) -> Column:
 
 def pick(values: Sequence[str], index: Column) -> Column:
     """``values[index]`` with 1-based ``index``; the list folds to one literal."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index)
+    separator = "\x1f"
+    return F.element_at(F.split(F.lit(separator.join(values)), separator), index)
 
 
 def computed_once(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import to_long
+from logwarden.functions.text import any_true, to_long
 from logwarden.functions.times import as_timestamp, bucket, iso_text, micros, whole_division
 
 WINDOW_SECONDS = 600
@@ -38,35 +38,38 @@ INCIDENT_COLUMNS = [
 def interval_join(
     left: DataFrame,
     right: DataFrame,
-    before: int,
-    after: int,
+    before: Column | int,
+    after: Column | int,
     width: int = WINDOW_SECONDS,
     salt: int = 1,
 ) -> DataFrame:
     """Pairs with equal ``key`` and ``right.ts - left.ts`` in [-before, after] seconds.
 
     Both sides need ``key`` and ``ts``; the other column names must differ.
-    The left side should be the smaller one: it is copied per bucket and salt.
+    ``before`` and ``after`` may be columns of the left side.  The left side
+    should be the smaller one: it is copied per bucket and salt.
     """
-    first = whole_division(micros("ts") - F.lit(before * 1_000_000), width * 1_000_000)
-    last = whole_division(micros("ts") + F.lit(after * 1_000_000), width * 1_000_000)
-    spread = left.withColumn("__cell", F.explode(F.sequence(first, last))).withColumnRenamed("ts", "__left_ts")
-    cells = right.withColumn("__cell", bucket("ts", width))
+    micro = F.lit(1_000_000).cast("bigint")
+    low = micros("ts") - (F.lit(before) if isinstance(before, int) else before) * micro
+    high = micros("ts") + (F.lit(after) if isinstance(after, int) else after) * micro
+    spread = (
+        left.select("*", low.alias("__low"), high.alias("__high"))
+        .withColumn("__cell", F.explode(F.sequence(
+            whole_division(F.col("__low"), width * 1_000_000), whole_division(F.col("__high"), width * 1_000_000))))
+        .withColumnRenamed("ts", "left_ts")
+    )
+    cells = right.withColumn("__cell", bucket("ts", width)).withColumnRenamed("ts", "right_ts")
     on = ["key", "__cell"]
     if salt > 1:
         spread = spread.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        others = [c for c in right.columns if c != "key"]
-        cells = cells.withColumn("__salt", F.pmod(F.xxhash64(*others), F.lit(salt)).cast("int"))
+        others = [c for c in right.columns if c not in ("key", "ts")]
+        cells = cells.withColumn("__salt", F.pmod(F.xxhash64("right_ts", *others), F.lit(salt)).cast("int"))
         on.append("__salt")
-    distance = micros("ts") - micros("__left_ts")
-    joined = spread.join(cells, on).filter(
-        distance.between(F.lit(-before * 1_000_000), F.lit(after * 1_000_000))
+    return (
+        spread.join(cells, on)
+        .filter(micros("right_ts").between(F.col("__low"), F.col("__high")))
+        .drop("__cell", "__salt", "__low", "__high")
     )
-    return joined.drop("__cell", "__salt").withColumnRenamed("ts", "right_ts").withColumnRenamed("__left_ts", "left_ts")
-
-
-def _side(events: DataFrame, prefix: str, columns: list[str], key: Column) -> DataFrame:
-    return events.select(key.alias("key"), "ts", *[F.col(c).alias(prefix + c) for c in columns])
 
 
 def _between(events: DataFrame, as_of: dt.datetime | None) -> DataFrame:
@@ -96,109 +99,161 @@ def incident_key(kind: Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", kind, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def _incident(pairs: DataFrame, kind: str, severity: str, confidence: str, ip: Column, techniques: Column,
-              description: Column, firewall_first: bool = False) -> DataFrame:
+_W = ["id", "src_ip", "dst_ip", "agent_host", "mitre_technique", "event_details", "logon_type"]
+_F = ["id", "src_ip", "dst_ip", "dst_port", "mitre_technique", "event_details", "sent_bytes"]
+
+C2 = "C2_BEACON_CONFIRMED"
+EXFIL = "CRED_DUMP_THEN_EXFIL"
+LATERAL = "LATERAL_MOVEMENT_CONFIRMED"
+BYPASS = "FIREWALL_BYPASS_SUSPECTED"
+PAIR_RULES = [C2, EXFIL, LATERAL, BYPASS]
+
+
+def _endpoint_tests() -> dict[str, Column]:
+    technique, ip = F.col("mitre_technique"), F.col("src_ip")
+    logon = F.col("event_id") == "4624"
+    return {
+        C2: (technique.contains("T1571") | technique.contains("T1071")) & (F.col("dst_ip") != ""),
+        EXFIL: technique.contains("T1003") & (ip != ""),
+        LATERAL: logon & F.col("logon_type").isin("3", "10") & ~ip.isin(LOCAL_SOURCES),
+        BYPASS: logon & (ip != ""),
+    }
+
+
+def _firewall_tests(mode: str) -> dict[str, Column]:
+    action, ip = F.upper("action"), F.col("src_ip")
+    allowed = action == "ALLOW"
+    return {
+        C2: allowed & (ip != "") if mode == "intent" else allowed,
+        EXFIL: allowed & (ip != "") & (to_long("sent_bytes") >= EXFIL_BYTES),
+        LATERAL: allowed & ~ip.isin(LOCAL_SOURCES) & F.col("dst_port").isin(LATERAL_PORTS),
+        BYPASS: action.isin(BLOCKED) & (ip != ""),
+    }
+
+
+#: Seconds a firewall row may lie before and after the endpoint row.
+_REACH = {
+    C2: (WINDOW_SECONDS, WINDOW_SECONDS),
+    EXFIL: (0, WINDOW_SECONDS),
+    LATERAL: (WINDOW_SECONDS, WINDOW_SECONDS),
+    BYPASS: (WINDOW_SECONDS, 0),
+}
+
+
+def pair_incidents(
+    endpoint: DataFrame,
+    firewall: DataFrame,
+    rules: list[str] | None = None,
+    as_of: dt.datetime | None = None,
+    mode: str = "reference",
+    salt: int = 1,
+) -> DataFrame:
+    """The rules that need one endpoint and one firewall row, in one join.
+
+    Each side is reduced to rows that can take part in some rule before the
+    shuffle, and each side is read and shuffled once however many rules run.
+    The beacon rule also accepts the endpoint's host name as the firewall
+    source, so such rows are copied under both keys.  ``mode="intent"``
+    ignores empty addresses, which otherwise match each other.
+    """
+    rules = rules or PAIR_RULES
+    w_test, f_test = _endpoint_tests(), _firewall_tests(mode)
+
+    def flags(tests):
+        return [F.coalesce(tests[r], F.lit(False)).alias(f"{side}{i}") for i, r in enumerate(rules)]
+
+    side = "__w"
+    w = _between(endpoint, as_of).filter(any_true([w_test[r] for r in rules]))
+    w = w.select("ts", *[F.col(c).alias("w_" + c) for c in _W], *flags(w_test))
+    side = "__f"
+    f = _between(firewall, as_of).filter(any_true([f_test[r] for r in rules]))
+    right = f.select(F.col("src_ip").alias("key"), "ts", *[F.col(c).alias("f_" + c) for c in _F], *flags(f_test))
+
+    two_keys = F.col(f"__w{rules.index(C2)}") if C2 in rules else F.lit(False)
+    keys = F.when(two_keys, F.array_distinct(F.array("w_src_ip", "w_agent_host"))).otherwise(F.array("w_src_ip"))
+    left = w.withColumn("key", F.explode(keys))
+
+    def reach(position: int) -> Column:
+        return F.greatest(F.lit(0), *[
+            F.when(F.col(f"__w{i}"), F.lit(_REACH[r][position])).otherwise(0) for i, r in enumerate(rules)
+        ])
+
+    pairs = interval_join(left, right, reach(0), reach(1), salt=salt)
+    gap = micros("right_ts") - micros("left_ts")
+    same_address = F.col("f_src_ip") == F.col("w_src_ip")
+    limit = WINDOW_SECONDS * 1_000_000
+    pair_test = {
+        C2: gap.between(-limit, limit)
+        & (F.col("f_dst_port").isin(BEACON_PORTS) | (F.col("f_dst_ip") == F.col("w_dst_ip"))),
+        EXFIL: same_address & gap.between(0, limit),
+        LATERAL: same_address & gap.between(-limit, limit),
+        BYPASS: same_address & (gap >= -limit) & (gap < 0),
+    }
+    found = F.array_compact(F.array(*[
+        F.when(F.col(f"__w{i}") & F.col(f"__f{i}") & pair_test[r], F.lit(r)) for i, r in enumerate(rules)
+    ]))
+    return _pair_output(pairs.withColumn("kind", F.explode(found)))
+
+
+def _pair_output(pairs: DataFrame) -> DataFrame:
+    kind = F.col("kind")
     w = ("windows", F.col("left_ts"), F.col("w_event_details"), F.col("w_src_ip"))
     f = ("firewall", F.col("right_ts"), F.col("f_event_details"), F.col("f_src_ip"))
+    ip = F.when(kind == BYPASS, F.col("f_src_ip")).otherwise(F.col("w_src_ip"))
+    techniques = (
+        F.when(kind == C2, union_techniques(F.col("w_mitre_technique"), F.col("f_mitre_technique")))
+        .when(kind == EXFIL, "T1003.001,T1041")
+        .when(kind == LATERAL, F.concat(F.lit("T1021,"), "w_mitre_technique"))
+        .otherwise("T1562.004,T1078")
+    )
+    description = (
+        F.when(kind == C2, F.concat(
+            F.lit("C2 beacon confirmed by both Sysmon and Sophos firewall: "), "w_agent_host", F.lit(" ("), "w_src_ip",
+            F.lit(") → "), "f_dst_ip", F.lit(":"), "f_dst_port"))
+        .when(kind == EXFIL, F.concat(
+            F.lit("Credential dump on "), "w_agent_host", F.lit(" followed by "), "f_sent_bytes",
+            F.lit(" bytes exfiltrated → "), "f_dst_ip"))
+        .when(kind == LATERAL, F.concat(
+            F.lit("Lateral movement: "), "w_src_ip", F.lit(" → "), "w_agent_host", F.lit(" (logon type "),
+            "w_logon_type", F.lit(") confirmed by firewall on port "), "f_dst_port"))
+        .otherwise(F.concat(
+            F.lit("Firewall blocked "), "f_src_ip", F.lit(" → "), "f_dst_ip", F.lit(":"), "f_dst_port",
+            F.lit(" but Windows shows successful logon from same IP on "), "w_agent_host", F.lit(" shortly after")))
+    )
     return pairs.select(
-        incident_key(F.lit(kind), F.col("w_agent_host"), ip, F.col("w_id"), F.col("f_id")).alias("incident_key"),
-        F.lit(kind).alias("incident_type"),
-        F.lit(severity).alias("severity"),
-        F.lit(confidence).alias("confidence"),
+        incident_key(kind, F.col("w_agent_host"), ip, F.col("w_id"), F.col("f_id")).alias("incident_key"),
+        kind.alias("incident_type"),
+        F.when(kind == LATERAL, "HIGH").otherwise("CRITICAL").alias("severity"),
+        F.when(kind == BYPASS, "MEDIUM").otherwise("HIGH").alias("confidence"),
         F.col("w_agent_host").alias("affected_host"),
         ip.alias("affected_ip"),
         techniques.alias("mitre_techniques"),
         description.alias("description"),
-        _evidence(*((f, w) if firewall_first else (w, f))).alias("evidence"),
+        F.when(kind == BYPASS, _evidence(f, w)).otherwise(_evidence(w, f)).alias("evidence"),
         F.least("left_ts", "right_ts").alias("window_start"),
         F.greatest("left_ts", "right_ts").alias("window_end"),
         F.lit(2).cast("bigint").alias("source_count"),
     )
 
 
-_W = ["id", "src_ip", "dst_ip", "agent_host", "mitre_technique", "event_details", "logon_type"]
-_F = ["id", "src_ip", "dst_ip", "dst_port", "mitre_technique", "event_details", "sent_bytes"]
-
-
 def c2_beacon(endpoint: DataFrame, firewall: DataFrame, as_of=None, mode: str = "reference", salt: int = 1) -> DataFrame:
-    """Suspicious connection seen by the endpoint and allowed by the firewall.
-
-    The address condition is "firewall source is the endpoint's address *or*
-    its host name"; both become join keys.  ``mode="intent"`` ignores empty
-    addresses, which otherwise match each other.
-    """
-    technique = F.col("mitre_technique")
-    w = _between(endpoint, as_of).filter(
-        (technique.contains("T1571") | technique.contains("T1071")) & (F.col("dst_ip") != "")
-    )
-    keys = F.array_distinct(F.array("src_ip", "agent_host"))
-    left = w.withColumn("__key", F.explode(keys))
-    left = _side(left, "w_", _W, F.col("__key"))
-    f = _between(firewall, as_of).filter(F.upper("action") == "ALLOW")
-    right = _side(f, "f_", _F, F.col("src_ip"))
-    if mode == "intent":
-        left, right = left.filter(F.col("key") != ""), right.filter(F.col("key") != "")
-    pairs = interval_join(left, right, WINDOW_SECONDS, WINDOW_SECONDS, salt=salt).filter(
-        F.col("f_dst_port").isin(BEACON_PORTS) | (F.col("f_dst_ip") == F.col("w_dst_ip"))
-    )
-    return _incident(
-        pairs, "C2_BEACON_CONFIRMED", "CRITICAL", "HIGH", F.col("w_src_ip"),
-        union_techniques(F.col("w_mitre_technique"), F.col("f_mitre_technique")),
-        F.concat(F.lit("C2 beacon confirmed by both Sysmon and Sophos firewall: "), "w_agent_host", F.lit(" ("),
-                 "w_src_ip", F.lit(") → "), "f_dst_ip", F.lit(":"), "f_dst_port"),
-    )
+    """Suspicious connection seen by the endpoint and allowed by the firewall."""
+    return pair_incidents(endpoint, firewall, [C2], as_of, mode, salt)
 
 
 def credential_dump_exfil(endpoint: DataFrame, firewall: DataFrame, as_of=None, salt: int = 1) -> DataFrame:
     """Credential access followed within ten minutes by a large allowed upload."""
-    w = _between(endpoint, as_of).filter(F.col("mitre_technique").contains("T1003") & (F.col("src_ip") != ""))
-    f = _between(firewall, as_of).filter(
-        (F.upper("action") == "ALLOW") & (to_long("sent_bytes") >= EXFIL_BYTES) & (F.col("src_ip") != "")
-    )
-    pairs = interval_join(
-        _side(w, "w_", _W, F.col("src_ip")), _side(f, "f_", _F, F.col("src_ip")), 0, WINDOW_SECONDS, salt=salt
-    )
-    return _incident(
-        pairs, "CRED_DUMP_THEN_EXFIL", "CRITICAL", "HIGH", F.col("w_src_ip"), F.lit("T1003.001,T1041"),
-        F.concat(F.lit("Credential dump on "), "w_agent_host", F.lit(" followed by "), "f_sent_bytes",
-                 F.lit(" bytes exfiltrated → "), "f_dst_ip"),
-    )
+    return pair_incidents(endpoint, firewall, [EXFIL], as_of, salt=salt)
 
 
 def lateral_movement(endpoint: DataFrame, firewall: DataFrame, as_of=None, salt: int = 1) -> DataFrame:
     """Remote logon and allowed traffic on an administration port, same source."""
-    w = _between(endpoint, as_of).filter(
-        (F.col("event_id") == "4624") & F.col("logon_type").isin("3", "10") & ~F.col("src_ip").isin(LOCAL_SOURCES)
-    )
-    f = _between(firewall, as_of).filter(
-        (F.upper("action") == "ALLOW") & F.col("dst_port").isin(LATERAL_PORTS) & ~F.col("src_ip").isin(LOCAL_SOURCES)
-    )
-    pairs = interval_join(
-        _side(w, "w_", _W, F.col("src_ip")), _side(f, "f_", _F, F.col("src_ip")), WINDOW_SECONDS, WINDOW_SECONDS,
-        salt=salt,
-    )
-    return _incident(
-        pairs, "LATERAL_MOVEMENT_CONFIRMED", "HIGH", "HIGH", F.col("w_src_ip"),
-        F.concat(F.lit("T1021,"), "w_mitre_technique"),
-        F.concat(F.lit("Lateral movement: "), "w_src_ip", F.lit(" → "), "w_agent_host", F.lit(" (logon type "),
-                 "w_logon_type", F.lit(") confirmed by firewall on port "), "f_dst_port"),
-    )
+    return pair_incidents(endpoint, firewall, [LATERAL], as_of, salt=salt)
 
 
 def firewall_bypass(endpoint: DataFrame, firewall: DataFrame, as_of=None, salt: int = 1) -> DataFrame:
     """Blocked traffic followed strictly later, within ten minutes, by a logon."""
-    w = _between(endpoint, as_of).filter((F.col("event_id") == "4624") & (F.col("src_ip") != ""))
-    f = _between(firewall, as_of).filter(F.upper("action").isin(BLOCKED) & (F.col("src_ip") != ""))
-    pairs = interval_join(
-        _side(w, "w_", _W, F.col("src_ip")), _side(f, "f_", _F, F.col("src_ip")), WINDOW_SECONDS, 0, salt=salt
-    ).filter(F.col("left_ts") > F.col("right_ts"))
-    return _incident(
-        pairs, "FIREWALL_BYPASS_SUSPECTED", "CRITICAL", "MEDIUM", F.col("f_src_ip"), F.lit("T1562.004,T1078"),
-        F.concat(F.lit("Firewall blocked "), "f_src_ip", F.lit(" → "), "f_dst_ip", F.lit(":"), "f_dst_port",
-                 F.lit(" but Windows shows successful logon from same IP on "), "w_agent_host",
-                 F.lit(" shortly after")),
-        firewall_first=True,
-    )
+    return pair_incidents(endpoint, firewall, [BYPASS], as_of, salt=salt)
 
 
 # ---------------------------------------------------------------------------
@@ -345,11 +400,8 @@ def brute_force_evidence(endpoint: DataFrame, firewall: DataFrame) -> DataFrame:
 def correlate_all(endpoint: DataFrame, firewall: DataFrame, as_of=None, mode: str = "reference", salt: int = 1) -> DataFrame:
     """All five rules; inputs in the common shape of ``operators.projections``."""
     return (
-        c2_beacon(endpoint, firewall, as_of, mode, salt)
+        pair_incidents(endpoint, firewall, None, as_of, mode, salt)
         .unionByName(brute_force(endpoint, firewall, as_of))
-        .unionByName(credential_dump_exfil(endpoint, firewall, as_of, salt))
-        .unionByName(lateral_movement(endpoint, firewall, as_of, salt))
-        .unionByName(firewall_bypass(endpoint, firewall, as_of, salt))
         .select(*INCIDENT_COLUMNS)
     )
 

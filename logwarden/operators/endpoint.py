@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,25 +94,21 @@ VERDICT_COLUMNS = ["rule_id", "severity", "mitre_technique", "detection_module",
 _WORK = "__ep_"
 
 
-def _first_rule(groups, extra, e) -> Column:
+def _first_rule(groups, e) -> Column:
     chain = None
     for group in groups:
         for rule in group:
-            number = F.lit(_POSITION[rule.rule_id])
-            test = rule.test(e)
+            number, test = F.lit(_POSITION[rule.rule_id]), rule.test(e)
             chain = F.when(test, number) if chain is None else chain.when(test, number)
-    for position, test in extra:
-        chain = chain.when(test(e), F.lit(position))
     return chain.otherwise(F.lit(0))
 
 
-def _by_event(table, extras, e) -> Column:
+def _by_event(table, e) -> Column:
     """Number of the first matching rule, 0 for none, NULL for other event ids."""
     chain = None
     for ids, groups in table:
         here = e.event_id == ids[0] if len(ids) == 1 else e.event_id.isin(ids)
-        extra = [(pos, rule_test) for pos, rule_ids, rule_test in extras if rule_ids is None or set(ids) & set(rule_ids)]
-        number = _first_rule(groups, extra, e)
+        number = _first_rule(groups, e)
         chain = F.when(here, number) if chain is None else chain.when(here, number)
     return chain
 
@@ -120,9 +117,9 @@ def rule_number(e) -> Column:
     """The three source blocks run in sequence and a later one that knows the
     event id replaces the verdict of an earlier one, except that the sysmon
     events which are tested in several steps return at once on a hit."""
-    sysmon = F.when(has(e.source, "sysmon"), _by_event(SYSMON_EVENTS, [], e))
-    security = F.when(has(e.source, "security"), _by_event(SECURITY_EVENTS, [], e))
-    system = F.when(has(e.source, "system"), _by_event(SYSTEM_EVENTS, [], e))
+    sysmon = F.when(has(e.source, "sysmon"), _by_event(SYSMON_EVENTS, e))
+    security = F.when(has(e.source, "security"), _by_event(SECURITY_EVENTS, e))
+    system = F.when(has(e.source, "system"), _by_event(SYSTEM_EVENTS, e))
     # No event id belongs to two blocks, so at most one of them is not NULL.
     return F.coalesce(sysmon, security, system, F.lit(0))
 
@@ -143,10 +140,21 @@ def detect_endpoint(df: DataFrame, mode: str = "reference") -> DataFrame:
             for key, (name, lower) in _INPUTS.items()
         ],
     )
-    e = SimpleNamespace(mode=mode, **{key: F.col(_WORK + key) for key in _INPUTS})
-    numbered = computed_once(staged.withColumn(_WORK + "n", rule_number(e)), _WORK + "n")
-    n = F.col(_WORK + "n")
-    return numbered.select(*base, *_verdict(n, e))
+    number, verdict = _expressions(mode)
+    return computed_once(staged.withColumn(_WORK + "n", number), _WORK + "n").select(*base, *verdict)
+
+
+_BUILT: dict = {}
+
+
+def _expressions(mode: str) -> tuple[Column, list[Column]]:
+    """Rule number and verdict columns.  They refer to columns by name only, so
+    they are built once per JVM connection: some thousand calls otherwise."""
+    key = (id(SparkContext._gateway), mode)
+    if key not in _BUILT:
+        e = SimpleNamespace(mode=mode, **{key: F.col(_WORK + key) for key in _INPUTS})
+        _BUILT[key] = (rule_number(e), _verdict(F.col(_WORK + "n"), e))
+    return _BUILT[key]
 
 
 def _verdict(n: Column, e) -> list[Column]:
