@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import has, strip
+from logwarden.functions.text import computed_once, has, strip
 from logwarden.operators.profiles import csv_cells
 
 # Sample sizes, threshold, patterns, keyword lists.
@@ -163,8 +163,8 @@ def profile_sources(lines: DataFrame, source: str = "source", order: str = "line
     pairs = F.when(fmt == "CSV", F.arrays_zip(columns.alias("key"), data_row.alias("value"))).when(
         fmt == "JSON", F.transform(F.map_entries(object_map), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
     timed = F.get(F.filter(pairs, lambda p: is_time_name(p["key"]) & timestamp_layout(F.coalesce(p["value"], F.lit(""))).isNotNull()), F.lit(0))
-    return chosen.select(
-        source, "lines", fmt.alias("format_type"), F.coalesce("best.confidence", F.lit(0.5)).alias("confidence"),
+    profile = chosen.select(source, F.struct(
+        "lines", fmt.alias("format_type"), F.coalesce("best.confidence", F.lit(0.5)).alias("confidence"),
         F.when(F.col("best").isNotNull() & ~F.col("best.valid"), "confidence below threshold").alias("warning"),
         F.when(fmt == "SYSLOG", F.when(F.col("r5424") > 0, "RFC5424").otherwise("RFC3164")).alias("rfc_version"),
         F.when(fmt == "KEY_VALUE", _pick_by(F.col("style"), [F.lit("="), F.lit(":"), F.lit("=")])).alias("separator"),
@@ -176,7 +176,8 @@ def profile_sources(lines: DataFrame, source: str = "source", order: str = "line
         timestamp_layout(timed["value"]).alias("timestamp_format"),
         F.when(fmt == "CSV", F.transform(F.filter(pairs, lambda p: is_address_column(p["key"], p["value"])), lambda p: p["key"]))
         .alias("ip_columns"),
-    )
+    ).alias("profile"))
+    return computed_once(profile, "profile").select(source, "profile.*")
 
 
 def _pick_by(index: Column, options: list[Column]) -> Column:

@@ -27,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input of one small file.
+
+    Tables of many files are left alone: they already come in many partitions,
+    and a shuffle of whole rows would cost more than it brings.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) == 1 and cores > 1 else df
+
+
 def _lit_if(cond: Column, value: str, other: Column | str) -> Column:
     return F.when(cond, F.lit(value)).otherwise(other)
 
@@ -57,7 +67,7 @@ def security(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The template list has a fixed size (under 200 rows), so it is broadcast.
     """
-    ev = table(spark, sf_dir, "events").withColumn(
+    ev = spread(table(spark, sf_dir, "events")).withColumn(
         "tid",
         F.when(F.col("event_type") == "error", F.lit(T.LOGON_FAILURE).cast("bigint")).otherwise(
             F.col("event_id") % len(T.TEMPLATES)
@@ -93,7 +103,7 @@ def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((ok + ln) % 6 == 3, "Deny").when((ok + ln) % 6 == 4, "allow").otherwise("REJECT")
     )
     kilobytes = F.floor("l_extendedprice").cast("bigint")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem").drop("l_quantity", "l_discount", "l_tax", "l_shipdate")).select(
         ((ok * 10 + ln) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("id"),
         F.timestamp_seconds(F.lit(BASE_SECONDS) + seconds).alias("ts"),
         F.concat(F.lit("fw-"), _str(sk % 5)).alias("device_name"),
@@ -122,7 +132,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "deny").when(F.col("event_type") == "signup", "Block")
         .when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "click", "allow")
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").drop("value", "props")).select(
         n.alias("id"),
         _compressed("ts", 720).alias("ts"),
         F.when(n % 3 == 0, "firewall").when(n % 3 == 1, "web_server").otherwise("application").alias("source_type"),
