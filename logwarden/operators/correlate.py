@@ -42,12 +42,14 @@ def interval_join(
     after: Column | int,
     width: int = WINDOW_SECONDS,
     salt: int = 1,
+    reach: int = WINDOW_SECONDS,
 ) -> DataFrame:
     """Pairs with equal ``key`` and ``right.ts - left.ts`` in [-before, after] seconds.
 
     Both sides need ``key`` and ``ts``; the other column names must differ.
-    ``before`` and ``after`` may be columns of the left side.  The left side
-    should be the smaller one: it is copied per bucket and salt.
+    ``before`` and ``after`` may be columns of the left side and are at most
+    ``reach``.  The left side should be the smaller one: it is copied per
+    bucket and salt.
     """
     micro = F.lit(1_000_000).cast("bigint")
     low = micros("ts") - (F.lit(before) if isinstance(before, int) else before) * micro
@@ -58,17 +60,25 @@ def interval_join(
             whole_division(F.col("__low"), width * 1_000_000), whole_division(F.col("__high"), width * 1_000_000))))
         .withColumnRenamed("ts", "left_ts")
     )
-    cells = right.withColumn("__cell", bucket("ts", width)).withColumnRenamed("ts", "right_ts")
-    on = ["key", "__cell"]
+    cells = right.select(
+        F.col("key").alias("__key"), F.col("ts").alias("right_ts"), bucket("ts", width).alias("__right_cell"),
+        *[c for c in right.columns if c not in ("key", "ts")],
+    )
+    # The outer bounds are stated on the time columns as well: with watermarks
+    # on a stream, that is what lets Spark forget old rows.
+    bounds = F.expr(
+        f"right_ts >= left_ts - INTERVAL {reach} SECONDS AND right_ts <= left_ts + INTERVAL {reach} SECONDS"
+    )
+    on = (F.col("key") == F.col("__key")) & (F.col("__cell") == F.col("__right_cell")) & bounds
     if salt > 1:
         spread = spread.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        others = [c for c in right.columns if c not in ("key", "ts")]
-        cells = cells.withColumn("__salt", F.pmod(F.xxhash64("right_ts", *others), F.lit(salt)).cast("int"))
-        on.append("__salt")
+        others = [c for c in cells.columns if c not in ("__key", "__right_cell")]
+        cells = cells.withColumn("__right_salt", F.pmod(F.xxhash64(*others), F.lit(salt)).cast("int"))
+        on = on & (F.col("__salt") == F.col("__right_salt"))
     return (
         spread.join(cells, on)
         .filter(micros("right_ts").between(F.col("__low"), F.col("__high")))
-        .drop("__cell", "__salt", "__low", "__high")
+        .drop("__key", "__cell", "__right_cell", "__salt", "__right_salt", "__low", "__high")
     )
 
 
