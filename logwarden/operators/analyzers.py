@@ -4,8 +4,8 @@ The reference window is 60 seconds, looked at every 10 seconds.  A row belongs
 to six windows; rows are therefore first reduced per 10-second slot, and only
 the reduced rows are copied to the six windows.
 
-The distinct counts go through Spark's distinct aggregation, which first
-groups by the counted value: a noisy address is spread over its values.
+Distinct counts first group by the counted value, so a noisy address is spread
+over its values.
 """
 
 from __future__ import annotations
@@ -88,43 +88,63 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _counts_by_action(windowed: DataFrame, key: str) -> DataFrame:
-    """Number of rows per action as a map in action order."""
-    per = windowed.filter(_filled("action").isNotNull()).groupBy("first_slot", key, "action").agg(F.sum("n").alias("k"))
-    return per.groupBy("first_slot", key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "k")))).alias("actions")
+def _value_counts(rows: DataFrame, key: str, kinds: dict[str, Column]) -> DataFrame:
+    """Rows per window, key and distinct value of each kind.
+
+    Every attribute of a row becomes one (kind, value) line; lines are reduced
+    per slot, copied to their windows and reduced again.  Distinct counts and
+    value lists are then plain counts and lists of what is left, all in one
+    pass, and a noisy key is spread over its values until the last step.
+    """
+    lines = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in kinds.items()]),
+        lambda x: x["value"].isNotNull(),
+    )
+    sums = ["denied", "failed"]
+    per_slot = (
+        rows.select("slot", key, "us", *sums, F.explode(lines).alias("x")).groupBy("slot", key, "x.kind", "x.value")
+        .agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums], F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     )
+    return _windows(per_slot).groupBy("first_slot", key, "kind", "value").agg(
+        *[F.sum(c).alias(c) for c in ("n", *sums)], F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
+    )
+
+
+def _of(kind: str, value: Column | str) -> Column:
+    return F.when(F.col("kind") == kind, F.col(value) if isinstance(value, str) else value)
+
+
+def _values(kind: str, value: Column | None = None) -> Column:
+    return F.array_sort(F.collect_list(_of(kind, F.col("value") if value is None else value)))
+
+
+def _totals(base: str) -> list[Column]:
+    """Sums over the kind that every row has exactly once."""
+    return [
+        F.sum(_of(base, "n")).alias("n"), F.sum(_of(base, "denied")).alias("denied"), F.sum(_of(base, "failed")).alias("failed"),
+        F.min(_of(base, "first_us")).alias("first_us"), F.max(_of(base, "last_us")).alias("last_us"),
+    ]
 
 
 def ip_activity(logs: DataFrame) -> DataFrame:
     """Addresses with many denied actions, peers, ports or source types."""
-    cols = ["slot", "ip", "dest_ip", "dst_port", "source_type", "source_system", "username", "action"]
-    reduced = _by_ip(with_slot(logs)).groupBy(*cols).agg(
-        F.count("*").alias("n"), F.sum("denied").alias("denied"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
-    )
-    key = ["first_slot", "ip"]
-    windowed = _windows(reduced)
-    port = F.nullif("dst_port", F.lit(0))
-    measured = windowed.groupBy(*key).agg(
-        F.sum("n").alias("n"), F.sum("denied").alias("denied"), F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"), F.countDistinct(_filled("dest_ip")).alias("dests"),
-        F.countDistinct(port).alias("ports"), F.countDistinct(nz("source_type")).alias("types"),
+    kinds = {
+        "type": nz("source_type"), "dest": _filled("dest_ip"), "port": F.nullif("dst_port", F.lit(0)),
+        "source": _filled("source_system"), "user": _filled("username"), "action": _filled("action"),
+    }
+    measured = _value_counts(_by_ip(with_slot(logs)), "ip", kinds).groupBy("first_slot", "ip").agg(
+        *_totals("type"), F.count_if(F.col("kind") == "dest").alias("dests"), F.count_if(F.col("kind") == "port").alias("ports"),
+        F.count_if(F.col("kind") == "type").alias("types"), _values("source").alias("sources"), _values("user").alias("users"),
+        _values("dest", F.when(F.col("value") != F.col("ip"), F.col("value"))).alias("peers"),
+        _values("action", F.struct("value", "n")).alias("actions"),
     )
     severity = F.when((F.col("denied") > 10) | (F.col("dests") > 20) | (F.col("ports") > 50), "CRITICAL").when(
         (F.col("denied") > 5) | (F.col("dests") > 10) | (F.col("types") > 2), "WARNING"
     )
-    flagged = measured.filter(F.col("n") >= 5).withColumn("severity", severity).filter(F.col("severity").isNotNull())
-    detail = windowed.join(flagged.select(*key), key, "left_semi")
-    sets = detail.groupBy(*key).agg(
-        F.array_sort(F.collect_set(_filled("source_system"))).alias("sources"),
-        F.array_sort(F.collect_set(_filled("username"))).alias("users"),
-        F.array_sort(F.collect_set(F.when(F.col("dest_ip") != F.col("ip"), _filled("dest_ip")))).alias("peers"),
-    )
-    df = flagged.join(sets, key).join(_counts_by_action(detail, "ip"), key, "left")
-    df = df.withColumn("actions", F.coalesce("actions", F.map_from_entries(F.array().cast("array<struct<action:string,k:bigint>>"))))
+    df = measured.filter(F.col("n") >= 5).withColumn("severity", severity).filter(F.col("severity").isNotNull())
     few = F.slice("peers", 1, LISTED_PEERS)
-    listed = F.array_join(F.transform(F.map_entries("actions"), lambda e: F.concat(
-        F.lit("'"), e["key"], F.lit("': "), e["value"].cast("string"))), ", ")
+    listed = F.array_join(F.transform("actions", lambda e: F.concat(
+        F.lit("'"), e["value"], F.lit("': "), e["n"].cast("string"))), ", ")
     description = F.concat(
         F.lit("IP "), "ip", F.lit(" generated "), F.col("n").cast("string"), F.lit(" events across "),
         F.size("sources").cast("string"), F.lit(" sources. Actions: {"), listed, F.lit("}. "),
@@ -132,11 +152,12 @@ def ip_activity(logs: DataFrame) -> DataFrame:
                                              F.lit(" unique destinations."))).otherwise(""),
     )
     critical = F.col("severity") == "CRITICAL"
+    names = F.transform("actions", lambda e: e["value"])
     return _result(
         df, "ip_activity", F.concat(F.lit("ip_"), F.replace("ip", F.lit("."), F.lit("_"))), F.col("severity"),
         F.concat(F.lit("Suspicious IP Activity: "), "ip"), description, F.col("sources"),
         F.concat(F.array("ip"), few), F.col("users"),
-        F.struct(F.array("ip").alias("source_ips"), few.alias("dest_ips"), F.map_keys("actions").alias("actions")),
+        F.struct(F.array("ip").alias("source_ips"), few.alias("dest_ips"), names.alias("actions")),
         _texts(F.concat(F.lit("Review IP "), "ip", F.lit(" activity logs in detail")),
                "Check if IP is from expected geographic location", "Verify if activity aligns with normal user behavior"),
         F.when(critical, 0.7).otherwise(0.5),
@@ -145,26 +166,17 @@ def ip_activity(logs: DataFrame) -> DataFrame:
 
 def user_activity(logs: DataFrame) -> DataFrame:
     """Users with many failures, addresses or source types."""
-    cols = ["slot", "username", "source_ip", "source_type", "source_system"]
-    reduced = with_slot(logs).filter(_filled("username").isNotNull()).groupBy(*cols).agg(
-        F.count("*").alias("n"), F.sum("failed").alias("failed"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
-    )
-    key = ["first_slot", "username"]
-    windowed = _windows(reduced)
-    measured = windowed.groupBy(*key).agg(
-        F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"), F.countDistinct(_filled("source_ip")).alias("addresses"),
-        F.countDistinct(nz("source_type")).alias("types"),
+    kinds = {"type": nz("source_type"), "ip": _filled("source_ip"), "source": _filled("source_system")}
+    measured = _value_counts(with_slot(logs).filter(_filled("username").isNotNull()), "username", kinds).groupBy(
+        "first_slot", "username"
+    ).agg(
+        *_totals("type"), F.count_if(F.col("kind") == "ip").alias("addresses"), F.count_if(F.col("kind") == "type").alias("types"),
+        _values("source").alias("sources"), _values("ip").alias("ips"),
     )
     severity = F.when((F.col("failed") > 5) | (F.col("addresses") > 5), "CRITICAL").when(
         (F.col("failed") > 2) | (F.col("types") > 2), "WARNING"
     )
-    flagged = measured.filter(F.col("n") >= 3).withColumn("severity", severity).filter(F.col("severity").isNotNull())
-    sets = windowed.join(flagged.select(*key), key, "left_semi").groupBy(*key).agg(
-        F.array_sort(F.collect_set(_filled("source_system"))).alias("sources"),
-        F.array_sort(F.collect_set(_filled("source_ip"))).alias("ips"),
-    )
-    df = flagged.join(sets, key)
+    df = measured.filter(F.col("n") >= 3).withColumn("severity", severity).filter(F.col("severity").isNotNull())
     return _result(
         df, "user_activity", F.concat(F.lit("user_"), "username"), F.col("severity"),
         F.concat(F.lit("Suspicious User Activity: "), "username"),
@@ -182,21 +194,12 @@ def user_activity(logs: DataFrame) -> DataFrame:
 def port_scans(logs: DataFrame, minimum: int = 20) -> DataFrame:
     """Sources that reach more than ``minimum`` different ports."""
     used = with_slot(logs).filter(_filled("source_ip").isNotNull() & (F.coalesce("dst_port", F.lit(0)) != 0))
-    reduced = used.groupBy("slot", "source_ip", "dst_port", "source_system").agg(
-        F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
-    )
-    key = ["first_slot", "source_ip"]
-    windowed = _windows(reduced)
-    flagged = windowed.groupBy(*key).agg(
-        F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-        F.countDistinct("dst_port").alias("ports"),
+    kinds = {"port": F.col("dst_port"), "source": _filled("source_system")}
+    df = _value_counts(used, "source_ip", kinds).groupBy("first_slot", "source_ip").agg(
+        *_totals("port"), F.count_if(F.col("kind") == "port").alias("ports"), _values("source").alias("sources"),
+        # A port is a 16-bit number, so this list has at most 65535 members.
+        F.slice(_values("port", F.col("value").cast("int")), 1, LISTED_PORTS).alias("scanned"),
     ).filter(F.col("ports") > minimum)
-    # A port is a 16-bit number, so the set below has at most 65535 members.
-    sets = windowed.join(flagged.select(*key), key, "left_semi").groupBy(*key).agg(
-        F.array_sort(F.collect_set(_filled("source_system"))).alias("sources"),
-        F.slice(F.array_sort(F.collect_set("dst_port")), 1, LISTED_PORTS).alias("scanned"),
-    )
-    df = flagged.join(sets, key)
     return _result(
         df, "attack_sequence", F.concat(F.lit("portscan_"), F.replace("source_ip", F.lit("."), F.lit("_"))),
         F.lit("CRITICAL"), F.concat(F.lit("Port Scanning Detected: "), "source_ip"),

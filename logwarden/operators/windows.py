@@ -83,32 +83,81 @@ def _ordered_values(batches: DataFrame, values: Column, name: str) -> DataFrame:
     )
 
 
-def window_verdicts(batches: DataFrame) -> DataFrame:
-    """Rule verdict of each (source, window): verdict, reasoning, ioc, ioa."""
+def _verdict_columns() -> list[Column]:
+    quiet = (F.col("rank") == 1) & (F.size("ioc") == 0) & (F.size("ioa") == 0)
+    reason = cut_text(F.coalesce("first_details", F.lit(NOTHING)), REASON_LIMIT, REASON_LIMIT - 1)
+    return [
+        F.when(F.col("rank") == 3, "Critical").when(F.col("rank") == 2, "Warning").otherwise("Info").alias("verdict"),
+        F.when(quiet, NOTHING).otherwise(reason).alias("reasoning"),
+        F.col("ioc"), F.col("ioa"), F.lit("passthrough").alias("model"),
+    ]
+
+
+def _port(row: Column | None = None) -> Column:
+    port = F.col("dst_port") if row is None else row["dst_port"]
+    return F.when(port != "", F.concat(F.lit("port:"), port))
+
+
+def _technique(row: Column | None = None) -> Column:
+    technique = F.col("mitre_technique") if row is None else row["mitre_technique"]
+    return F.when(technique != "", F.concat(F.lit("mitre:"), technique))
+
+
+def _first_details() -> Column:
     order = F.struct(micros("ts"), F.col("source_event_id"))
     details = F.nullif(strip("event_details"), F.lit(""))
+    return F.min_by(details, F.when(details.isNotNull(), order))
+
+
+def _with_rows(batches: DataFrame) -> DataFrame:
+    """Verdict of each window next to its rows, in one aggregation.
+
+    The rows of a window are collected, which is only for capped batches:
+    at most ``batch`` rows each.
+    """
+    columns = [c for c in batches.columns if c not in _KEYS]
+    row = F.struct("ts", "source_event_id", *[c for c in columns if c not in ("ts", "source_event_id")])
+    grouped = batches.groupBy(*_KEYS).agg(
+        F.max(_rank(F.col("rule_severity"))).alias("rank"), _first_details().alias("first_details"),
+        F.count("*").alias("rows"), F.array_sort(F.collect_list(row)).alias("r"),
+    )
+
+    def distinct(values) -> Column:
+        flat = F.transform(F.array_compact(F.flatten(F.transform("r", values))), lambda v: strip(v))
+        return F.array_distinct(F.filter(flat, lambda v: v != ""))
+
+    listed = grouped.withColumn("ioc", distinct(lambda x: F.array(x["src_ip"], x["dst_ip"], _port(x)))).withColumn(
+        "ioa", distinct(lambda x: F.array(_technique(x))))
+    return listed.select(*_KEYS, *_verdict_columns(), "rows", "r")
+
+
+def window_verdicts(batches: DataFrame, capped: bool = True) -> DataFrame:
+    """Rule verdict of each (source, window): verdict, reasoning, ioc, ioa.
+
+    ``capped`` says that ``batches`` comes from a row cap per window; without
+    one the values are made distinct before they are collected.
+    """
+    if capped:
+        return _with_rows(batches).drop("r")
     base = batches.groupBy(*_KEYS).agg(
-        F.max(_rank(F.col("rule_severity"))).alias("rank"),
-        F.min_by(details, F.when(details.isNotNull(), order)).alias("first_details"),
+        F.max(_rank(F.col("rule_severity"))).alias("rank"), _first_details().alias("first_details"),
         F.count("*").alias("rows"),
     )
-    port = F.when(F.col("dst_port") != "", F.concat(F.lit("port:"), "dst_port"))
-    technique = F.when(F.col("mitre_technique") != "", F.concat(F.lit("mitre:"), "mitre_technique"))
-    ioc = _ordered_values(batches, F.array_compact(F.array("src_ip", "dst_ip", port)), "ioc")
-    ioa = _ordered_values(batches, F.array_compact(F.array(technique)), "ioa")
+    ioc = _ordered_values(batches, F.array_compact(F.array("src_ip", "dst_ip", _port())), "ioc")
+    ioa = _ordered_values(batches, F.array_compact(F.array(_technique())), "ioa")
     none = F.array().cast("array<string>")
     joined = base.join(ioc, _KEYS, "left").join(ioa, _KEYS, "left").select(
         *_KEYS, "rank", "first_details", "rows",
         F.coalesce("ioc", none).alias("ioc"), F.coalesce("ioa", none).alias("ioa"),
     )
-    quiet = (F.col("rank") == 1) & (F.size("ioc") == 0) & (F.size("ioa") == 0)
-    reason = cut_text(F.coalesce("first_details", F.lit(NOTHING)), REASON_LIMIT, REASON_LIMIT - 1)
-    return joined.select(
-        *_KEYS,
-        F.when(F.col("rank") == 3, "Critical").when(F.col("rank") == 2, "Warning").otherwise("Info").alias("verdict"),
-        F.when(quiet, NOTHING).otherwise(reason).alias("reasoning"),
-        "ioc", "ioa", F.lit("passthrough").alias("model"), "rows",
-    )
+    return joined.select(*_KEYS, *_verdict_columns(), "rows")
+
+
+def rule_pass_rows(batches: DataFrame) -> DataFrame:
+    """:func:`pass_rows` with the rule verdict, without a join (capped batches)."""
+    judged = _with_rows(batches)
+    return _pass_columns(judged.withColumn("r", F.explode("r")).select(
+        *_KEYS, "verdict", "reasoning", "ioc", "ioa", "model", "r.*"), False)
 
 
 def _by_verdict(verdict: Column, values: dict) -> Column:
@@ -121,12 +170,16 @@ def _by_verdict(verdict: Column, values: dict) -> Column:
 def pass_rows(batches: DataFrame, verdicts: DataFrame, scored: bool = False) -> DataFrame:
     """Every row of a window with the verdict of its window."""
     v = verdicts.select(*_KEYS, "verdict", "reasoning", "ioc", "ioa", "model")
+    return _pass_columns(batches.join(v, _KEYS), scored)
+
+
+def _pass_columns(judged: DataFrame, scored: bool) -> DataFrame:
     text = F.coalesce(blank_to_null(strip("reasoning")), F.lit(NOTHING))
     summary = F.when(
         F.size("ioa") > 0, F.concat(text, F.lit(" | IOA: "), F.array_join("ioa", "; "))
     ).otherwise(strip("reasoning"))
     severity = _by_verdict(F.col("verdict"), VERDICT_SEVERITY)
-    rows = batches.join(v, _KEYS).select(
+    rows = judged.select(
         "source_event_id", "source_type", "window_ts",
         *[blank_to_null(c).alias(c) for c in ("agent_host", "src_ip", "dst_ip", "dst_port", "event_id")],
         blank_to_null("event_details").alias("raw_summary"),

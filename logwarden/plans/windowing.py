@@ -173,8 +173,7 @@ def window_verdicts(spark, sf):
 
 
 def pass_table(spark, sf):
-    batches = W.window_batches(window_inputs(spark, sf))
-    return W.pass_rows(batches, W.window_verdicts(batches))
+    return W.rule_pass_rows(W.window_batches(window_inputs(spark, sf)))
 
 
 PASS_COLUMNS = [
@@ -188,6 +187,17 @@ def window_pass_rows(spark, sf):
     return pass_table(spark, sf).select(*PASS_COLUMNS, micros("window_ts").alias("window_us"))
 
 
+@query("window_verdicts_uncapped", V.with_views(V.SQL_SECURITY, V.SQL_FIREWALL, V.SQL_FIREWALL_VERDICT,
+                                                  _INPUTS.format(fetch=10**9, keep=10**9), _VERDICTS) + """
+SELECT source_type, window_us, verdict, reasoning, ioc, ioa, n AS rows FROM ver""")
+def window_verdicts_uncapped(spark, sf):
+    batches = W.window_batches(window_inputs(spark, sf), batch=None)
+    return W.window_verdicts(batches, capped=False).select(
+        "source_type", micros("window_ts").alias("window_us"), "verdict", "reasoning",
+        F.array_join("ioc", ",").alias("ioc"), F.array_join("ioa", ",").alias("ioa"), "rows",
+    )
+
+
 @query("window_texts", WINDOW_SQL + """,
 doc AS (
   SELECT source_type, window_us, us, id, row_number() OVER (PARTITION BY source_type, window_us ORDER BY us, id) - 1 AS i,

@@ -148,7 +148,7 @@ def pass_rows_stream(inputs: DataFrame, path: str, checkpoint: str, delay: str =
     def job(closed: DataFrame) -> DataFrame:
         rows = closed.select("window_ts", "source_type", F.explode("rows").alias("r")).select(
             "window_ts", "source_type", "r.*", F.lit("").alias("fingerprint"))
-        return W.pass_rows(rows, W.window_verdicts(rows))
+        return W.rule_pass_rows(rows)
 
     return each_batch(window_batches_stream(inputs, delay), job, path, checkpoint, trigger)
 
