@@ -30,14 +30,14 @@ def choose_parsers(requests: DataFrame, parsers: DataFrame, key: str = "source")
     by_source = top("source_identifier").withColumnRenamed("__p", "p1")
     by_vendor = top("vendor", "format_type").withColumnRenamed("__p", "p2")
     by_format = top("format_type").withColumnRenamed("__p", "p3")
-    anyone = active.agg(F.max_by("parser_id", best).alias("p4"))
+    anyone = active.agg(F.max_by("parser_id", best))
     r = requests
     out = (
         r.join(by_source, r[key] == F.col("__source_identifier"), "left").drop("__source_identifier")
         .join(by_vendor, (F.col("vendor") == F.col("__vendor")) & (F.col("format_type") == F.col("__format_type")), "left")
         .drop("__vendor", "__format_type")
         .join(by_format, F.col("format_type") == F.col("__format_type"), "left").drop("__format_type")
-        .join(F.broadcast(anyone))  # exactly one row
+        .withColumn("p4", anyone.scalar())
     )
     step = F.when(F.col("p1").isNotNull(), 1).when(F.col("p2").isNotNull(), 2).when(F.col("p3").isNotNull(), 3).when(
         F.col("p4").isNotNull(), 4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logwarden.functions.times import micros
+from logwarden.operators import correlate as C
 from logwarden.operators import dedup as D
 from logwarden.operators import projections as P
 from logwarden.operators import windows as W
@@ -214,3 +215,35 @@ def window_texts(spark, sf):
     return W.window_texts(W.window_batches(window_inputs(spark, sf))).select(
         "source_type", micros("window_ts").alias("window_us"), "text"
     )
+
+
+_PASS_SIDES = """
+w AS (
+  SELECT id, us // 5000000 * 5000000 AS us, eventid_0 AS event_id,
+         CASE WHEN sourceip_2 <> '' THEN sourceip_2 ELSE ipaddress_3 END AS src_ip, destinationip_2 AS dst_ip,
+         agent_host, mitre_technique, event_details, logontype_3 AS logon_type
+  FROM sec WHERE id IN (SELECT id FROM batch WHERE source_type = 'windows')
+),
+f AS (
+  SELECT id, us // 5000000 * 5000000 AS us, src_ip, dst_ip, dst_port, mitre_technique, event_details, action, sent_bytes
+  FROM fwv WHERE id IN (SELECT id FROM batch WHERE source_type = 'firewall')
+)"""
+
+
+def _pass_sql() -> str:
+    from logwarden.plans.correlation import BYPASS_SQL, C2_SQL, DUMP_SQL, LATERAL_SQL
+
+    found = " UNION ALL ".join([C2_SQL, DUMP_SQL, LATERAL_SQL, BYPASS_SQL])
+    return WINDOW_SQL + "," + _PASS_SIDES + f""", found AS ({found})
+SELECT incident_type, affected_ip, count(*) AS incidents, min(start_us) AS first_us FROM found GROUP BY ALL"""
+
+
+@query("correlate_pass_rows", _pass_sql())
+def correlate_pass_rows(spark, sf):
+    """Pair rules over window-verdict rows, completed from the rows they came from."""
+    rows = pass_table(spark, sf)
+    endpoint = P.with_source_fields(P.pass_events(rows, "windows"), P.endpoint_events(security_verdicts(spark, sf)))
+    firewall = P.with_source_fields(P.pass_events(rows, "firewall"), P.firewall_events(firewall_verdicts(spark, sf)))
+    return C.pair_incidents(endpoint, firewall).groupBy("incident_type", "affected_ip").agg(
+        F.count("*").alias("incidents"), F.min(micros("window_start")).alias("first_us")
+    )
