@@ -36,7 +36,7 @@ def _pair_sql(kind, severity, confidence, techniques, description, condition, ip
 SELECT {key(f"'{kind}'", "w.agent_host", ip, "w.id", "f.id")} AS incident_key, '{kind}' AS incident_type,
        '{severity}' AS severity, '{confidence}' AS confidence, w.agent_host AS affected_host, {ip} AS affected_ip,
        {techniques} AS mitre_techniques, {description} AS description, {ev} AS evidence,
-       2 AS source_count, least(w.us, f.us) AS start_us, greatest(w.us, f.us) AS end_us
+       CAST(2 AS BIGINT) AS source_count, least(w.us, f.us) AS start_us, greatest(w.us, f.us) AS end_us
 FROM w, f WHERE {condition}"""
 
 
@@ -110,7 +110,7 @@ SELECT {key("'BRUTE_FORCE_CONFIRMED'", "src_ip", "first_us")} AS incident_key, '
        'HIGH' AS severity, 'HIGH' AS confidence, host AS affected_host, src_ip AS affected_ip,
        'T1110,T1110.001' AS mitre_techniques,
        'Brute force confirmed: ' || src_ip || ' caused ' || failures || ' Windows logon failures + ' || blocks || ' firewall blocks' AS description,
-       '{{"failures":' || failures || ',"blocks":' || blocks || '}}' AS evidence, 2 AS source_count,
+       '{{"failures":' || failures || ',"blocks":' || blocks || '}}' AS evidence, CAST(2 AS BIGINT) AS source_count,
        least(first_us, f_min) AS start_us, greatest(last_us, f_max) AS end_us
 FROM brute"""
 

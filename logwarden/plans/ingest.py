@@ -339,7 +339,7 @@ def parse_raw_documents(spark, sf):
 @query("parse_quality_report", PAR + """
 SELECT source_type AS parser_id, count(*) AS total, count(*) FILTER (WHERE id % 10 <> 9) AS success, count(*) FILTER (WHERE id % 10 = 9) AS failed,
   round(count(*) FILTER (WHERE id % 10 <> 9) / count(*), 6) AS success_rate,
-  CASE WHEN count(*) FILTER (WHERE id % 10 = 9) > 0 THEN 'Column count mismatch' ELSE '' END AS errors, 3 AS samples,
+  CASE WHEN count(*) FILTER (WHERE id % 10 = 9) > 0 THEN 'Column count mismatch' ELSE '' END AS errors, CAST(3 AS BIGINT) AS samples,
   CASE WHEN count(*) FILTER (WHERE id % 10 <> 9) > 0 THEN 'success' ELSE 'failed' END AS status FROM parsed GROUP BY ALL""")
 def parse_quality_report(spark, sf):
     logs = V.parsed(spark, sf)
