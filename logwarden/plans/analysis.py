@@ -383,8 +383,9 @@ def hunt_findings(spark, sf):
 
 
 @query("hunt_attack_types", PARSED + "," + SCAN_SQL.format(minimum=14) + "," + LOGIN_SQL.format(minimum=1) + """
-SELECT unnest(['port_scanning', 'reconnaissance']) AS attack_type, count(*) AS findings FROM r_scan
-UNION ALL SELECT unnest(['brute_force', 'credential_stuffing']), count(*) FROM r_login""")
+SELECT attack_type, count(*) AS findings FROM (
+  SELECT unnest(['port_scanning', 'reconnaissance']) AS attack_type FROM r_scan
+  UNION ALL SELECT unnest(['brute_force', 'credential_stuffing']) FROM r_login) GROUP BY attack_type""")
 def hunt_attack_types(spark, sf):
     logs = V.parsed(spark, sf)
     found = A.port_scans(logs, minimum=14).unionByName(A.login_attacks(logs, minimum=1))
