@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import substrings
+from logwarden.llm import quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,3 +46,8 @@ FROM w LEFT JOIN gone USING (doc_id)""")
 def op10_substring_dedup(spark, sf_dir):
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"))
