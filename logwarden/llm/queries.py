@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import quality, substrings
+from logwarden.llm import langid, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,3 +51,8 @@ def op10_substring_dedup(spark, sf_dir):
 @query("op2_quality_rules")
 def op2_quality_rules(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
