@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes in ``column``, or one row."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(lengths):
         if i > start and total + n > limit:
@@ -64,6 +65,3 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
     if len(lengths) > start:
         yield batch.slice(start)
 
-
-def ids_of(column: pa.Array) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import langid, quality, substrings
+from logwarden.llm import langid, neardup, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,3 +56,8 @@ def op2_quality_rules(spark, sf_dir):
 @query("op1_language_id")
 def op1_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_minhash_neardup")
+def op5_minhash_neardup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +66,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for piece in pieces(batch, "_text", CHUNK_BYTES):
-            grown = sum(x or 0 for x in pa.compute.binary_length(piece.column("_text")).to_pylist())
+            grown = sum(x or 0 for x in pc.binary_length(piece.column("_text")).to_pylist())
             if held and size + grown > CHUNK_BYTES:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
