@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import langid, neardup, quality, substrings, warc
+from logwarden.llm import langid, neardup, pieces, quality, substrings, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -75,3 +75,10 @@ FROM p LEFT JOIN g USING (payload_digest)""")
 def op7_warc(spark, sf_dir):
     out = warc.archive_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), spans=False)
