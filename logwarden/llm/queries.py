@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import langid, neardup, pieces, quality, substrings, warc
+from logwarden.llm import langid, neardup, packing, pieces, quality, substrings, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,3 +82,8 @@ def op9_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), spans=False)
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
