@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import langid, neardup, packing, pieces, quality, substrings, warc
+from logwarden.llm import langid, neardup, packing, pieces, quality, sharding, substrings, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -87,3 +87,28 @@ def op9_sentencepiece(spark, sf_dir):
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_extendible_sharding", f"""
+WITH d AS (
+    SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(1)) || chr(10) || coalesce(text, chr(1))), 1, 15))::BIGINT AS h
+    FROM documents
+), large AS (
+    SELECT b, h >> (60 - b) AS p FROM (SELECT h, n_bytes, unnest(range(0, 61))::INT AS b FROM d)
+    GROUP BY ALL HAVING sum(n_bytes) > {sharding.LIMIT}
+), deep AS (
+    SELECT d.doc_id, d.n_bytes, d.h, count(l.b) AS k, row_number() OVER (PARTITION BY d.h) - 1 AS i
+    FROM (SELECT *, row_number() OVER () AS r FROM d) d LEFT JOIN large l ON d.h >> (60 - l.b) = l.p
+    GROUP BY d.r, d.doc_id, d.n_bytes, d.h
+), named AS (
+    SELECT *, least(k, 60)::BIGINT AS depth,
+        CASE WHEN k > 60 THEN i // greatest({sharding.LIMIT} // greatest(n_bytes, 1), 1) ELSE 0 END::BIGINT AS part
+    FROM deep
+)
+SELECT doc_id, n_bytes, depth, part,
+    CASE WHEN depth = 0 THEN 'all' ELSE lpad(bin(h >> (60 - depth)::INT), depth::INT, '0') END
+        || CASE WHEN k > 60 THEN '.' || part ELSE '' END AS shard
+FROM named""")
+def op8_extendible_sharding(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"))
