@@ -8,9 +8,13 @@
 * Each of 39 consistent weighted samples picks a shingle and a level; two texts pick the same with the probability of
   their weighted Jaccard similarity.  Thirteen bands of three samples make candidates: a pair at 0.8 is missed with
   probability 0.0001, at 0.9 with less than 1e-7.
-* A bucket first compares every member with its least one.  Where all members are then in one component nothing can be
-  missing; elsewhere the members of different components are compared too, so no link between candidates is lost, and
-  a large group of copies costs one comparison for each member.
+* What can be shared bounds what is similar: of a candidate's weight, only the shingles that also occur in another
+  candidate count.  A pair whose similarity cannot reach 0.8 by this bound is no pair, and that is exact.  It settles most
+  members of a large group of edited copies without comparing them.
+* A bucket first compares every member with the one whose weight is shared most (in a group of edited copies, the
+  original).  Where all members are then in one component nothing can be missing; elsewhere the members of different
+  components are compared too, as far as the bound allows, so no link between candidates is lost, and a large group of
+  copies costs one comparison for each member.
 * Every link is verified: exact weighted Jaccard similarity of the whole texts, in whole numbers.  Exact copies share
   one node from the start.
 """
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 
 from logwarden.llm.common import keyed, pieces, scratch_folder, tidy_arrow, written
 from logwarden.llm.components import components
+from logwarden.llm.substrings import repeated_windows
 from logwarden.llm.words import Words, mix, powers, rolling, split_words, sums, window_hashes, window_starts, word_hashes
 
 SHINGLE = 5
@@ -96,8 +101,8 @@ def fit(texts: DataFrame) -> Weights:
     return Weights(common["word"].to_numpy().view(np.uint64), common["n"].to_numpy().astype(np.float64), docs)
 
 
-def shingles(w: Words, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different shingles of each document: document, hash and weight (a whole number), by document and hash."""
+def occurrences(w: Words, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every shingle where it stands: document, first word, hash and weight of one occurrence (a whole number)."""
     codes = word_hashes(w)
     idf = sums(weights.of(codes))
     count = w.count
@@ -108,8 +113,12 @@ def shingles(w: Words, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.nda
     hashes = np.concatenate((window_hashes(codes, starts, SHINGLE), window_hashes(codes, w.first[whole], count[whole])))
     hashes ^= mix(size.astype(np.uint64))
     # a mean of idfs times 60, the least common multiple of 1 to 5, stays whole
-    weight = (idf[begin + size] - idf[begin]) * (60 // size)
-    doc = w.doc[begin]
+    return w.doc[begin], begin, hashes, (idf[begin + size] - idf[begin]) * (60 // size)
+
+
+def shingles(w: Words, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different shingles of each document: document, hash and weight (times its count), by document and hash."""
+    doc, _, hashes, weight = occurrences(w, weights)
     order = np.lexsort((hashes, doc))
     doc, hashes, weight = doc[order], hashes[order], weight[order]
     head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])))) if len(doc) else np.zeros(0, int)
@@ -117,6 +126,24 @@ def shingles(w: Words, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.nda
     return doc[head], hashes[head], weight[head] * tf
 
 
+def _shared(weights):
+    """Of each candidate's weight, what lies in shingles that occur twice among the candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "_text"):
+                w = split_words(piece.column("_text"))
+                doc, begin, _, weight = occurrences(w, weights.value)
+                again = np.zeros(len(w.start) + 1, dtype=bool)
+                for i, found in enumerate(piece.column("_starts").to_pylist()):
+                    again[w.first[i] + np.frombuffer(found or b"", np.uint32).astype(np.int64)] = bool(found)
+                again = again[begin] | (w.count[doc] < SHINGLE)
+                part = np.bincount(doc[again], weights=weight[again], minlength=piece.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(part)], names=["node", "shared"])
+
+    return run
+
+
 def samples(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
     """Consistent weighted samples of each document, as ``SAMPLES`` rows of 64-bit names; 0 where it has no shingle."""
     out = np.zeros((SAMPLES, docs), dtype=np.uint64)
@@ -198,15 +225,15 @@ def _verify(weights):
 
 
 def _alike(a: str, b: str) -> Column:
-    """Whether enough of the signature bytes agree and the total weights allow a similarity of 0.8."""
+    """Whether enough of the signature bytes agree and the weight that a pair can share allows a similarity of 0.8."""
     agree: Column = F.lit(0)
     for i in range(5):
         x = F.col(f"{a}.marks")[i].bitwiseXOR(F.col(f"{b}.marks")[i])
         for shift in (4, 2, 1):  # now the lowest bit of a byte tells whether any bit of it was set
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         agree = agree + (8 - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101))))
-    wa, wb = F.col(f"{a}.weight"), F.col(f"{b}.weight")
-    return (F.least(wa, wb) * 10 >= F.greatest(wa, wb) * 8) & (agree >= AGREE)
+    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
+    return (most * 10 >= (F.col(f"{a}.weight") + F.col(f"{b}.weight") - most) * 8) & (agree >= AGREE)
 
 
 def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame, weights, folder: str, name: str) -> DataFrame:
@@ -215,14 +242,8 @@ def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame, weights, folder
         _alike("a", "b")
     ).select("u", "v")
     likely = written(likely, folder, f"{name}-likely")
-    asked = likely.select(F.col("u").alias("node")).union(likely.select(F.col("v").alias("node"))).distinct()
-    # one text for each node that takes part; copies of it are left out
-    there = written(
-        texts.select("node", "_text").join(asked, "node", "left_semi").groupBy("node").agg(F.min("_text").alias("_text")),
-        folder, f"{name}-texts",
-    )
-    full = likely.join(there.select(F.col("node").alias("v"), "_text"), "v").join(
-        there.select(F.col("node").alias("u"), F.col("_text").alias("ta")), "u"
+    full = likely.join(texts.select(F.col("node").alias("v"), "_text"), "v").join(
+        texts.select(F.col("node").alias("u"), F.col("_text").alias("ta")), "u"
     ).select("u", "v", "ta", "_text")
     kind = full.schema["u"].dataType.simpleString()
     return written(full.mapInArrow(_verify(weights), f"u {kind}, v {kind}"), folder, f"{name}-links")
@@ -247,10 +268,22 @@ def labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
     signs = written(signs, folder, "signatures")
     members = signs.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most")
-    members = written(members.join(buckets.select("key", "least"), "key"), folder, "members")
-    stars = members.where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    brief = signs.select("node", "weight", "marks")
-    links = _links(stars, brief, texts, weights, folder, "star")
+    members = written(members.join(buckets.select("key"), "key"), folder, "members")
+    # one text for each candidate
+    there = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("_k1", "_k2").agg(F.min("_text").alias("_text"))
+    there = written(there.withColumn("node", _node()), folder, "texts")
+    again = there.join(repeated_windows(there, SHINGLE), ["_k1", "_k2"], "left").select("node", "_text", "_starts")
+    kind = there.schema["node"].dataType.simpleString()
+    shared = again.mapInArrow(_shared(weights), f"node {kind}, shared long")
+    # no partner can share more than all of it
+    brief = written(
+        signs.select("node", "weight", "marks").join(shared, "node").where("10 * shared >= 8 * weight"), folder, "brief"
+    )
+    members = written(members.join(brief.select("node", (F.col("shared") / F.col("weight")).alias("part")), "node"), folder, "able")
+    best = members.groupBy("key").agg(F.max_by("node", F.struct("part", "node")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    members = written(members.join(best.select("key", "best"), "key").select("key", "node", "best"), folder, "bucketed")
+    stars = members.where("node != best").select(F.col("best").alias("u"), F.col("node").alias("v")).distinct()
+    links = _links(stars, brief, there, weights, folder, "star")
     first = components(links, folder, "first")
     # buckets whose members are not all connected yet: members of different components are candidates too
     labelled = written(
@@ -266,7 +299,7 @@ def labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cross = minor.alias("a").join(rest.alias("b"), ["key", "step"]).where(
         (F.col("a.label") != F.col("b.label")) & _alike("a", "b")
     ).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    more = _links(cross, brief, texts, weights, folder, "cross")
+    more = _links(cross, brief, there, weights, folder, "cross")
     return components(links.union(more), folder, "last")
 
 

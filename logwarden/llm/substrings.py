@@ -180,14 +180,12 @@ def _settle(answers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["_k1", "_k2", "_starts"])
 
 
-def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """``_k1, _k2, _starts``: for each document with repeated windows, the words at which they start (uint32 binary)."""
-    total = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
+    """``_k1, _k2, _starts``: for each of ``texts`` (``_k1, _k2, _text``) that has windows which occur twice anywhere, the
+    words at which they start (uint32 binary)."""
+    total = texts.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     buckets = min(1 << 30, max(1, math.ceil(total / BUCKET_BYTES)))
-    asked = (
-        keyed(docs, id_col, text_col).select("_k1", "_k2", F.col(text_col).alias("_text"))
-        .mapInArrow(_ask(window, buckets, hash_bytes(total)), _ENTRY)
-    )
+    asked = texts.select("_k1", "_k2", "_text").mapInArrow(_ask(window, buckets, hash_bytes(total)), _ENTRY)
     answers = asked.groupBy("bucket").applyInPandas(_answer, "chunk long, kind string, hashes binary, places binary")
     return answers.groupBy("chunk").applyInPandas(_settle, "_k1 long, _k2 long, _starts binary").groupBy("_k1", "_k2").agg(
         F.min("_starts").alias("_starts")
@@ -227,18 +225,43 @@ def _remove(window: int, passed: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text",
+                   carry: list[str] | None = None) -> DataFrame:
     """Remove each word that lies in a window of ``window`` words which starts anywhere else too.
 
-    Returns ``id_col`` with ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one blank) and ``removed``
-    (maximal intervals of word numbers), one row for each input row.  Windows are judged on the input: of two copies both
-    go.  Null and empty texts have no words and give an empty ``kept_text``; a null id is carried through; a repeated row
-    is a document of its own, and so its windows are repeated.  Other columns of ``docs`` are not read.
+    Returns the columns ``carry`` (``id_col`` by default) with ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by
+    one blank) and ``removed`` (maximal intervals of word numbers), one row for each input row.  Windows are judged on the
+    input: of two copies both go.  Null and empty texts have no words and give an empty ``kept_text``; a null id is carried
+    through; a repeated row is a document of its own, and so its windows are repeated.  Carried columns named like results
+    are replaced.
     """
     tidy_arrow(docs.sparkSession)
-    found = repeated_windows(docs, window, id_col, text_col)
-    texts = keyed(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), "_k1", "_k2")
-    joined = texts.join(found, ["_k1", "_k2"], "left").select("_id", "_text", "_starts")
-    kind = joined.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>"
-    return joined.mapInArrow(_remove(window, ["_id"]), schema).withColumnRenamed("_id", id_col)
+    carried = [c for c in (carry or [id_col]) if c not in ("n_words", "n_removed", "kept_text", "removed")]
+    inner = [f"_c{i}" for i in range(len(carried))]
+    texts = docs.select(
+        *(F.col(c).alias(x) for c, x in zip(carried, inner, strict=True)), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")
+    )
+    texts = keyed(texts, "_id", "_text").drop("_id")
+    found = repeated_windows(texts, window)
+    joined = texts.join(found, ["_k1", "_k2"], "left").select(*inner, "_text", "_starts")
+    kinds = "".join(f"{x} {joined.schema[x].dataType.simpleString()}, " for x in inner)
+    schema = f"{kinds}n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>"
+    out = joined.mapInArrow(_remove(window, inner), schema)
+    return out.select(*(F.col(x).alias(c) for c, x in zip(carried, inner, strict=True)), "n_words", "n_removed", "kept_text", "removed")
+
+
+def clean(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with all columns, repeated passages taken out of their texts and ``length_col``, if there is one, set anew.
+
+    A text of which nothing is removed stays as it is, null included.
+    """
+    own = docs.columns
+    plain = docs.toDF(*(f"_d{i}" for i in range(len(own))))
+    ids, text = (f"_d{own.index(c)}" for c in (id_col, text_col))
+    out = remove_repeats(plain, window, ids, text, plain.columns)
+    changed = F.col("n_removed") > 0
+    columns = {c: F.col(f"_d{i}") for i, c in enumerate(own)}
+    columns[text_col] = F.when(changed, F.col("kept_text")).otherwise(F.col(text))
+    if length_col in columns:
+        columns[length_col] = F.when(changed, F.length("kept_text")).otherwise(columns[length_col]).cast(docs.schema[length_col].dataType)
+    return out.select(*(x.alias(c) for c, x in columns.items()))
