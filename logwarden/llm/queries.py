@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import langid, neardup, packing, pieces, quality, sharding, substrings, toxicity, warc
+from logwarden.llm import langid, neardup, neighbours, packing, pieces, quality, sharding, substrings, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -119,3 +119,8 @@ def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     return toxicity.predict(docs, toxicity.fit(docs, labels, ["low_quality", "toxic"]))
+
+
+@query("op3_nn_descent")
+def op3_nn_descent(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
