@@ -1,12 +1,59 @@
-"""Corpus pipeline: quality rules, language ID, near-duplicates, repeated passages, packing."""
+"""Corpus pipeline over ``documents``: quality rules, language ID, near-duplicates, repeated passages, packing.
+
+Every stage takes and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logwarden.llm import langid, neardup, packing, quality, substrings
+
+#: A document stays if at least this share of its n-grams belongs to the language that is found.
+LEAST_SHARE = 0.4
+
+#: SQL cannot express the language models, filters and samples.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the base rules or the perplexity band of their language."""
+    return quality.assess(docs, carry=docs.columns).where("kept").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no learned language."""
+    filters = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs, filters)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return neardup.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages that occur more than once; ``n_chars`` follows the text.  No document is dropped."""
+    return substrings.clean(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of all documents: see :func:`logwarden.llm.packing.pack`."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("best-fit packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
