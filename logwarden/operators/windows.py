@@ -8,26 +8,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import blank_to_null, cut_text, nz, strip
+from logwarden.functions.text import blank_to_null, nz, strip
 from logwarden.functions.times import bucket, bucket_start, micros
 
 WINDOW_SECONDS = 5
-BATCH_SIZE = 50
-FETCH_SIZE = BATCH_SIZE * 4
+#: Rows of one text for a scorer, whose input is limited; a window has as many texts as it needs.
+TEXT_ROWS = 50
 
 # Verdict texts, ranks and confidences.
 NOTHING = "No malicious activity detected."
 VERDICT_SEVERITY = {"Critical": "CRITICAL", "Warning": "MEDIUM", "Info": "INFO"}
 VERDICT_CONFIDENCE = {"Critical": 0.90, "Warning": 0.70, "Info": 0.40}
-REASON_LIMIT = 300
-COMMAND_LIMIT = 300
 
 _KEYS = ["source_type", "window_ts"]
 _IDENTITY = ["agent_host", "event_id", "mitre_technique", "detection_module", "process_name", "dst_ip", "dst_port"]
 
 
 def assign_windows(inputs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Add the window start and the 16-digit fingerprint.
+    """Add the window start and the 16-digit fingerprint, which is a label: rows are told apart by the columns themselves.
 
     Windows are ``[start, end)`` on the epoch grid.
     """
@@ -44,20 +42,22 @@ def _top(df: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def dedupe_in_window(windowed: DataFrame) -> DataFrame:
-    """First row of each fingerprint inside its window."""
-    row = F.struct(*[c for c in windowed.columns if c not in (*_KEYS, "fingerprint")])
+    """First row of each alert (equal identity columns) inside its window."""
+    same = [nz(c).alias(f"__i{i}") for i, c in enumerate(_IDENTITY)]
+    row = F.struct(*[c for c in windowed.columns if c not in _KEYS])
     return (
-        windowed.groupBy(*_KEYS, "fingerprint")
+        windowed.groupBy(*_KEYS, *same)
         .agg(F.min_by(row, F.struct("ts", "source_event_id")).alias("r"))
-        .select(*_KEYS, "fingerprint", "r.*")
+        .select(*_KEYS, "r.*")
         .select(*windowed.columns)
     )
 
 
-def window_batches(inputs: DataFrame, seconds: int = WINDOW_SECONDS, batch: int | None = BATCH_SIZE) -> DataFrame:
-    """What one window verdict looks at: the oldest ``4 * batch`` rows of the
-    window, without repeated fingerprints, at most ``batch`` of them.
-    ``batch=None`` looks at every row."""
+def window_batches(inputs: DataFrame, seconds: int = WINDOW_SECONDS, batch: int | None = None) -> DataFrame:
+    """What one window verdict looks at: every row of the window, without repeated alerts.
+
+    ``batch`` looks at a part only: of the oldest ``4 * batch`` rows of a window at most ``batch`` different ones.
+    """
     windowed = assign_windows(inputs, seconds)
     if batch is None:
         return dedupe_in_window(windowed)
@@ -69,95 +69,63 @@ def _rank(severity: Column) -> Column:
     return F.when(s.isin("CRITICAL", "HIGH"), 3).when(s.isin("MEDIUM", "LOW"), 2).otherwise(1)
 
 
-def _ordered_values(batches: DataFrame, values: Column, name: str) -> DataFrame:
-    """Distinct values of each window in order of first appearance.
-
-    Values are reduced to one row each before they are collected.
-    """
-    each = batches.select(*_KEYS, micros("ts").alias("us"), "source_event_id", F.posexplode(values).alias("k", "v"))
-    first = each.withColumn("v", strip("v")).filter(F.col("v") != "").groupBy(*_KEYS, "v").agg(
-        F.min(F.struct("us", "source_event_id", "k")).alias("o")
-    )
-    return first.groupBy(*_KEYS).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda s: s["v"]).alias(name)
-    )
-
-
-def _verdict_columns() -> list[Column]:
-    quiet = (F.col("rank") == 1) & (F.size("ioc") == 0) & (F.size("ioa") == 0)
-    reason = cut_text(F.coalesce("first_details", F.lit(NOTHING)), REASON_LIMIT, REASON_LIMIT - 1)
-    return [
-        F.when(F.col("rank") == 3, "Critical").when(F.col("rank") == 2, "Warning").otherwise("Info").alias("verdict"),
-        F.when(quiet, NOTHING).otherwise(reason).alias("reasoning"),
-        F.col("ioc"), F.col("ioa"), F.lit("passthrough").alias("model"),
-    ]
-
-
-def _port(row: Column | None = None) -> Column:
-    port = F.col("dst_port") if row is None else row["dst_port"]
-    return F.when(port != "", F.concat(F.lit("port:"), port))
-
+def _values() -> Column:
+    """What a row adds to its window: itself, its indicators of compromise and its technique, as (kind, value)."""
+    def value(kind: str, v: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), strip(v).alias("v"))
 
-def _technique(row: Column | None = None) -> Column:
-    technique = F.col("mitre_technique") if row is None else row["mitre_technique"]
-    return F.when(technique != "", F.concat(F.lit("mitre:"), technique))
+    port = F.when(F.col("dst_port") != "", F.concat(F.lit("port:"), F.col("dst_port")))
+    technique = F.when(F.col("mitre_technique") != "", F.concat(F.lit("mitre:"), F.col("mitre_technique")))
+    found = F.array(value("ioc", F.col("src_ip")), value("ioc", F.col("dst_ip")), value("ioc", port), value("ioa", technique))
+    return F.concat(F.array(value("row", F.lit(""))), F.filter(found, lambda x: x["v"] != ""))
 
 
-def _first_details() -> Column:
-    order = F.struct(micros("ts"), F.col("source_event_id"))
+def _value_rows(batches: DataFrame) -> DataFrame:
+    """One row for each different value of a window: how often, and where first."""
     details = F.nullif(strip("event_details"), F.lit(""))
-    return F.min_by(details, F.when(details.isNotNull(), order))
-
-
-def _with_rows(batches: DataFrame) -> DataFrame:
-    """Verdict of each window next to its rows, in one aggregation.
-
-    The rows of a window are collected, which is only for capped batches:
-    at most ``batch`` rows each.
-    """
-    columns = [c for c in batches.columns if c not in _KEYS]
-    row = F.struct("ts", "source_event_id", *[c for c in columns if c not in ("ts", "source_event_id")])
-    grouped = batches.groupBy(*_KEYS).agg(
-        F.max(_rank(F.col("rule_severity"))).alias("rank"), _first_details().alias("first_details"),
-        F.count("*").alias("rows"), F.array_sort(F.collect_list(row)).alias("r"),
+    each = batches.select(
+        *_KEYS, micros("ts").alias("us"), "source_event_id", _rank(F.col("rule_severity")).alias("rank"), details.alias("details"),
+        F.posexplode(_values()).alias("k", "x"),
+    ).select("*", "x.kind", "x.v")
+    order = F.struct("us", "source_event_id")
+    return each.groupBy(*_KEYS, "kind", "v").agg(
+        F.max("rank").alias("rank"), F.count("*").alias("rows"), F.min(F.struct("us", "source_event_id", "k")).alias("o"),
+        F.min(F.when(F.col("details").isNotNull() & (F.col("kind") == "row"), F.struct(order.alias("o"), "details"))).alias("d"),
     )
 
-    def distinct(values) -> Column:
-        flat = F.transform(F.array_compact(F.flatten(F.transform("r", values))), lambda v: strip(v))
-        return F.array_distinct(F.filter(flat, lambda v: v != ""))
 
-    listed = grouped.withColumn("ioc", distinct(lambda x: F.array(x["src_ip"], x["dst_ip"], _port(x)))).withColumn(
-        "ioa", distinct(lambda x: F.array(_technique(x))))
-    return listed.select(*_KEYS, *_verdict_columns(), "rows", "r")
+def window_evidence(batches: DataFrame) -> DataFrame:
+    """Indicators of compromise and attack of each window, one row each: kind, value, rows, first_us."""
+    return _value_rows(batches).where("kind <> 'row'").select(
+        *_KEYS, "kind", F.col("v").alias("value"), "rows", F.col("o")["us"].alias("first_us")
+    )
 
 
-def window_verdicts(batches: DataFrame, capped: bool = True) -> DataFrame:
-    """Rule verdict of each (source, window): verdict, reasoning, ioc, ioa.
+def window_verdicts(batches: DataFrame) -> DataFrame:
+    """Rule verdict of each (source, window): verdict, reasoning, iocs, ioa, rows.
 
-    ``capped`` says that ``batches`` comes from a row cap per window; without
-    one the values are made distinct before they are collected.
+    ``iocs`` is the number of different indicators of compromise, which :func:`window_evidence` lists; ``ioa`` holds the
+    techniques in order of first appearance and is as long as the rule set allows.  Values are counted before anything is
+    listed, in one pass over the rows.
     """
-    if capped:
-        return _with_rows(batches).drop("r")
-    base = batches.groupBy(*_KEYS).agg(
-        F.max(_rank(F.col("rule_severity"))).alias("rank"), _first_details().alias("first_details"),
-        F.count("*").alias("rows"),
+    is_ioa = F.col("kind") == "ioa"
+    base = _value_rows(batches).groupBy(*_KEYS).agg(
+        F.max("rank").alias("rank"), F.max(F.when(F.col("kind") == "row", F.col("rows"))).alias("rows"),
+        F.min("d")["details"].alias("first_details"), F.count_if(F.col("kind") == "ioc").alias("iocs"),
+        F.transform(F.array_sort(F.collect_list(F.when(is_ioa, F.struct("o", "v")))), lambda s: s["v"]).alias("ioa"),
     )
-    ioc = _ordered_values(batches, F.array_compact(F.array("src_ip", "dst_ip", _port())), "ioc")
-    ioa = _ordered_values(batches, F.array_compact(F.array(_technique())), "ioa")
-    none = F.array().cast("array<string>")
-    joined = base.join(ioc, _KEYS, "left").join(ioa, _KEYS, "left").select(
-        *_KEYS, "rank", "first_details", "rows",
-        F.coalesce("ioc", none).alias("ioc"), F.coalesce("ioa", none).alias("ioa"),
+    quiet = (F.col("rank") == 1) & (F.col("iocs") == 0) & (F.size("ioa") == 0)
+    return base.select(
+        *_KEYS,
+        F.when(F.col("rank") == 3, "Critical").when(F.col("rank") == 2, "Warning").otherwise("Info").alias("verdict"),
+        F.when(quiet, NOTHING).otherwise(F.coalesce("first_details", F.lit(NOTHING))).alias("reasoning"),
+        "iocs", "ioa", F.lit("passthrough").alias("model"), "rows",
     )
-    return joined.select(*_KEYS, *_verdict_columns(), "rows")
 
 
 def rule_pass_rows(batches: DataFrame) -> DataFrame:
-    """:func:`pass_rows` with the rule verdict, without a join (capped batches)."""
-    judged = _with_rows(batches)
-    return _pass_columns(judged.withColumn("r", F.explode("r")).select(
-        *_KEYS, "verdict", "reasoning", "ioc", "ioa", "model", "r.*"), False)
+    """:func:`pass_rows` with the rule verdict."""
+    return pass_rows(batches, window_verdicts(batches))
 
 
 def _by_verdict(verdict: Column, values: dict) -> Column:
@@ -168,9 +136,10 @@ def _by_verdict(verdict: Column, values: dict) -> Column:
 
 
 def pass_rows(batches: DataFrame, verdicts: DataFrame, scored: bool = False) -> DataFrame:
-    """Every row of a window with the verdict of its window."""
-    v = verdicts.select(*_KEYS, "verdict", "reasoning", "ioc", "ioa", "model")
-    return _pass_columns(batches.join(v, _KEYS), scored)
+    """Every row of a window with the verdict of its window and the indicators that the row itself adds."""
+    v = verdicts.select(*_KEYS, "verdict", "reasoning", "iocs", "ioa", "model")
+    own = F.transform(F.filter(_values(), lambda x: x["kind"] == "ioc"), lambda x: x["v"])
+    return _pass_columns(batches.withColumn("ioc", F.array_distinct(own)).join(v, _KEYS), scored)
 
 
 def _pass_columns(judged: DataFrame, scored: bool) -> DataFrame:
@@ -189,7 +158,7 @@ def _pass_columns(judged: DataFrame, scored: bool) -> DataFrame:
         severity.alias("llm_severity"),
         blank_to_null(summary).alias("llm_short_summary"),
         (F.size("ioa") > 0).alias("llm_is_ioa"),
-        (F.size("ioc") > 0).alias("llm_is_ioc"),
+        (F.col("iocs") > 0).alias("llm_is_ioc"),
         blank_to_null(F.array_join("ioc", ",")).alias("llm_ioc_values"),
         blank_to_null(F.array_join("ioa", ",")).alias("llm_ioa_values"),
         F.lit(None).cast("string").alias("llm_mitre_technique"),
@@ -211,8 +180,11 @@ def _quoted(c: str) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
-def window_texts(batches: DataFrame, preamble: str = "") -> DataFrame:
-    """One document per window: its rows as numbered lines in time order."""
+def window_texts(batches: DataFrame, preamble: str = "", rows: int = TEXT_ROWS) -> DataFrame:
+    """Documents of a window for a scorer: its rows as numbered lines in time order, about ``rows`` of them in each ``part``.
+
+    The rows of a window are dealt to parts by a hash of their id, so a busy window has more texts and not a longer one.
+    """
     lines = F.concat(
         F.lit("source="), "source_type", F.lit(" host="), _quoted("agent_host"), F.lit(" event_id="), _quoted("event_id"),
         F.lit(" rule_severity="), "rule_severity", F.lit(" mitre="), _quoted("mitre_technique"), F.lit(" module="),
@@ -222,25 +194,29 @@ def window_texts(batches: DataFrame, preamble: str = "") -> DataFrame:
         .otherwise(""),
         F.when(F.col("process_name") != "", F.concat(F.lit("    process: "), _quoted("process_name"), F.lit("\n")))
         .otherwise(""),
-        F.when(F.col("command_line") != "", F.concat(F.lit("    cmdline: "), _quoted("__cmd"), F.lit("\n"))).otherwise(""),
+        F.when(F.col("command_line") != "", F.concat(F.lit("    cmdline: "), _quoted("command_line"), F.lit("\n"))).otherwise(""),
         F.when(F.col("action") != "", F.concat(F.lit("    fw_action: "), "action", F.lit(" sent_bytes: "), "sent_bytes",
                                                F.lit("\n"))).otherwise(""),
         F.lit("\n"),
     )
-    prepared = batches.withColumn("__cmd", cut_text(F.col("command_line"), COMMAND_LIMIT, COMMAND_LIMIT))
-    ordered = prepared.select(*_KEYS, F.struct(micros("ts"), F.col("source_event_id")).alias("o"), lines.alias("line"))
+    number = F.conv(F.substring(F.md5(F.col("source_event_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    parts = batches.groupBy(*_KEYS).agg(F.ceil(F.count("*") / rows).alias("parts"))
+    ordered = batches.select(
+        *_KEYS, number.alias("h"), F.struct(micros("ts"), F.col("source_event_id")).alias("o"), lines.alias("line")
+    ).join(parts, _KEYS).withColumn("part", F.col("h") % F.col("parts"))
     numbered = F.transform(
         F.array_sort(F.collect_list(F.struct("o", "line"))),
         lambda s, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), s["line"]),
     )
-    return ordered.groupBy(*_KEYS).agg(F.concat(F.lit(preamble), F.array_join(numbered, "")).alias("text"))
+    return ordered.groupBy(*_KEYS, "part").agg(F.concat(F.lit(preamble), F.array_join(numbered, "")).alias("text"))
 
 
 def score_windows(batches: DataFrame, scorer: Callable[[str], str], preamble: str = "") -> DataFrame:
     """Window verdicts by a user-supplied model, the rule verdict where it fails.
 
-    ``scorer`` maps the window text to a JSON answer with verdict, reasoning,
-    ioc and ioa, possibly wrapped in other text; it runs on the executors.
+    ``scorer`` maps the text of one part of a window to a JSON answer with verdict, reasoning, ioc and ioa, possibly
+    wrapped in other text; it runs on the executors.  The worst answer of a window's parts decides (the first part of
+    equal ones); indicators are counted over all parts.
     """
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,23 +227,30 @@ def score_windows(batches: DataFrame, scorer: Callable[[str], str], preamble: st
                     answers.append(scorer(text))
                 except Exception:  # any failure means: use the rule verdict
                     answers.append(None)
-            yield frame[_KEYS].assign(answer=answers)
+            yield frame[[*_KEYS, "part"]].assign(answer=answers)
 
     texts = window_texts(batches, preamble)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*_KEYS).schema) + ", answer string"
-    answered = texts.mapInPandas(call, schema)
-    parsed = answered.withColumn("a", read_answer(F.col("answer"))).drop("answer")
-    rule = window_verdicts(batches)
-    ok = F.col("a").isNotNull()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*_KEYS, "part").schema) + ", answer string"
     word = F.lower(strip(nz("a.verdict")))
-    verdict = F.when(word == "critical", "Critical").when(word == "warning", "Warning").otherwise("Info")
     none = F.array().cast("array<string>")
-    return rule.join(parsed, _KEYS, "left").select(
+    answered = texts.mapInPandas(call, schema).withColumn("a", read_answer(F.col("answer"))).where("a IS NOT NULL").select(
+        *_KEYS, "part", F.when(word == "critical", 3).when(word == "warning", 2).otherwise(1).alias("level"),
+        F.coalesce(blank_to_null("a.reasoning"), F.lit(NOTHING)).alias("reasoning"),
+        F.size(F.array_distinct(F.coalesce("a.ioc", none))).alias("iocs"), F.coalesce("a.ioa", none).alias("ioa"),
+    )
+    worst = F.struct(-F.col("level"), F.col("part"))
+    parsed = answered.groupBy(*_KEYS).agg(
+        F.max("level").alias("s_level"), F.min_by("reasoning", worst).alias("s_reasoning"), F.sum("iocs").alias("s_iocs"),
+        F.min_by("ioa", worst).alias("s_ioa"),
+    )
+    ok = F.col("s_level").isNotNull()
+    verdict = F.when(F.col("s_level") == 3, "Critical").when(F.col("s_level") == 2, "Warning").otherwise("Info")
+    return window_verdicts(batches).join(parsed, _KEYS, "left").select(
         *_KEYS,
         F.when(ok, verdict).otherwise(F.col("verdict")).alias("verdict"),
-        F.when(ok, F.coalesce(blank_to_null("a.reasoning"), F.lit(NOTHING))).otherwise(F.col("reasoning")).alias("reasoning"),
-        F.when(ok, F.coalesce("a.ioc", none)).otherwise(F.col("ioc")).alias("ioc"),
-        F.when(ok, F.coalesce("a.ioa", none)).otherwise(F.col("ioa")).alias("ioa"),
+        F.coalesce("s_reasoning", "reasoning").alias("reasoning"),
+        F.coalesce("s_iocs", "iocs").alias("iocs"),
+        F.coalesce("s_ioa", "ioa").alias("ioa"),
         F.when(ok, "scorer").otherwise(F.col("model")).alias("model"),
         "rows",
     )

@@ -100,31 +100,35 @@ win AS (
   FROM inp
 ),
 fetched AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY source_type, window_us ORDER BY us, id) <= {fetch}),
-dedup AS (SELECT * FROM fetched QUALIFY row_number() OVER (PARTITION BY source_type, window_us, fingerprint ORDER BY us, id) = 1),
+dedup AS (SELECT * FROM fetched QUALIFY row_number() OVER (PARTITION BY source_type, window_us, agent_host, event_id, mitre_technique, detection_module, process_name, dst_ip, dst_port ORDER BY us, id) = 1),
 batch AS (SELECT * FROM dedup QUALIFY row_number() OVER (PARTITION BY source_type, window_us ORDER BY us, id) <= {keep})"""
 _VERDICTS = """
-ioc0 AS (
-  SELECT source_type, window_us, us, id, unnest([src_ip, dst_ip, CASE WHEN dst_port <> '' THEN 'port:' || dst_port ELSE '' END]) AS v,
-         unnest([1, 2, 3]) AS k FROM batch
+evi AS (
+  SELECT source_type, window_us, kind, v AS value, count(*) AS rows, min((us, id, k)) AS o FROM (
+    SELECT source_type, window_us, us, id, unnest([trim(src_ip), trim(dst_ip), CASE WHEN dst_port <> '' THEN 'port:' || trim(dst_port) ELSE '' END,
+             CASE WHEN mitre_technique <> '' THEN 'mitre:' || trim(mitre_technique) ELSE '' END]) AS v,
+           unnest(['ioc', 'ioc', 'ioc', 'ioa']) AS kind, unnest([1, 2, 3, 4]) AS k FROM batch
+  ) WHERE v <> '' GROUP BY ALL
+),
+lists AS (
+  SELECT source_type, window_us, count(*) FILTER (WHERE kind = 'ioc') AS iocs, string_agg(value, ',' ORDER BY o) FILTER (WHERE kind = 'ioa') AS ioa,
+         string_agg(value, '; ' ORDER BY o) FILTER (WHERE kind = 'ioa') AS ioa_text
+  FROM evi GROUP BY ALL
 ),
-ioc1 AS (SELECT source_type, window_us, v, min((us, id, k)) AS o FROM ioc0 WHERE v <> '' GROUP BY ALL),
-ioc AS (SELECT source_type, window_us, string_agg(v, ',' ORDER BY o) AS ioc FROM ioc1 GROUP BY ALL),
-ioa1 AS (SELECT source_type, window_us, 'mitre:' || mitre_technique AS v, min((us, id)) AS o FROM batch WHERE mitre_technique <> '' GROUP BY ALL),
-ioa AS (SELECT source_type, window_us, string_agg(v, ',' ORDER BY o) AS ioa, string_agg(v, '; ' ORDER BY o) AS ioa_text FROM ioa1 GROUP BY ALL),
 ver0 AS (
   SELECT source_type, window_us, count(*) AS n,
          max(CASE WHEN severity IN ('CRITICAL','HIGH') THEN 3 WHEN severity IN ('MEDIUM','LOW') THEN 2 ELSE 1 END) AS rank,
-         arg_min(event_details, (us, id)) FILTER (WHERE trim(event_details) <> '') AS details
+         arg_min(trim(event_details), (us, id)) FILTER (WHERE trim(event_details) <> '') AS details
   FROM batch GROUP BY ALL
 ),
 ver AS (
   SELECT v.source_type, v.window_us, v.n, CASE rank WHEN 3 THEN 'Critical' WHEN 2 THEN 'Warning' ELSE 'Info' END AS verdict,
-         coalesce(CASE WHEN length(details) > 300 THEN left(details, 299) || '...' ELSE details END, 'No malicious activity detected.') AS reasoning,
-         coalesce(ioc, '') AS ioc, coalesce(ioa, '') AS ioa, ioa_text
-  FROM ver0 v LEFT JOIN ioc USING (source_type, window_us) LEFT JOIN ioa USING (source_type, window_us)
+         coalesce(details, 'No malicious activity detected.') AS reasoning,
+         coalesce(iocs, 0) AS iocs, coalesce(ioa, '') AS ioa, ioa_text
+  FROM ver0 v LEFT JOIN lists USING (source_type, window_us)
 )"""
-WINDOW_SQL = V.with_views(V.SQL_SECURITY, V.SQL_FIREWALL, V.SQL_FIREWALL_VERDICT,
-                          _INPUTS.format(fetch=200, keep=50), _VERDICTS)
+_ALL_ROWS = _INPUTS.format(fetch=10**15, keep=10**15)
+WINDOW_SQL = V.with_views(V.SQL_SECURITY, V.SQL_FIREWALL, V.SQL_FIREWALL_VERDICT, _ALL_ROWS, _VERDICTS)
 PASS_CTE = """,
 passed AS (
   SELECT b.id AS source_event_id, b.source_type, b.window_us, nullif(b.agent_host, '') AS agent_host, nullif(b.event_id, '') AS event_id,
@@ -133,7 +137,9 @@ passed AS (
          CASE verdict WHEN 'Critical' THEN 'CRITICAL' WHEN 'Warning' THEN 'MEDIUM' ELSE 'INFO' END AS final_severity,
          CASE verdict WHEN 'Critical' THEN 0.9 WHEN 'Warning' THEN 0.7 ELSE 0.4 END::DOUBLE AS llm_confidence,
          reasoning || CASE WHEN ioa <> '' THEN ' | IOA: ' || ioa_text ELSE '' END AS final_summary,
-         nullif(b.mitre_technique, '') AS final_mitre, nullif(ioc, '') AS llm_ioc_values
+         nullif(b.mitre_technique, '') AS final_mitre,
+         nullif(concat_ws(',', nullif(trim(src_ip), ''), CASE WHEN trim(dst_ip) <> trim(src_ip) THEN nullif(trim(dst_ip), '') END,
+                          CASE WHEN dst_port <> '' THEN 'port:' || trim(dst_port) END), '') AS llm_ioc_values
   FROM batch b JOIN ver USING (source_type, window_us)
 )"""
 
@@ -165,11 +171,19 @@ def window_batches_small_cap(spark, sf):
 
 
 @query("window_verdicts", WINDOW_SQL + """
-SELECT source_type, window_us, verdict, reasoning, ioc, ioa, n AS rows FROM ver""")
+SELECT source_type, window_us, verdict, reasoning, iocs, ioa, n AS rows FROM ver""")
 def window_verdicts(spark, sf):
     return W.window_verdicts(W.window_batches(window_inputs(spark, sf))).select(
-        "source_type", micros("window_ts").alias("window_us"), "verdict", "reasoning",
-        F.array_join("ioc", ",").alias("ioc"), F.array_join("ioa", ",").alias("ioa"), "rows",
+        "source_type", micros("window_ts").alias("window_us"), "verdict", "reasoning", "iocs",
+        F.array_join("ioa", ",").alias("ioa"), "rows",
+    )
+
+
+@query("window_evidence", WINDOW_SQL + """
+SELECT source_type, window_us, kind, value, rows, o[1] AS first_us FROM evi""")
+def window_evidence(spark, sf):
+    return W.window_evidence(W.window_batches(window_inputs(spark, sf))).select(
+        "source_type", micros("window_ts").alias("window_us"), "kind", "value", "rows", "first_us"
     )
 
 
@@ -188,32 +202,21 @@ def window_pass_rows(spark, sf):
     return pass_table(spark, sf).select(*PASS_COLUMNS, micros("window_ts").alias("window_us"))
 
 
-@query("window_verdicts_uncapped", V.with_views(V.SQL_SECURITY, V.SQL_FIREWALL, V.SQL_FIREWALL_VERDICT,
-                                                  _INPUTS.format(fetch=10**9, keep=10**9), _VERDICTS) + """
-SELECT source_type, window_us, verdict, reasoning, ioc, ioa, n AS rows FROM ver""")
-def window_verdicts_uncapped(spark, sf):
-    batches = W.window_batches(window_inputs(spark, sf), batch=None)
-    return W.window_verdicts(batches, capped=False).select(
-        "source_type", micros("window_ts").alias("window_us"), "verdict", "reasoning",
-        F.array_join("ioc", ",").alias("ioc"), F.array_join("ioa", ",").alias("ioa"), "rows",
-    )
-
-
 @query("window_texts", WINDOW_SQL + """,
 doc AS (
-  SELECT source_type, window_us, us, id, row_number() OVER (PARTITION BY source_type, window_us ORDER BY us, id) - 1 AS i,
+  SELECT source_type, window_us, part, us, id, row_number() OVER (PARTITION BY source_type, window_us, part ORDER BY us, id) - 1 AS i,
     'source=' || source_type || ' host="' || agent_host || '" event_id="' || event_id || '" rule_severity=' || severity
     || ' mitre="' || mitre_technique || '" module="' || detection_module || '"' || chr(10) || '    rule_detail="' || event_details || '"' || chr(10)
     || CASE WHEN src_ip <> '' OR dst_ip <> '' THEN '    network: ' || src_ip || ' -> ' || dst_ip || ':' || dst_port || chr(10) ELSE '' END
     || CASE WHEN process_name <> '' THEN '    process: "' || replace(process_name, '\\', '\\\\') || '"' || chr(10) ELSE '' END
     || CASE WHEN command_line <> '' THEN '    cmdline: "' || replace(command_line, '\\', '\\\\') || '"' || chr(10) ELSE '' END
     || CASE WHEN action <> '' THEN '    fw_action: ' || action || ' sent_bytes: ' || sent_bytes || chr(10) ELSE '' END || chr(10) AS line
-  FROM batch
+  FROM (SELECT *, ('0x' || left(md5(id::VARCHAR), 8))::BIGINT % ceil(count(*) OVER (PARTITION BY source_type, window_us) / 50)::BIGINT AS part FROM batch)
 )
-SELECT source_type, window_us, string_agg('[' || i || '] ' || line, '' ORDER BY us, id) AS text FROM doc GROUP BY ALL""")
+SELECT source_type, window_us, part, string_agg('[' || i || '] ' || line, '' ORDER BY us, id) AS text FROM doc GROUP BY ALL""")
 def window_texts(spark, sf):
     return W.window_texts(W.window_batches(window_inputs(spark, sf))).select(
-        "source_type", micros("window_ts").alias("window_us"), "text"
+        "source_type", micros("window_ts").alias("window_us"), "part", "text"
     )
 
 

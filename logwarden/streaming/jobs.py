@@ -123,34 +123,21 @@ def suppress_stream_uncounted(df: DataFrame, ts_col: str = "ts", window: str = "
 # ---------------------------------------------------------------------------
 
 
-def window_batches_stream(inputs: DataFrame, delay: str = "10 seconds", seconds: int = W.WINDOW_SECONDS,
-                          batch: int = W.BATCH_SIZE) -> DataFrame:
-    """Closed windows of a stream, one row each with the rows to look at.
-
-    Two chained windowed aggregations: first one row per fingerprint, then the
-    oldest ``batch`` of them.  State holds open windows only.
-    """
+def window_rows_stream(inputs: DataFrame, delay: str = "10 seconds", seconds: int = W.WINDOW_SECONDS) -> DataFrame:
+    """Rows of closed windows of a stream without repeated alerts, one row each: no window is gathered in state."""
     stamped = W.assign_windows(inputs.withWatermark("ts", delay), seconds)
     names = [c for c in inputs.columns if c not in ("source_type",)]
-    first = stamped.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "source_type", "fingerprint").agg(
+    same = [F.coalesce(F.col(c), F.lit("")).alias(f"__i{i}") for i, c in enumerate(W._IDENTITY)]
+    first = stamped.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "source_type", *same).agg(
         F.min(F.struct("ts", "source_event_id", *[c for c in names if c not in ("ts", "source_event_id")])).alias("r")
     )
-    closed = first.groupBy(F.window(F.window_time("w"), f"{seconds} seconds").alias("w"), "source_type").agg(
-        F.slice(F.array_sort(F.collect_list("r")), 1, batch).alias("rows")
-    )
-    return closed.select(F.col("w.start").alias("window_ts"), "source_type", "rows")
+    return first.select(F.col("w.start").alias("window_ts"), "source_type", "r.*", F.lit("").alias("fingerprint"))
 
 
 def pass_rows_stream(inputs: DataFrame, path: str, checkpoint: str, delay: str = "10 seconds",
                      trigger: dict | None = None) -> StreamingQuery:
-    """Verdict rows of closed windows, written batch by batch."""
-
-    def job(closed: DataFrame) -> DataFrame:
-        rows = closed.select("window_ts", "source_type", F.explode("rows").alias("r")).select(
-            "window_ts", "source_type", "r.*", F.lit("").alias("fingerprint"))
-        return W.rule_pass_rows(rows)
-
-    return each_batch(window_batches_stream(inputs, delay), job, path, checkpoint, trigger)
+    """Verdict rows of closed windows, written batch by batch.  A window closes as a whole, so one batch has all its rows."""
+    return each_batch(window_rows_stream(inputs, delay), W.rule_pass_rows, path, checkpoint, trigger)
 
 
 # ---------------------------------------------------------------------------

@@ -217,10 +217,25 @@ def test_low_row_of_a_critical_window_ends_critical(spark):
     df = window_input(spark, (0, "LOW", "", "first", "1.1.1.1"), (1, "HIGH", "T1", "second", "2.2.2.2"), (7, "LOW", "T2", "", ""))
     rows = {r.source_event_id: r for r in W.rule_pass_rows(W.window_batches(df)).collect()}
     assert rows[0].final_severity == "CRITICAL" and rows[0].llm_confidence == 0.9
-    assert rows[0].final_summary == "first | IOA: mitre:T1" and rows[0].llm_ioc_values == "1.1.1.1,2.2.2.2"
+    assert rows[0].final_summary == "first | IOA: mitre:T1" and rows[0].llm_ioc_values == "1.1.1.1" and rows[0].llm_is_ioc
     assert rows[2].final_severity == "MEDIUM" and rows[2].final_summary == "No malicious activity detected. | IOA: mitre:T2"
 
 
+def test_only_critical_row_of_a_busy_window_is_the_last(spark):
+    many = spark.range(100_000).select(
+        F.col("id").alias("source_event_id"), F.lit("windows").alias("source_type"),
+        (F.lit(at(0)).cast("timestamp") + F.make_dt_interval(secs=F.col("id") / 25_000)).alias("ts"), F.lit("h").alias("agent_host"),
+        F.lit("1").alias("event_id"), F.when(F.col("id") == 99_999, "CRITICAL").otherwise("LOW").alias("rule_severity"),
+        F.lit("").alias("mitre_technique"), F.lit("m").alias("detection_module"), F.lit("d").alias("event_details"),
+        F.concat(F.lit("10.0."), F.col("id").cast("string")).alias("src_ip"), F.lit("").alias("dst_ip"), F.lit("").alias("dst_port"),
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("process_name"), F.lit("").alias("command_line"),
+        F.lit("").alias("action"), F.lit("").alias("sent_bytes"))
+    (got,) = W.window_verdicts(W.window_batches(many)).collect()
+    assert (got.verdict, got.rows, got.iocs, got.ioa) == ("Critical", 100_000, 100_000, [])
+    texts = W.window_texts(W.window_batches(many.limit(1000)))
+    assert texts.count() == 20 and texts.agg(F.max(F.length("text"))).first()[0] < 20_000
+
+
 def test_scorer_answers_and_falls_back(spark):
     df = window_input(spark, (0, "LOW", "T1", "a", ""), (10, "LOW", "T2", "b", ""), (20, "LOW", "T3", "c", ""))
 
@@ -232,7 +247,7 @@ def test_scorer_answers_and_falls_back(spark):
         return 'Sure: {"verdict": " CRITICAL ", "reasoning": "", "ioc": ["x"], "ioa": []} done'
 
     got = {r.window_ts.second: r for r in W.score_windows(W.window_batches(df), scorer).collect()}
-    assert (got[0].verdict, got[0].reasoning, got[0].ioc, got[0].model) == ("Critical", W.NOTHING, ["x"], "scorer")
+    assert (got[0].verdict, got[0].reasoning, got[0].iocs, got[0].model) == ("Critical", W.NOTHING, 1, "scorer")
     assert (got[10].verdict, got[10].model) == ("Warning", "passthrough")
     assert (got[20].verdict, got[20].model) == ("Warning", "passthrough")
 
