@@ -9,16 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import blank_to_null, cut_text, nz, strip
+from logwarden.functions.text import blank_to_null, nz, strip
 from logwarden.functions.times import as_timestamp, bucket, bucket_start, iso_text
 
-# Window length, row caps, classifier threshold, known answers.
+# Window length, classifier threshold, known answers.
 WINDOW_MINUTES = 10
-CAPS = {"windows": 3000, "firewall": 5000, "scada": 5000}
 MALICIOUS_CONFIDENCE = 0.30
 ASSESSMENTS = ["malicious", "suspicious", "healthy", "safe"]
 ENGINE = "correlationengine_v2"
-ERROR_LIMIT = 1500
+#: After this time a claimed window that has neither succeeded nor failed can be claimed again.
+LEASE_SECONDS = 3600
 
 
 def last_closed_window(now: dt.datetime, minutes: int = WINDOW_MINUTES) -> tuple[dt.datetime, dt.datetime]:
@@ -46,7 +46,7 @@ def oldest_per_window(df: DataFrame, order: list[str], cap: int | None) -> DataF
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= cap).drop("__rn")
 
 
-def window_pass_events(rows: DataFrame, minutes: int = WINDOW_MINUTES, cap: int | None = CAPS["windows"]) -> DataFrame:
+def window_pass_events(rows: DataFrame, minutes: int = WINDOW_MINUTES, cap: int | None = None) -> DataFrame:
     """Endpoint verdict rows by ``window_ts``, or ``created_at`` where that is missing."""
     when = F.coalesce("window_ts", "created_at") if "created_at" in rows.columns else F.col("window_ts")
     picked = rows.filter(F.col("source_type") == "windows").select(
@@ -58,7 +58,7 @@ def window_pass_events(rows: DataFrame, minutes: int = WINDOW_MINUTES, cap: int
 
 
 def window_firewall_events(rows: DataFrame, ts_col: str = "ts", minutes: int = WINDOW_MINUTES,
-                           cap: int | None = CAPS["firewall"]) -> DataFrame:
+                           cap: int | None = None) -> DataFrame:
     """Firewall rows of every level by receive time."""
     picked = rows.select(
         "id", as_timestamp(ts_col).alias("ts"),
@@ -69,7 +69,7 @@ def window_firewall_events(rows: DataFrame, ts_col: str = "ts", minutes: int = W
 
 
 def window_scada_events(rows: DataFrame, ts_col: str = "timestamp", minutes: int = WINDOW_MINUTES,
-                        cap: int | None = CAPS["scada"]) -> DataFrame:
+                        cap: int | None = None) -> DataFrame:
     """SCADA rows by event time."""
     names = [c for c in ("source", "tag", "name", "message", "state", "classification", "username", "userlocation",
                          "raw_log") if c in rows.columns]
@@ -82,10 +82,21 @@ def window_scada_events(rows: DataFrame, ts_col: str = "timestamp", minutes: int
 # ---------------------------------------------------------------------------
 
 
+def _texts(answer: Column, *keys: str) -> list[Column]:
+    """Values of the keys that hold a text, else null; an empty text is a value."""
+    found = [F.try_variant_get(F.try_parse_json(answer), f"$.{k}", "variant") for k in keys]
+    return [F.when(F.schema_of_variant(x) == "STRING", strip(F.try_variant_get(x, "$", "string"))) for x in found]
+
+
 def read_label(answer: Column) -> Column:
-    """First text among classification, label, verdict, result."""
-    fields = [F.nullif(F.get_json_object(answer, f"$.{k}"), F.lit("")) for k in ("classification", "label", "verdict", "result")]
-    return F.coalesce(blank_to_null(F.lower(strip(F.coalesce(*fields, F.lit(""))))), F.lit("benign"))
+    """The first text that is there among classification, label, verdict, result, even an empty one; benign if it is empty."""
+    first = F.coalesce(*_texts(answer, "classification", "label", "verdict", "result"), F.lit(""))
+    return F.coalesce(blank_to_null(F.lower(first)), F.lit("benign"))
+
+
+def read_error(answer: Column) -> Column:
+    """The error that a classifier reports instead of an answer; null without one."""
+    return blank_to_null(F.coalesce(*_texts(answer, "error")))
 
 
 def read_confidence(answer: Column) -> Column:
@@ -107,8 +118,8 @@ def classify(events: DataFrame, classifier: Callable[[list[str]], list[str]] | N
     """Add raw_response, confidence and classification (malicious or benign).
 
     ``classifier`` maps a list of summaries to JSON answers and runs on the
-    executors, a batch at a time; an error fails the job and so the window.
-    Without one the severity decides.
+    executors, a batch at a time; an error, raised or answered as ``error``, fails
+    the job and so the window.  Without one the severity decides.
     """
     if classifier is None:
         answered = events.withColumn("raw_response", severity_answer(F.col("final_severity")))
@@ -122,9 +133,11 @@ def classify(events: DataFrame, classifier: Callable[[list[str]], list[str]] | N
         answered = events.mapInPandas(call, schema)
     confidence = read_confidence(F.col("raw_response"))
     malicious = read_label(F.col("raw_response")).contains("malicious") & (confidence >= threshold)
+    error = read_error(F.col("raw_response"))
     return answered.select(
         "*", confidence.alias("confidence"), F.lit(threshold).alias("threshold"),
-        F.when(malicious, "malicious").otherwise("benign").alias("classification"),
+        F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("classifier error: "), error)))
+        .when(malicious, "malicious").otherwise("benign").alias("classification"),
     )
 
 
@@ -211,7 +224,7 @@ def window_payloads(counts: DataFrame, malicious: DataFrame, firewall: DataFrame
                     chains: DataFrame | None = None) -> DataFrame:
     """One JSON document per window for a correlation scorer.
 
-    The lists are as long as the per-window row caps of the inputs allow.
+    The lists hold all rows that are given: bound them first (:func:`oldest_per_window`) to what the scorer can read.
     """
     keep = [c for c in malicious.columns if c not in ("raw_response", "threshold", "classification", "confidence")]
     out = counts.join(_listed(malicious.select(*keep), "windows_events"), "window_start", "left")
@@ -237,31 +250,49 @@ def window_payloads(counts: DataFrame, malicious: DataFrame, firewall: DataFrame
 # ---------------------------------------------------------------------------
 
 
-def unclaimed_windows(candidates: DataFrame, ledger: DataFrame, engine: str = ENGINE) -> DataFrame:
-    """Windows nobody has started; ``ledger`` may hold several rows per window."""
-    taken = ledger.filter(F.col("engine_name") == engine).select("window_start", "window_end")
+def open_windows(candidates: DataFrame, ledger: DataFrame, now: Column, lease: int = LEASE_SECONDS, engine: str = ENGINE) -> DataFrame:
+    """Windows to work on: all but those that are done, and those claimed less than ``lease`` seconds ago and not failed."""
+    state = latest_state(ledger.filter(F.col("engine_name") == engine))
+    held = (F.col("status") == "processing") & (F.col("recorded_at") > now - F.make_dt_interval(secs=F.lit(lease)))
+    taken = state.filter((F.col("status") == "done") | held).select("window_start", "window_end")
     return candidates.select("window_start", "window_end").distinct().join(
         taken, ["window_start", "window_end"], "left_anti"
     )
 
 
-def claim_rows(windows: DataFrame, now: Column, engine: str = ENGINE) -> DataFrame:
+def ledger_rows(windows: DataFrame, status: str, now: Column, engine: str = ENGINE, run: str | None = None,
+                error: Column | None = None) -> DataFrame:
     return windows.select(
-        F.lit(engine).alias("engine_name"), "window_start", "window_end", F.lit("processing").alias("status"),
-        now.alias("recorded_at"), F.lit(None).cast("string").alias("error_text"),
+        F.lit(engine).alias("engine_name"), "window_start", "window_end", F.lit(status).alias("status"),
+        now.alias("recorded_at"), F.lit(run).cast("string").alias("run"),
+        (F.lit(None) if error is None else error).cast("string").alias("error_text"),
     )
 
 
-def failure_rows(windows: DataFrame, now: Column, error: Column, engine: str = ENGINE) -> DataFrame:
-    return claim_rows(windows, now, engine).select(
-        "engine_name", "window_start", "window_end", F.lit("failed").alias("status"), "recorded_at",
-        cut_text(error, ERROR_LIMIT, ERROR_LIMIT - 3).alias("error_text"),
-    )
+def claim_rows(windows: DataFrame, now: Column, engine: str = ENGINE, run: str | None = None) -> DataFrame:
+    return ledger_rows(windows, "processing", now, engine, run)
+
+
+def failure_rows(windows: DataFrame, now: Column, error: Column, engine: str = ENGINE, run: str | None = None) -> DataFrame:
+    return ledger_rows(windows, "failed", now, engine, run, error)
+
+
+def won_windows(ledger: DataFrame, run: str, now: Column, lease: int = LEASE_SECONDS, engine: str = ENGINE) -> DataFrame:
+    """Windows that ``run`` has claimed before any other run whose claim still holds."""
+    ended = ledger.filter(F.col("status") != "processing").select("window_start", "window_end", "run").distinct()
+    live = ledger.filter(
+        (F.col("engine_name") == engine) & (F.col("status") == "processing")
+        & (F.col("recorded_at") > now - F.make_dt_interval(secs=F.lit(lease)))
+    ).join(ended, ["window_start", "window_end", "run"], "left_anti")
+    first = live.groupBy("window_start", "window_end").agg(F.min(F.struct("recorded_at", "run")).alias("f"))
+    return first.filter(F.col("f")["run"] == run).select("window_start", "window_end")
 
 
 def latest_state(ledger: DataFrame) -> DataFrame:
-    """Current row of every window: the newest, finished before processing."""
+    """Current row of every window: done once it ever was, else the newest, finished before processing."""
     key = ["engine_name", "window_start", "window_end"]
     values = [c for c in ledger.columns if c not in key]
-    order = F.struct(F.col("recorded_at"), (F.col("status") != "processing").cast("int"))
+    order = F.struct(
+        (F.col("status") == "done").cast("int"), F.col("recorded_at"), (F.col("status") != "processing").cast("int")
+    )
     return ledger.groupBy(*key).agg(F.max_by(F.struct(*values), order).alias("r")).select(*key, "r.*")

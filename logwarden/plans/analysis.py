@@ -235,12 +235,10 @@ _CV2 = PASS_CTE + """,
 dec AS (
   SELECT *, window_us // 600000000 * 600000000 AS w, CASE WHEN final_severity = 'CRITICAL' THEN 'malicious' ELSE 'benign' END AS classification
   FROM passed WHERE source_type = 'windows'
-  QUALIFY row_number() OVER (PARTITION BY window_us // 600000000 ORDER BY window_us, source_event_id) <= 3000
 ),
-fww AS (SELECT *, us // 600000000 * 600000000 AS w FROM fwv QUALIFY row_number() OVER (PARTITION BY us // 600000000 ORDER BY us, id) <= 5000),
+fww AS (SELECT *, us // 600000000 * 600000000 AS w FROM fwv),
 scw AS (
   SELECT *, ts_us // 600000000 * 600000000 AS w FROM (SELECT *, coalesce(parsed_s * 1000000, us) AS ts_us FROM scada)
-  QUALIFY row_number() OVER (PARTITION BY ts_us // 600000000 ORDER BY ts_us, id) <= 5000
 ),
 cnt AS (
   SELECT w, sum(a) AS windows_total, sum(b) AS windows_malicious, sum(a) - sum(b) AS windows_benign, sum(c) AS firewall_total, sum(d) AS scada_total
@@ -280,10 +278,58 @@ def window_claims(spark, sf):
     windows = X.in_windows(V.firewall(spark, sf).select("ts"), "ts").select("window_start", "window_end").distinct()
     now = F.lit("2024-01-02").cast("timestamp")
     ledger = X.claim_rows(windows.filter(F.unix_seconds("window_start") % 1800 == 0), now)
-    open_ = X.unclaimed_windows(windows, ledger)
+    open_ = X.open_windows(windows, ledger, now)
     return open_.select(micros("window_start").alias("start_us"), micros("window_end").alias("end_us"))
 
 
+@query("window_ledger_states", V.with_views(V.SQL_FIREWALL) + """,
+w AS (SELECT DISTINCT us // 600000000 AS n FROM fw),
+state AS (
+  SELECT n, CASE n % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'held' WHEN 2 THEN 'expired' WHEN 3 THEN 'failed' ELSE 'new' END AS state FROM w
+)
+SELECT n * 600000000 AS start_us, state IN ('expired', 'failed', 'new') AS open FROM state""")
+def window_ledger_states(spark, sf):
+    """Done, held, expired, failed and new windows: who is open."""
+    windows = X.in_windows(V.firewall(spark, sf).select("ts"), "ts").select("window_start", "window_end").distinct()
+    now = F.lit("2024-01-02").cast("timestamp")
+    kind = (F.unix_seconds("window_start") / 600).cast("long") % 5
+
+    def at(seconds):
+        return now - F.expr(f"INTERVAL {seconds} SECONDS")
+
+    ledger = X.claim_rows(windows.filter(kind == 1), at(60))
+    for part in (
+        X.claim_rows(windows.filter(kind.isin(0, 2, 3)), at(7200)), X.ledger_rows(windows.filter(kind == 0), "done", at(7000)),
+        X.failure_rows(windows.filter(kind == 3), at(7000), F.lit("lost")),
+    ):
+        ledger = ledger.unionByName(part)
+    open_ = X.open_windows(windows, ledger, now).withColumn("open", F.lit(True))
+    return windows.join(open_, ["window_start", "window_end"], "left").select(
+        micros("window_start").alias("start_us"), F.coalesce("open", F.lit(False)).alias("open")
+    )
+
+
+# Answers of a classifier in all the shapes that it may have, drawn by event.
+_ANSWERS = [
+    '{"classification":"","label":"malicious","score":0.9}', '{"label":" Malicious ","confidence":"0.4"}', '{"classification":5,"verdict":"malicious","probability":0.31}',
+    '{"result":"malicious","score":0.1}', '{"label":null,"result":"MALICIOUS!","confidence":1}', '{"score":0.9}', 'no json', '{"label":"benign","confidence":true,"score":0.7}',
+]
+_SAID = [("benign", 0.9), ("malicious", 0.4), ("malicious", 0.31), ("malicious", 0.1), ("malicious!", 1.0), ("benign", 0.9), ("benign", 0.0), ("benign", 0.7)]
+
+
+@query("classifier_answers", "WITH said(k, label, confidence) AS (VALUES " + ", ".join(
+    f"({k}, '{label}', {confidence}::DOUBLE)" for k, (label, confidence) in enumerate(_SAID)) + """)
+SELECT event_id, label, confidence, contains(label, 'malicious') AND confidence >= 0.3 AS malicious FROM events JOIN said ON k = event_id % 8""")
+def classifier_answers(spark, sf):
+    answer = F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = V.table(spark, sf, "events").select("event_id", answer.alias("raw_response"))
+    label, confidence = X.read_label(F.col("raw_response")), X.read_confidence(F.col("raw_response"))
+    return rows.select(
+        "event_id", label.alias("label"), confidence.alias("confidence"),
+        (label.contains("malicious") & (confidence >= X.MALICIOUS_CONFIDENCE)).alias("malicious"),
+    )
+
+
 # ------------------------------------------------------------------- hunting
 
 INCIDENTS = BOTH + "," + BURST_CTE + f", inc AS ({ALL_SQL}) "

@@ -174,46 +174,54 @@ def run_closed_windows(
     ts_col: str = "ts",
     lookback: int = 0,
     engine: str = X.ENGINE,
+    lease: int = X.LEASE_SECONDS,
 ) -> None:
-    """Run ``job`` once over every closed window nobody has claimed yet.
+    """Run ``job`` over every closed window that is open (see :func:`logwarden.operators.windowed.open_windows`).
 
     All open windows are handled by one job over their rows, not one by one.
     ``job`` gets the rows with window_start and returns rows with window_start;
-    its result replaces the partitions of those windows.  A failure is noted in
-    the ledger and the windows are not tried again.  ``lookback`` seconds of
-    earlier rows come along (column ``in_window`` is false for them).
+    its result replaces the partitions of those windows, so a window that is
+    worked on twice has its rows once.  A failed run is noted in the ledger and
+    its windows are open again; those of a run that died are open after ``lease``
+    seconds.  ``lookback`` seconds of earlier rows come along (column
+    ``in_window`` is false for them).
     """
+    import uuid
+
     from logwarden.sources.sinks import append_rows, replace_windows
 
     schema = ("engine_name string, window_start timestamp, window_end timestamp, status string, recorded_at timestamp, "
-              "error_text string")
-    try:
-        ledger = spark.read.schema(schema).parquet(ledger_path)
-        ledger.take(1)
-    except Exception as error:  # the first run has no ledger
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        ledger = spark.createDataFrame([], schema)
+              "run string, error_text string")
+
+    def ledger() -> DataFrame:
+        try:
+            found = spark.read.schema(schema).parquet(ledger_path)
+            found.take(1)
+            return found
+        except Exception as error:  # the first run has no ledger
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return spark.createDataFrame([], schema)
+
+    run, stamp = uuid.uuid4().hex, F.lit(now).cast("timestamp")
     end = F.lit(X.last_closed_window(now, minutes)[1]).cast("timestamp")
     staged = X.in_windows(events.withColumn("ts", F.col(ts_col).cast("timestamp")), "ts", minutes)
     closed = staged.filter(F.col("window_end") <= end)
-    # One row per ten minutes of log time: small enough to hold as a list.
-    windows = X.unclaimed_windows(closed, ledger, engine).orderBy("window_start").collect()
-    if not windows:
+    append_rows(X.claim_rows(X.open_windows(closed, ledger(), stamp, lease, engine), stamp, engine, run), ledger_path)
+    # Two runs can claim the same window; the ledger says who was first.
+    todo = X.won_windows(ledger(), run, stamp, lease, engine)
+    span = todo.agg(F.min("window_start").alias("first"), F.max("window_end").alias("last")).first()
+    if span["first"] is None:
         return
-    todo = spark.createDataFrame(windows)
-    stamp = F.lit(now).cast("timestamp")
-    append_rows(X.claim_rows(todo, stamp, engine), ledger_path)
-    starts = [r["window_start"] for r in windows]
-    wanted = F.broadcast(todo.select("window_start").distinct())
     try:
         # The outer range is a literal, so that day partitions are pruned.
-        span = F.col("ts").between(F.lit(min(starts) - dt.timedelta(seconds=lookback)), F.lit(max(r["window_end"] for r in windows)))
-        rows = staged.filter(span).join(wanted, "window_start", "left_semi") if not lookback else staged.filter(span).join(
-            wanted.withColumn("in_window", F.lit(True)), "window_start", "left").fillna(False, ["in_window"])
+        there = F.col("ts").between(F.lit(span["first"] - dt.timedelta(seconds=lookback)), F.lit(span["last"]))
+        rows = staged.filter(there) if lookback else staged.filter(there).join(todo, ["window_start", "window_end"], "left_semi")
+        if lookback:
+            marked = todo.select("window_start", F.lit(True).alias("in_window"))
+            rows = rows.join(marked, "window_start", "left").fillna(False, ["in_window"])
         replace_windows(job(rows), out_path)
     except Exception as error:
-        append_rows(X.failure_rows(todo, stamp, F.lit(str(error)), engine), ledger_path)
+        append_rows(X.failure_rows(todo, stamp, F.lit(str(error)), engine, run), ledger_path)
         raise
-    done: Column = F.lit("done")
-    append_rows(X.claim_rows(todo, stamp, engine).withColumn("status", done), ledger_path)
+    append_rows(X.ledger_rows(todo, "done", stamp, engine, run), ledger_path)

@@ -287,13 +287,28 @@ def test_assessment_and_incidents_of_answers(spark):
     assert (i.affected_host, i.mitre_techniques, i.evidence, i.source_count) == (None, "T1,T2", '{"evidence":["a"]}', 3)
 
 
-def test_ledger_keeps_the_final_state_and_cuts_errors(spark):
+def test_an_answered_error_fails_the_window(spark):
+    df = spark.createDataFrame([(1, "x")], "id long, final_summary string")
+    with pytest.raises(Exception, match="classifier error: down"):
+        X.classify(df, lambda texts: ['{"error": " down ", "label": "benign"}' for _ in texts]).collect()
+
+
+def test_ledger_opens_failed_and_expired_windows(spark):
     w = spark.createDataFrame([(at(0), at(600))], "window_start timestamp, window_end timestamp")
-    now = F.lit(at(700)).cast("timestamp")
-    ledger = X.claim_rows(w, now).unionByName(X.failure_rows(w, now, F.lit("e" * 2000)))
-    r = X.latest_state(ledger).first()
-    assert r.status == "failed" and len(r.error_text) == 1500 and r.error_text.endswith("...")
-    assert X.unclaimed_windows(w, ledger).count() == 0
+
+    def when(seconds):
+        return F.lit(at(seconds)).cast("timestamp")
+
+    claim = X.claim_rows(w, when(700), run="a")
+    assert X.open_windows(w, claim, when(800)).count() == 0 and X.open_windows(w, claim, when(5000)).count() == 1
+    failed = claim.unionByName(X.failure_rows(w, when(701), F.lit("e" * 2000), run="a"))
+    r = X.latest_state(failed).first()
+    assert r.status == "failed" and len(r.error_text) == 2000
+    assert X.open_windows(w, failed, when(702)).count() == 1
+    done = claim.unionByName(X.ledger_rows(w, "done", when(701), run="a")).unionByName(X.claim_rows(w, when(900), run="b"))
+    assert X.open_windows(w, done, when(9000)).count() == 0
+    both = claim.unionByName(X.claim_rows(w, when(700), run="b"))
+    assert X.won_windows(both, "a", when(701)).count() == 1 and X.won_windows(both, "b", when(701)).count() == 0
 
 
 def test_payload_and_chain_json(spark):

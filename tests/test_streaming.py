@@ -90,3 +90,31 @@ def test_closed_windows_run_once(spark, fresh_dir):
     from logwarden.operators.windowed import latest_state
 
     assert {r.status for r in latest_state(ledger).collect()} == {"done"}
+
+
+def test_windows_of_a_lost_or_failed_run_are_done_later(spark, fresh_dir):
+    import datetime as dt
+
+    import pytest
+
+    events = V.firewall(spark, SF).select("id", "ts")
+    paths = (fresh_dir + "/ledger", fresh_dir + "/out")
+    now = dt.datetime.fromtimestamp(V.BASE_SECONDS + 13 * 3600, dt.timezone.utc)
+    job = lambda rows: rows.groupBy("window_start").agg(F.count("*").alias("n"))
+
+    def fail(rows):
+        raise ValueError("once")
+
+    def die(rows):
+        raise KeyboardInterrupt
+
+    with pytest.raises(ValueError):
+        J.run_closed_windows(spark, events, fail, *paths, now)
+    with pytest.raises(KeyboardInterrupt):  # nothing is written after the claim
+        J.run_closed_windows(spark, events, die, *paths, now)
+    J.run_closed_windows(spark, events, job, *paths, now + dt.timedelta(minutes=1))
+    import os
+
+    assert not os.path.exists(paths[1])  # the dead run's lease still holds
+    J.run_closed_windows(spark, events, job, *paths, now + dt.timedelta(hours=2))
+    assert spark.read.parquet(paths[1]).agg(F.sum("n")).first()[0] == events.count()
