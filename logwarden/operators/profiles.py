@@ -31,27 +31,57 @@ COLUMN_ERROR = "Column count mismatch"
 JSON_ERROR = "JSON parse error"
 
 # Strptime letters and their Spark twins.
-_LETTERS = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "b": "MMM"}
+_LETTERS = {
+    "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "b": "MMM", "B": "MMMM", "p": "a",
+    "f": "SSSSSS", "j": "DDD", "z": "xx", "%": "'%'", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "D": "MM/dd/yy", "R": "HH:mm",
+}
+_OFFSET = r"([+-])(\d{2}):?(\d{2})"
 
 
 def parsable(lines: DataFrame, raw: str = "raw_log") -> DataFrame:
     return lines.filter(strip(F.col(raw)) != "")
 
 
-def spark_layout(layout: str) -> str:
-    """``%Y-%m-%d %H:%M:%S`` as ``yyyy-MM-dd HH:mm:ss``."""
-    return re.sub(r"%(\w)", lambda m: _LETTERS[m.group(1)], layout).replace("T", "'T'")
+def spark_layout(layout: str) -> str | None:
+    """``%Y-%m-%d %H:%M:%S`` as ``yyyy-MM-dd HH:mm:ss``; None where a letter has no twin."""
+    out, literal = [], ""
+    for part in re.findall(r"%.|[^%]+|%$", layout):
+        if part[0] == "%" and len(part) == 2:
+            if part[1] not in _LETTERS:
+                return None
+            out.append(_LETTERS[part[1]])
+        else:  # letters and quotes have a meaning in Spark's patterns
+            literal = re.sub(r"[A-Za-z\[\]{}#]+", lambda m: f"'{m.group()}'", part.replace("'", "\'\'"))
+            out.append(literal)
+    return "".join(out)
 
 
 def profile_time(value: Column, layout: str) -> Column:
-    """ISO text of a value in the given layout; other values stay as they are."""
-    if layout == "epoch":
-        parsed = F.timestamp_seconds(value.try_cast("bigint"))
-    elif layout == "epoch_ms":
-        parsed = F.timestamp_millis(value.try_cast("bigint"))
-    else:
-        parsed = F.try_to_timestamp(value, F.lit(spark_layout(layout)))
-    return F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss"), value)
+    """ISO text of a value in the given layout, with fractions and offset where it has them; other values stay as they are."""
+    seconds, micro = "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+    def iso(t: Column) -> Column:
+        return F.when(F.unix_micros(t) % 1_000_000 == 0, F.date_format(t, seconds)).otherwise(F.date_format(t, micro))
+
+    if layout in ("epoch", "epoch_ms"):
+        number = value.try_cast("bigint")
+        return F.coalesce(iso(F.timestamp_seconds(number) if layout == "epoch" else F.timestamp_millis(number)), value)
+    pattern = spark_layout(layout)
+    if pattern is None:
+        return value
+    # A fraction may have fewer digits than the pattern asks for.
+    padded = F.regexp_replace(value, r"\.(\d{1,5})(?!\d)", ".$1" + "0" * 5) if "%f" in layout else value
+    cut = F.regexp_replace(padded, r"\.(\d{6})\d*", ".$1") if "%f" in layout else value
+    if "%z" not in layout:
+        return F.coalesce(iso(F.try_to_timestamp(cut, F.lit(pattern))), value)
+    # Z is an offset of nothing, and a colon in the offset is allowed.
+    plain = F.regexp_replace(F.regexp_replace(cut, r"([+-]\d{2}):(\d{2})$", "$1$2"), "Z$", "+0000")
+    parsed = F.try_to_timestamp(plain, F.lit(pattern))
+    sign = F.when(F.regexp_extract(plain, _OFFSET, 1) == "-", -1).otherwise(1)
+    hours, minutes = (F.regexp_extract(plain, _OFFSET, i) for i in (2, 3))
+    shift = sign * (hours.try_cast("int") * 3600 + minutes.try_cast("int") * 60)
+    local = F.timestamp_micros(F.unix_micros(parsed) + shift.cast("bigint") * 1_000_000)
+    return F.coalesce(F.concat(iso(local), F.regexp_extract(plain, _OFFSET, 1), hours, F.lit(":"), minutes), value)
 
 
 def _named(name: Column, mapping: dict[str, str]) -> Column:
@@ -107,8 +137,10 @@ def parse_csv(lines: DataFrame, columns: list[str], delimiter: str = ",", mappin
 def csv_cells(line: Column, delimiter: str) -> Column:
     """Cells of one line; quoted cells may hold the delimiter and doubled quotes."""
     d = re.escape(delimiter)
-    cell = r'(?:^|' + d + r')("(?:[^"]|"")*"|[^' + ("\\" + delimiter if delimiter in "|^]\\" else delimiter) + r']*)'
-    found = F.regexp_extract_all(line, F.lit(cell), F.lit(1))
+    outside = "\\" + delimiter if delimiter in "|^]\\" else delimiter
+    # Every cell ends with a delimiter once the line does.
+    cell = rf'("(?:[^"]|"")*"|[^{outside}]*){d}'
+    found = F.regexp_extract_all(F.concat(line, F.lit(delimiter)), F.lit(cell), F.lit(1))
 
     def bare(c: Column) -> Column:
         quoted = (F.length(c) >= 2) & c.startswith('"') & c.endswith('"')
@@ -119,22 +151,36 @@ def csv_cells(line: Column, delimiter: str) -> Column:
     return F.when(line.contains('"'), quoted_line).otherwise(F.split(line, d, -1))
 
 
+_TEXTS, _VALUES = "map<string,string>", "map<string,variant>"
+
+
+def _json_entries(text: Column, prefix: Column | None = None) -> Column:
+    """Entries of a JSON object: key, value as text, and whether the value is an object (and not a text that looks like one)."""
+    kinds = F.from_json(text, _VALUES)
+    return F.transform(F.map_entries(F.from_json(text, _TEXTS)), lambda e: F.struct(
+        (e["key"] if prefix is None else F.concat(prefix, F.lit("_"), e["key"])).alias("key"), e["value"].alias("value"),
+        F.coalesce(F.startswith(F.schema_of_variant(F.try_element_at(kinds, e["key"])), F.lit("OBJECT")), F.lit(False)).alias("nested")))
+
+
 def parse_json(lines: DataFrame, mapping: dict[str, str] | None = None, timestamp: dict | None = None,
-               flatten: bool = False, raw: str = "raw_log", depth: int = 4) -> DataFrame:
-    """JSON objects.  ``flatten`` joins nested object keys with ``_`` down to
-    ``depth`` levels; arrays keep their JSON text."""
+               flatten: bool = False, raw: str = "raw_log") -> DataFrame:
+    """JSON objects.  ``flatten`` joins the keys of nested objects with ``_``, as deep as they go; arrays keep their JSON
+    text, and so do texts that look like JSON."""
     mapping = mapping or {}
     text = strip(F.col(raw))
     staged = lines.withColumn("__json", F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), text))
-    as_map = "map<string,string>"
-    entries = F.map_entries(F.coalesce(F.from_json("__json", as_map), F.create_map().cast(as_map)))
+    entries = F.coalesce(_json_entries(F.col("__json")), F.array().cast("array<struct<key:string,value:string,nested:boolean>>"))
     if flatten:
-        for _ in range(depth):
-            entries = F.flatten(F.transform(entries, lambda e: F.coalesce(
-                F.when(e["value"].startswith("{"), F.transform(
-                    F.map_entries(F.from_json(e["value"], as_map)),
-                    lambda inner: F.struct(F.concat(e["key"], F.lit("_"), inner["key"]).alias("key"), inner["value"].alias("value")))),
-                F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
+        # A text cannot be nested deeper than it has braces; where nothing is nested any more, nothing changes.
+        braces = F.length("__json") - F.length(F.replace("__json", F.lit("{"), F.lit("")))
+
+        def once(found: Column) -> Column:
+            return F.flatten(F.transform(found, lambda e: F.when(
+                e["nested"], _json_entries(e["value"], e["key"])).otherwise(F.array(e))))
+
+        entries = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.coalesce(braces, F.lit(1)), F.lit(1))), entries,
+            lambda found, _: F.when(F.exists(found, lambda e: e["nested"]), once(found)).otherwise(found))
     renamed = F.transform(entries, lambda e: F.struct(_named(e["key"], mapping).alias("key"), e["value"].alias("value")))
     error = F.when(F.col("__json").isNull(), JSON_ERROR)
     return _result(staged, _with_time(_last_per_key(renamed), mapping, timestamp), "json", error).drop("__json")

@@ -269,6 +269,59 @@ def parse_csv_lines(spark, sf):
     return parsed.select("id", "error", *[_field(n) for n in ("timestamp", "action", "source_ip", "dst_port", "log")])
 
 
+# Lines that are easy to get wrong, with the cells that they have; drawn by id.
+_CSV_EDGES = [
+    (",", ',"x, y",z', ["", "x, y", "z"]), (",", '"a ""b"", c",,', ['a "b", c', "", ""]), (",", "1,2,3", ["1", "2", "3"]),
+    (";", '"p;q";r;', ["p;q", "r", ""]), ("\t", 'a\t"b\tc"\td', ["a", "b\tc", "d"]), ("|", '|"m|n"|o', ["", "m|n", "o"]),
+]
+
+
+def _sql_text(text):
+    return "NULL" if not text else "'" + text.replace("'", "''").replace("\t", "' || chr(9) || '") + "'"
+
+
+@query("parse_csv_edges", "WITH e(k, a, b, c) AS (VALUES " + ", ".join(
+    f"({k}, {', '.join(_sql_text(c) for c in cells)})" for k, (_, _, cells) in enumerate(_CSV_EDGES)) + """)
+SELECT event_id AS id, a, b, c, CAST(NULL AS VARCHAR) AS error FROM events JOIN e ON k = event_id % 6""")
+def parse_csv_edges(spark, sf):
+    out = None
+    events = V.table(spark, sf, "events").select(F.col("event_id").alias("id"))
+    for k, (delimiter, line, _) in enumerate(_CSV_EDGES):
+        own = events.filter(F.col("id") % len(_CSV_EDGES) == k).withColumn("raw_log", F.lit(line))
+        part = P.parse_csv(own, ["a", "b", "c"], delimiter).select("id", *[_field(n) for n in "abc"], "error")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("parse_json_depths", """
+SELECT event_id AS id, 'v' || event_id AS a_b_c_d_e_f, '{"b":1}' AS text, '[{"x":1}]' AS list, '{"k":"}"}' AS n_t, CAST(NULL AS VARCHAR) AS nothing
+FROM events""")
+def parse_json_depths(spark, sf):
+    """Six levels, texts that look like objects, arrays, null."""
+    text = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"f":"v'), F.col("event_id").cast("string"),
+                    F.lit('"}}}}},"text":"{\\"b\\":1}","list":[{"x":1}],"n":{"t":"{\\"k\\":\\"}\\"}"},"nothing":null}'))
+    lines = V.table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("raw_log"))
+    parsed = P.parse_json(lines, flatten=True)
+    return parsed.select("id", *[_field(n) for n in ("a_b_c_d_e_f", "text", "list", "n_t", "nothing")])
+
+
+# Layouts with a value and its ISO text.
+_LAYOUTS = [
+    ("%d/%b/%Y:%H:%M:%S %z", "10/Oct/2023:13:55:36 -0730", "2023-10-10T13:55:36-07:30"), ("%Y-%m-%dT%H:%M:%S.%f", "2024-02-03T04:05:06.25", "2024-02-03T04:05:06.250000"),
+    ("%y%m%d %I:%M %p", "240102 03:04 PM", "2024-01-02T15:04:00"), ("%Y day %j", "2024 day 032", "2024-02-01T00:00:00"),
+    ("%Y-%m-%dT%H:%M:%S%z", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05+00:00"), ("%c", "kept as it is", "kept as it is"), ("%H:%M", "not a time", "not a time"),
+]
+
+
+@query("profile_time_layouts", "WITH t(k, iso) AS (VALUES " + ", ".join(f"({k}, '{iso}')" for k, (_, _, iso) in enumerate(_LAYOUTS)) + f""")
+SELECT event_id AS id, iso FROM events JOIN t ON k = event_id % {len(_LAYOUTS)}""")
+def profile_time_layouts(spark, sf):
+    out = F.lit(None).cast("string")
+    for k, (layout, text, _) in enumerate(_LAYOUTS):
+        out = F.when(F.col("event_id") % len(_LAYOUTS) == k, P.profile_time(F.lit(text), layout)).otherwise(out)
+    return V.table(spark, sf, "events").select(F.col("event_id").alias("id"), out.alias("iso"))
+
+
 def _json_text():
     body = F.to_json(F.struct(
         F.struct(F.col("source_ip").alias("ip"), F.struct(F.col("dst_port").alias("dst")).alias("port")).alias("net"),
