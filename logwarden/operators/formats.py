@@ -1,9 +1,8 @@
-"""Format profile per log source, from the first lines of each source.
+"""Format profile per log source, from all lines of each source.
 
-Ten lines per source are looked at (five for some questions), which is what
-the profile is defined on.  Taking the first lines is a top-k per source: it is
-done before the shuffle on every partition, so a huge source costs no more
-than a small one after it.
+Every share is a number of lines that pass a test, so a profile is a few
+counters per source and the different keys of its lines.  Only the question
+whether there is a header looks at single lines: the first two.
 """
 
 from __future__ import annotations
@@ -14,9 +13,7 @@ from pyspark.sql import functions as F
 from logwarden.functions.text import computed_once, has, strip
 from logwarden.operators.profiles import csv_cells
 
-# Sample sizes, threshold, patterns, keyword lists.
-SAMPLE_LINES = 10
-SHORT_SAMPLE = 5
+# Threshold, patterns, keyword lists.
 THRESHOLD = 0.80
 FORMATS = ["JSON", "SYSLOG", "CEF", "KEY_VALUE", "CSV"]
 RFC3164_LINE = r"^<\d{1,3}>\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+\S+:"
@@ -53,8 +50,8 @@ KEY_TARGETS = {
 }
 
 
-def sample_lines(lines: DataFrame, source: str = "source", order: str = "line_no", k: int = SAMPLE_LINES) -> DataFrame:
-    """The first ``k`` lines of each source, numbered from 1 as ``n``."""
+def first_lines(lines: DataFrame, k: int, source: str = "source", order: str = "line_no") -> DataFrame:
+    """The first ``k`` lines of each source, numbered from 1 as ``n``; profile these where a sample is enough."""
     w = Window.partitionBy(source).orderBy(order)
     return lines.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
 
@@ -96,38 +93,36 @@ def profile_sources(lines: DataFrame, source: str = "source", order: str = "line
     timestamp_field, timestamp_format.
     """
     text = F.col(raw)
-    sampled = sample_lines(lines, source, order)
-    short = F.col("n") <= SHORT_SAMPLE
     trimmed = strip(text)
     json_ok = F.try_parse_json(trimmed).isNotNull()
-    tested = sampled.select(
-        source, "n", raw,
+    tested = lines.select(
+        source, F.col(order).alias("n"), raw,
         json_ok.alias("json_ok"), (json_ok & trimmed.startswith("{")).alias("json_object"),
         text.rlike(RFC5424_LINE).alias("r5424"), text.rlike(RFC3164_LINE).alias("r3164"), text.rlike(CEF_LINE).alias("cef"),
         *[(F.size(F.regexp_extract_all(text, F.lit(p), F.lit(1))) >= 3).alias(f"kv{i}") for i, p in enumerate(PAIR_STYLES)],
         *[(F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)],
+        *[F.size(csv_cells(text, d)).alias(f"w{i}") for i, d in enumerate(DELIMITERS)],
     )
     counts = tested.groupBy(source).agg(
         F.count("*").alias("lines"),
         F.count_if("json_ok").alias("json"), F.count_if("r5424").alias("r5424"), F.count_if("r3164").alias("r3164"),
         F.count_if("cef").alias("cef"), *[F.count_if(f"kv{i}").alias(f"kv{i}") for i in range(3)],
-        *[F.coalesce(F.sum(F.when(short, F.col(f"d{i}"))), F.lit(0)).alias(f"dsum{i}") for i in range(4)],
-        *[F.min(F.when(short, F.col(f"d{i}"))).alias(f"dmin{i}") for i in range(4)],
-        # At most ten lines per source were kept above.
-        F.transform(F.array_sort(F.collect_list(F.struct("n", raw))), lambda s: s[raw]).alias("sample"),
+        *[F.coalesce(F.sum(f"d{i}"), F.lit(0)).alias(f"dsum{i}") for i in range(4)],
+        *[F.min(f"d{i}").alias(f"dmin{i}") for i in range(4)],
+        *[f(f"w{i}").alias(f"w{name}{i}") for i in range(4) for f, name in ((F.min, "min"), (F.max, "max"))],
         F.min_by(raw, F.when(F.col("json_object"), F.col("n"))).alias("first_object"),
     )
+    two = first_lines(lines, 2, source, order).groupBy(source).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", raw))), lambda s: s[raw]).alias("head"))
+    counts = counts.join(two, source, "left").join(_line_keys(lines, source, raw), source, "left")
     total = F.col("lines")
     best_delimiter = F.greatest(*[F.col(f"dsum{i}") for i in range(4)])
     which = F.coalesce(*[F.when(F.col(f"dsum{i}") == best_delimiter, F.lit(i)) for i in range(4)])
     staged = counts.withColumn("di", which)
-    head = F.slice("sample", 1, SHORT_SAMPLE)
-    cells = F.transform(head, lambda s: _cells_by(F.col("di"), s))
+    cells = F.transform("head", lambda s: _cells_by(F.col("di"), s))
     staged = staged.withColumn("cells", cells)
-    widths = F.transform("cells", lambda c: F.size(c))
-    width = F.get(widths, F.lit(0))
-    least = _pick_by(F.col("di"), [F.col(f"dmin{i}") for i in range(4)])
-    csv_hit = (total >= 2) & (least >= 2) & (F.size(F.array_distinct(widths)) == 1) & (width >= 3)
+    least, width, widest = (_pick_by(F.col("di"), [F.col(f"{c}{i}") for i in range(4)]) for c in ("dmin", "wmin", "wmax"))
+    csv_hit = (total >= 2) & (least >= 2) & (width == widest) & (width >= 3)
     first_row, second_row = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
     numeric = lambda row: F.exists(row, lambda v: v.rlike(NUMBER))
     header = ~numeric(first_row) & numeric(second_row)
@@ -136,7 +131,7 @@ def profile_sources(lines: DataFrame, source: str = "source", order: str = "line
     sys_hits = F.when(F.col("r5424") > 0, F.col("r5424")).otherwise(F.col("r3164"))
     confidence = {
         "JSON": F.col("json") / total, "SYSLOG": sys_hits / total, "CEF": F.col("cef") / total, "KEY_VALUE": kv_best / total,
-        # All rows of a detected CSV sample have one width; "," and tab earn a bonus, capped at 1.
+        # All rows of a detected CSV source have one width; "," and tab earn a bonus, capped at 1.
         "CSV": F.lit(1.0),
     }
     detected = {name: c >= threshold for name, c in confidence.items()}
@@ -153,13 +148,11 @@ def profile_sources(lines: DataFrame, source: str = "source", order: str = "line
         F.transform(first_row, lambda _, i: F.concat(F.lit("column_"), (i + 1).cast("string"))))
     data_row = F.when(F.col("header"), second_row).otherwise(first_row)
     object_map = F.from_json("first_object", "map<string,string>")
-    all_keys = F.flatten(F.transform("sample", lambda s: F.coalesce(
-        F.map_keys(F.from_json(s, "map<string,string>")), F.array().cast("array<string>"))))
-    kv_keys = F.flatten(F.transform(head, lambda s: _pair_keys(F.col("style"), s)))
     keys = (
-        F.when(fmt == "JSON", F.array_sort(F.array_distinct(all_keys)))
-        .when(fmt == "KEY_VALUE", F.array_sort(F.array_distinct(kv_keys))).when(fmt == "CSV", columns)
+        F.when(fmt == "JSON", F.coalesce("json_keys", F.array().cast("array<string>")))
+        .when(fmt == "KEY_VALUE", _pick_by(F.col("style"), [F.col(f"kv{i}_keys") for i in range(3)])).when(fmt == "CSV", columns)
     )
+    kinds = F.map_values(F.from_json("first_object", "map<string,variant>"))
     pairs = F.when(fmt == "CSV", F.arrays_zip(columns.alias("key"), data_row.alias("value"))).when(
         fmt == "JSON", F.transform(F.map_entries(object_map), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
     timed = F.get(F.filter(pairs, lambda p: is_time_name(p["key"]) & timestamp_layout(F.coalesce(p["value"], F.lit(""))).isNotNull()), F.lit(0))
@@ -170,7 +163,7 @@ def profile_sources(lines: DataFrame, source: str = "source", order: str = "line
         F.when(fmt == "KEY_VALUE", _pick_by(F.col("style"), [F.lit("="), F.lit(":"), F.lit("=")])).alias("separator"),
         F.when(fmt == "CSV", _pick_by(F.col("di"), [F.lit(d) for d in DELIMITERS])).alias("delimiter"),
         F.when(fmt == "CSV", F.col("header")).alias("has_header"), F.when(fmt == "CSV", width).alias("column_count"),
-        F.when(fmt == "JSON", F.coalesce(F.exists(F.map_values(object_map), lambda v: v.rlike(r"^[\[{]")), F.lit(False)))
+        F.when(fmt == "JSON", F.coalesce(F.exists(kinds, lambda v: F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")), F.lit(False)))
         .alias("nested"),
         keys.alias("keys"), timed["key"].alias("timestamp_field"),
         timestamp_layout(timed["value"]).alias("timestamp_format"),
@@ -191,8 +184,18 @@ def _cells_by(index: Column, line: Column) -> Column:
     return _pick_by(index, [csv_cells(line, d) for d in DELIMITERS])
 
 
-def _pair_keys(style: Column, line: Column) -> Column:
-    return _pick_by(style, [F.regexp_extract_all(line, F.lit(p), F.lit(1)) for p in PAIR_STYLES])
+def _line_keys(lines: DataFrame, source: str, raw: str) -> DataFrame:
+    """The different keys of each source's lines: of JSON objects, and of pairs in each style."""
+    def keys(kind: str, found: Column) -> Column:
+        return F.transform(found, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    styles = [keys(f"kv{i}", F.regexp_extract_all(F.col(raw), F.lit(p), F.lit(1))) for i, p in enumerate(PAIR_STYLES)]
+    objects = keys("json", F.coalesce(F.map_keys(F.from_json(raw, "map<string,string>")), F.array().cast("array<string>")))
+    each = lines.select(source, F.explode(F.array_distinct(F.concat(objects, *styles))).alias("k")).select(source, "k.*").distinct()
+    return each.groupBy(source).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("key")))).alias(f"{kind}_keys")
+        for kind in ("json", "kv0", "kv1", "kv2")
+    ])
 
 
 def suggested_mappings(profiles: DataFrame, source: str = "source") -> DataFrame:

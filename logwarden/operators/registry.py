@@ -79,14 +79,16 @@ def recent_usage(usage: DataFrame, k: int = 10) -> DataFrame:
 
 
 def list_parsers(parsers: DataFrame, vendor: str | None = None, format_type: str | None = None, mode: str | None = None,
-                 active_only: bool = True, limit: int = 100) -> DataFrame:
+                 active_only: bool = True, limit: int | None = None) -> DataFrame:
+    """Profiles by filters, the newest first; ``limit`` shows the first ones only."""
     out = parsers
     for name, value in (("vendor", vendor), ("format_type", format_type), ("mode", mode)):
         if value:
             out = out.filter(F.col(name) == value)
     if active_only:
         out = out.filter("active")
-    return out.orderBy(F.desc("created_at"), F.desc("parser_id")).limit(limit)
+    ordered = out.orderBy(F.desc("created_at"), F.desc("parser_id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def parser_id(name: Column, vendor: Column, created_at: Column) -> Column:

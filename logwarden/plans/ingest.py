@@ -426,7 +426,7 @@ def _source_lines(spark, sf):
 
 @query("profile_log_formats", PAR + """,
 src AS (SELECT DISTINCT id % 6 AS k, source_system AS s FROM parsed),
-few AS (SELECT id % 6 AS k, source_system AS s, least(count(*), 10) AS lines FROM parsed GROUP BY ALL)
+few AS (SELECT id % 6 AS k, source_system AS s, count(*) AS lines FROM parsed GROUP BY ALL)
 SELECT CAST(k AS VARCHAR) || '/' || s AS source, f.lines,
   ['JSON','SYSLOG','CEF','KEY_VALUE','CSV','RAW'][k + 1] AS format_type, CASE k WHEN 5 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence,
   CASE k WHEN 1 THEN 'RFC3164' END AS rfc_version, CASE k WHEN 4 THEN ',' END AS delimiter, CASE k WHEN 4 THEN 4 END::BIGINT AS column_count,
@@ -575,7 +575,7 @@ def parser_recent_usage(spark, sf):
 
 
 @query("parser_listing", "WITH " + _PARSERS + """
-SELECT parser_id, vendor FROM pp WHERE active AND format_type = 'JSON' ORDER BY k DESC LIMIT 100""")
+SELECT parser_id, vendor FROM pp WHERE active AND format_type = 'JSON'""")
 def parser_listing(spark, sf):
     return G.list_parsers(_parsers(spark, sf), format_type="JSON").select("parser_id", "vendor")
 

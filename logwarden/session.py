@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -42,13 +41,3 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "log
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can reach.
-
-    Read from ``spark.checkpoint.dir``; a temporary folder is used only where
-    the setting is absent (local tests).
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="logwarden-")

@@ -331,6 +331,7 @@ SAMPLES = {
     "kv": ["time=2025-10-13T13:15:37 src_ip=192.168.0.62 dst_ip=162.159.61.3 action=Allowed protocol=TCP"] * 2,
     "header": ["Time,Src IP,Bytes", "2025-10-13 13:15:37,10.0.0.1,5", "2025-10-13 13:15:38,10.0.0.2,6"],
     "one": ["a,b,c"], "half": ['{"a":1}', "x", '{"a":2}'],
+    "late": ['{"a":1}'] * 12 + ["junk"] * 300, "texts": ['{"k":"[x]"}'] * 2, "deep": ['{"k":[1]}'] * 2,
 }
 
 
@@ -339,7 +340,9 @@ def test_format_samples(spark):
     df = spark.createDataFrame(rows, "source string, line_no long, raw_log string")
     got = {r.source: r for r in M.profile_sources(df).collect()}
     assert {s: r.format_type for s, r in got.items()} == {
-        "csv": "CSV", "json": "JSON", "syslog": "SYSLOG", "kv": "KEY_VALUE", "header": "CSV", "one": "RAW", "half": "RAW"}
+        "csv": "CSV", "json": "JSON", "syslog": "SYSLOG", "kv": "KEY_VALUE", "header": "CSV", "one": "RAW", "half": "RAW",
+        "late": "RAW", "texts": "JSON", "deep": "JSON"}
+    assert not got["texts"].nested and got["deep"].nested and got["late"].lines == 312
     assert got["header"].has_header and got["header"].keys == ["Time", "Src IP", "Bytes"]
     assert (got["header"].timestamp_field, got["header"].timestamp_format) == ("Time", "%Y-%m-%d %H:%M:%S")
     assert got["header"].ip_columns == ["Src IP"] and not got["csv"].has_header
