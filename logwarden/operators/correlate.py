@@ -155,16 +155,46 @@ def pair_incidents(
     firewall: DataFrame,
     rules: list[str] | None = None,
     as_of: dt.datetime | None = None,
-    mode: str = "reference",
+    mode: str = "intent",
     salt: int = 1,
 ) -> DataFrame:
-    """The rules that need one endpoint and one firewall row, in one join.
+    """Incidents of the rules that need an endpoint and a firewall row: one for each rule and endpoint row.
+
+    The first firewall row that matches is told, the others are counted; all of
+    them are rows of :func:`pair_matches`.
+    """
+    pairs = _pairs(endpoint, firewall, rules, as_of, mode, salt)
+    row = F.struct("right_ts", "f_id", *[c for c in pairs.columns if c.startswith("f_") and c != "f_id"])
+    own = ["kind", "left_ts", *[c for c in pairs.columns if c.startswith("w_")]]
+    grouped = pairs.groupBy("kind", "w_id").agg(
+        F.min(row).alias("f"), F.count("*").alias("matches"), F.max("right_ts").alias("last_ts"),
+        *[F.first(c).alias(c) for c in own if c not in ("kind", "w_id")],
+    )
+    return _pair_output(grouped.select(*own, "f.*", "matches", "last_ts"), F.col("w_id"))
+
+
+def pair_matches(
+    endpoint: DataFrame,
+    firewall: DataFrame,
+    rules: list[str] | None = None,
+    as_of: dt.datetime | None = None,
+    mode: str = "intent",
+    salt: int = 1,
+) -> DataFrame:
+    """Evidence of :func:`pair_incidents`: every pair of rows that a rule matches, one row each.  For streams too."""
+    pairs = _pairs(endpoint, firewall, rules, as_of, mode, salt)
+    single = pairs.withColumns({"matches": F.lit(1).cast("bigint"), "last_ts": F.col("right_ts")})
+    return _pair_output(single, F.col("w_id"), F.col("f_id"))
+
+
+def _pairs(endpoint: DataFrame, firewall: DataFrame, rules: list[str] | None, as_of: dt.datetime | None, mode: str, salt: int) -> DataFrame:
+    """Pairs of rows with the rule that they match, in one join.
 
     Each side is reduced to rows that can take part in some rule before the
     shuffle, and each side is read and shuffled once however many rules run.
     The beacon rule also accepts the endpoint's host name as the firewall
-    source, so such rows are copied under both keys.  ``mode="intent"``
-    ignores empty addresses, which otherwise match each other.
+    source, so such rows are copied under both keys.  Empty addresses match
+    nothing; with ``mode="reference"`` they match each other.
     """
     rules = rules or PAIR_RULES
     w_test, f_test = _endpoint_tests(), _firewall_tests(mode)
@@ -182,6 +212,8 @@ def pair_incidents(
     two_keys = F.col(f"__w{rules.index(C2)}") if C2 in rules else F.lit(False)
     keys = F.when(two_keys, F.array_distinct(F.array("w_src_ip", "w_agent_host"))).otherwise(F.array("w_src_ip"))
     left = w.withColumn("key", F.explode(keys))
+    if mode == "intent":
+        left = left.filter(F.col("key") != "")
 
     def reach(position: int) -> Column:
         return F.greatest(F.lit(0), *[
@@ -202,10 +234,10 @@ def pair_incidents(
     found = F.array_compact(F.array(*[
         F.when(F.col(f"__w{i}") & F.col(f"__f{i}") & pair_test[r], F.lit(r)) for i, r in enumerate(rules)
     ]))
-    return _pair_output(pairs.withColumn("kind", F.explode(found)))
+    return pairs.withColumn("kind", F.explode(found))
 
 
-def _pair_output(pairs: DataFrame) -> DataFrame:
+def _pair_output(pairs: DataFrame, *ids: Column) -> DataFrame:
     kind = F.col("kind")
     w = ("windows", F.col("left_ts"), F.col("w_event_details"), F.col("w_src_ip"))
     f = ("firewall", F.col("right_ts"), F.col("f_event_details"), F.col("f_src_ip"))
@@ -230,8 +262,10 @@ def _pair_output(pairs: DataFrame) -> DataFrame:
             F.lit("Firewall blocked "), "f_src_ip", F.lit(" → "), "f_dst_ip", F.lit(":"), "f_dst_port",
             F.lit(" but Windows shows successful logon from same IP on "), "w_agent_host", F.lit(" shortly after")))
     )
+    more = F.when(F.col("matches") > 1, F.concat(F.lit(" (and "), F.col("matches") - 1, F.lit(" more)"))).otherwise("")
+    description = F.concat(description, more)
     return pairs.select(
-        incident_key(kind, F.col("w_agent_host"), ip, F.col("w_id"), F.col("f_id")).alias("incident_key"),
+        incident_key(kind, F.col("w_agent_host"), ip, *ids).alias("incident_key"),
         kind.alias("incident_type"),
         F.when(kind == LATERAL, "HIGH").otherwise("CRITICAL").alias("severity"),
         F.when(kind == BYPASS, "MEDIUM").otherwise("HIGH").alias("confidence"),
@@ -241,12 +275,12 @@ def _pair_output(pairs: DataFrame) -> DataFrame:
         description.alias("description"),
         F.when(kind == BYPASS, _evidence(f, w)).otherwise(_evidence(w, f)).alias("evidence"),
         F.least("left_ts", "right_ts").alias("window_start"),
-        F.greatest("left_ts", "right_ts").alias("window_end"),
+        F.greatest("left_ts", "last_ts").alias("window_end"),
         F.lit(2).cast("bigint").alias("source_count"),
     )
 
 
-def c2_beacon(endpoint: DataFrame, firewall: DataFrame, as_of=None, mode: str = "reference", salt: int = 1) -> DataFrame:
+def c2_beacon(endpoint: DataFrame, firewall: DataFrame, as_of=None, mode: str = "intent", salt: int = 1) -> DataFrame:
     """Suspicious connection seen by the endpoint and allowed by the firewall."""
     return pair_incidents(endpoint, firewall, [C2], as_of, mode, salt)
 
@@ -407,7 +441,7 @@ def brute_force_evidence(endpoint: DataFrame, firewall: DataFrame) -> DataFrame:
     return failed.join(confirmed, "incident_key", "left_semi").unionByName(blocked)
 
 
-def correlate_all(endpoint: DataFrame, firewall: DataFrame, as_of=None, mode: str = "reference", salt: int = 1) -> DataFrame:
+def correlate_all(endpoint: DataFrame, firewall: DataFrame, as_of=None, mode: str = "intent", salt: int = 1) -> DataFrame:
     """All five rules; inputs in the common shape of ``operators.projections``."""
     return (
         pair_incidents(endpoint, firewall, None, as_of, mode, salt)

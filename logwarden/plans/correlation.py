@@ -28,22 +28,24 @@ def flat(incidents):
     )
 
 
-def _pair_sql(kind, severity, confidence, techniques, description, condition, ip="w.src_ip", firewall_first=False):
+def _pair_sql(kind, severity, confidence, techniques, description, *conditions, ip="w.src_ip", firewall_first=False):
+    """One incident for each endpoint row: ``f`` is the first firewall row that matches, ``n`` counts them."""
     w = ("windows", "w.us", "w.event_details", "w.src_ip")
     f = ("firewall", "f.us", "f.event_details", "f.src_ip")
     ev = evidence(*((f, w) if firewall_first else (w, f)))
+    pairs = " UNION ALL ".join(f"SELECT w, f FROM w, f WHERE {c}" for c in conditions)
     return f"""
-SELECT {key(f"'{kind}'", "w.agent_host", ip, "w.id", "f.id")} AS incident_key, '{kind}' AS incident_type,
+SELECT {key(f"'{kind}'", "w.agent_host", ip, "w.id")} AS incident_key, '{kind}' AS incident_type,
        '{severity}' AS severity, '{confidence}' AS confidence, w.agent_host AS affected_host, {ip} AS affected_ip,
-       {techniques} AS mitre_techniques, {description} AS description, {ev} AS evidence,
-       CAST(2 AS BIGINT) AS source_count, least(w.us, f.us) AS start_us, greatest(w.us, f.us) AS end_us
-FROM w, f WHERE {condition}"""
+       {techniques} AS mitre_techniques, {description} || CASE WHEN n > 1 THEN ' (and ' || (n - 1) || ' more)' ELSE '' END AS description,
+       {ev} AS evidence, CAST(2 AS BIGINT) AS source_count, least(w.us, f.us) AS start_us, greatest(w.us, last_us) AS end_us
+FROM (SELECT any_value(w) AS w, arg_min(f, (f.us, f.id)) AS f, count(*) AS n, max(f.us) AS last_us FROM ({pairs}) GROUP BY w.id)"""
 
 
 # ADDRESS_OR_HOST: one equality per half keeps the SQL twin a hash join.
 _C2_COMMON = f"""(w.mitre_technique LIKE '%T1571%' OR w.mitre_technique LIKE '%T1071%') AND w.dst_ip <> ''
   AND (f.dst_port IN ('4444','5555','6666','7777','1337','31337','9001','9030') OR f.dst_ip = w.dst_ip)
-  AND abs(w.us - f.us) <= {MIN10} AND upper(f.action) = 'ALLOW'"""
+  AND abs(w.us - f.us) <= {MIN10} AND upper(f.action) = 'ALLOW' AND f.src_ip <> ''"""
 
 
 def _c2_sql():
@@ -55,8 +57,9 @@ def _c2_sql():
     description = ("'C2 beacon confirmed by both Sysmon and Sophos firewall: ' || w.agent_host || ' (' || w.src_ip || ') → ' "
                    "|| f.dst_ip || ':' || f.dst_port")
     args = ("C2_BEACON_CONFIRMED", "CRITICAL", "HIGH", techniques, description)
-    return (_pair_sql(*args, "f.src_ip = w.src_ip AND " + _C2_COMMON) + " UNION ALL "
-            + _pair_sql(*args, "f.src_ip = w.agent_host AND f.src_ip <> w.src_ip AND " + _C2_COMMON))
+    return _pair_sql(
+        *args, "f.src_ip = w.src_ip AND " + _C2_COMMON, "f.src_ip = w.agent_host AND f.src_ip <> w.src_ip AND " + _C2_COMMON
+    )
 
 
 C2_SQL = _c2_sql()

@@ -145,15 +145,15 @@ def pass_rows_stream(inputs: DataFrame, path: str, checkpoint: str, delay: str =
 # ---------------------------------------------------------------------------
 
 
-def correlate_stream(endpoint: DataFrame, firewall: DataFrame, delay: str = "2 minutes", mode: str = "reference",
+def correlate_stream(endpoint: DataFrame, firewall: DataFrame, delay: str = "2 minutes", mode: str = "intent",
                      salt: int = 1) -> DataFrame:
-    """The four pair rules on two streams in the common event shape.
+    """Matches of the four pair rules on two streams in the common event shape, one row for each pair of rows.
 
     An inner join of two streams with watermarks and a time range: a row is
     kept for ten minutes and the delay.  The brute-force rule aggregates before
     it joins; run it on the tables with :func:`run_closed_windows`.
     """
-    return C.pair_incidents(
+    return C.pair_matches(
         endpoint.withWatermark("ts", delay), firewall.withWatermark("ts", delay), None, None, mode, salt
     )
 

@@ -137,8 +137,8 @@ def test_c2_beacon(spark, fw, hits):
 
 def test_c2_beacon_matches_empty_addresses_only_in_reference_mode(spark):
     w, f = events(spark, E, {"src_ip": ""}), events(spark, FW, {"src_ip": ""})
-    assert C.c2_beacon(w, f).count() == 1
-    assert C.c2_beacon(w, f, mode="intent").count() == 0
+    assert C.c2_beacon(w, f, mode="reference").count() == 1
+    assert C.c2_beacon(w, f).count() == 0
 
 
 @pytest.mark.parametrize("gap, sent, hits", [
@@ -179,9 +179,10 @@ def test_salting_and_partitioning_do_not_change_the_result(spark):
     w = events(spark, E, *[{"ts": at(rng.randrange(4000)), "src_ip": rng.choice(["a", "a", "b"])} for _ in range(60)])
     f = events(spark, FW, *[{"ts": at(rng.randrange(4000)), "src_ip": rng.choice(["a", "a", "b"])} for _ in range(80)])
     want = {r.incident_key for r in C.correlate_all(w, f).collect()}
-    brute = sum(
-        abs((a.ts - b.ts).total_seconds()) <= 600 and a.src_ip == b.src_ip for a in w.collect() for b in f.collect())
-    assert len(want) == brute
+    near = [[abs((a.ts - b.ts).total_seconds()) <= 600 and a.src_ip == b.src_ip for b in f.collect()] for a in w.collect()]
+    assert len(want) == sum(map(any, near)) and C.pair_matches(w, f).count() == sum(map(sum, near))
+    told = [r.description for r in C.correlate_all(w, f).collect()]
+    assert sum(int(t.split("(and ")[1].split()[0]) + 1 if "(and " in t else 1 for t in told) == sum(map(sum, near))
     assert {r.incident_key for r in C.correlate_all(w.repartition(7), f.repartition(3), salt=4).collect()} == want
 
 
@@ -189,7 +190,7 @@ def test_incidents_are_added_once(spark, fresh_dir):
     found = C.c2_beacon(events(spark, E, {}), events(spark, FW, {}, {"ts": at(9)}))
     for _ in range(2):
         sinks.append_new_incidents(found, fresh_dir + "/incidents")
-    assert spark.read.parquet(fresh_dir + "/incidents").count() == 2
+    assert spark.read.parquet(fresh_dir + "/incidents").count() == 1
 
 
 def test_pass_rows_correlate_after_their_source_fields_are_added(spark):

@@ -68,7 +68,7 @@ def test_correlation_stream_equals_batch(spark, fresh_dir):
     f = as_stream(spark, firewall, fresh_dir, "f", files=1)
     run(J.append_stream(J.correlate_stream(e, f), fresh_dir + "/out", fresh_dir + "/cp"))
     got = spark.read.parquet(fresh_dir + "/out").select("incident_key", "description")
-    want = C.pair_incidents(endpoint, firewall).select("incident_key", "description")
+    want = C.pair_matches(endpoint, firewall).select("incident_key", "description")
     assert want.count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
