@@ -39,8 +39,8 @@ SAMPLES = BANDS * ROWS
 RARE = 1e-3
 #: Inverse document frequencies are whole multiples of 1/64, so that weights add up exactly.
 UNIT = 64
-#: Candidates agree in at least this many of 40 signature bytes (the last always agrees); a pair at 0.8 fails with 1e-5.
-AGREE = 21
+#: Candidates agree in at least this many of 40 signature bytes (the last always agrees); a pair at 0.8 fails with 2e-4.
+AGREE = 23
 HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -294,10 +294,15 @@ def labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
     open_ = share.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k")).where("k > 1")
     # a similarity of 0.8 allows total weights one step of 1.25 apart
     step = F.floor(F.log("weight") / F.log(F.lit(1.25))).cast("int")
-    rest = labelled.join(open_.select("key", "main"), "key").join(brief, "node").withColumn("step", step)
-    minor = rest.where("label != main").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    rest = labelled.join(open_.select("key", "main"), "key").join(brief, "node").join(signs.select("node", "bands"), "node").withColumns(
+        {"step": step, "minor": F.col("label") != F.col("main")}
+    )
+    minor = rest.where("minor").withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    # a pair is looked at in the first bucket that it shares, and from one side
+    earlier = F.arrays_overlap(*(F.expr(f"slice({x}.bands, 1, cast(array_position({x}.bands, key) - 1 AS int))") for x in "ab"))
+    once = ~earlier & (~F.col("b.minor") | (F.col("a.node") < F.col("b.node")))
     cross = minor.alias("a").join(rest.alias("b"), ["key", "step"]).where(
-        (F.col("a.label") != F.col("b.label")) & _alike("a", "b")
+        (F.col("a.label") != F.col("b.label")) & _alike("a", "b") & once
     ).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     more = _links(cross, brief, there, weights, folder, "cross")
     return components(links.union(more), folder, "last")
