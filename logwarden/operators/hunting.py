@@ -44,13 +44,14 @@ def top_blocked_sources(firewall: DataFrame, as_of=None, hours: int = 24, minimu
     )
 
 
-def technique_heatmap(events: DataFrame, as_of=None, hours: int = 168, ranked: bool = False) -> DataFrame:
+def technique_heatmap(events: DataFrame, as_of=None, hours: int = 168) -> DataFrame:
     """Hits per technique and module.  ``max_severity`` is the last one in text
-    order, as ``MAX`` of a text is; ``ranked`` gives the truly highest."""
-    top = F.max_by("severity", severity_rank(F.col("severity"))) if ranked else F.max("severity")
+    order, as ``MAX`` of a text is; ``top_severity`` is the truly highest."""
     return (
         recent(events.filter(F.col("mitre_technique") != ""), "ts", as_of, hours)
-        .groupBy("mitre_technique", "detection_module").agg(F.count("*").alias("hits"), top.alias("max_severity"))
+        .groupBy("mitre_technique", "detection_module").agg(
+            F.count("*").alias("hits"), F.max("severity").alias("max_severity"),
+            F.max_by("severity", severity_rank(F.col("severity"))).alias("top_severity"))
         .orderBy(F.desc("hits"))
     )
 

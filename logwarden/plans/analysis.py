@@ -366,10 +366,7 @@ SELECT mitre_technique, detection_module, count(*) AS hits, max(severity) AS max
          WHEN 5 THEN 'CRITICAL' WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'INFO' END AS top
 FROM sec WHERE mitre_technique <> '' GROUP BY ALL""")
 def hunt_heatmap(spark, sf):
-    ev = security_verdicts(spark, sf)
-    ranked = U.technique_heatmap(ev, ranked=True).select(
-        "mitre_technique", "detection_module", F.col("max_severity").alias("top"))
-    return U.technique_heatmap(ev).join(ranked, ["mitre_technique", "detection_module"])
+    return U.technique_heatmap(security_verdicts(spark, sf)).withColumnRenamed("top_severity", "top")
 
 
 @query("hunt_credential_access", SEC + """
