@@ -19,6 +19,8 @@ RUNTIME_SETTINGS = {
     # machine code; let Spark split such projections instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Spark's default; what an earlier query of the session asked for does not stay.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 
