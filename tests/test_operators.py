@@ -33,13 +33,12 @@ def at(seconds):
 # ------------------------------------------------------------- firewall lines
 
 LINES = [
-    '<189>date=2022-11-02 time=13:37:42 devname="FGT01" devid="FGVM010000085566" logid="0000000015" type="traffic" '
-    'subtype="forward" level="notice" vd="root" srcip=10.130.8.206 srcport=49219 srcintf="port3" srcintfrole="lan" '
-    'dstip=184.51.105.193 dstport=443 dstintf="port2" dstintfrole="wan" proto=6 action="start" policyid=1 service="HTTPS" '
-    'sentbyte=100 rcvdbyte=200 sentpkt=1 rcvdpkt=2 msg="Allowed"',
-    '<14>2024-01-15T10:30:00+05:30 fw01 log_type="Firewall" action="DROP" src_ip="10.0.0.10" dst_ip="8.8.8.8" dst_port=53 '
-    'protocol="TCP" message="Denied request"',
-    "CEF:0|Fortinet|FortiGate|7.2|0001|traffic event|5|src=10.0.0.1 dst=8.8.8.8 spt=12345 dpt=443 proto=6 act=ALLOW",
+    '<134>date=2024-02-29 time=08:15:30 devname="edge-7" devid="D-4471" logid="77" type="session" subtype="local" level="info" '
+    'srcip=172.16.5.9 srcport=50123 srcintf="dmz1" srcintfrole="dmz" dstip=198.51.100.20 dstport=8443 dstintf="up0" '
+    'dstintfrole="wan" proto=6 action="close" policyid=42 service="web" sentbyte=512 rcvdbyte=2048 sentpkt=4 rcvdpkt=6 msg="done"',
+    '<11>2024-03-03T23:59:59+01:00 gate log_type="Filter" action="REJECT" src_ip="172.16.0.8" dst_ip="203.0.113.9" dst_port=25 '
+    'protocol="udp" message="no mail from here"',
+    "CEF:0|Maker|Box|1.4|S-9|some event|7|src=172.16.0.1 dst=203.0.113.77 spt=40000 dpt=22 proto=6 act=DENY",
     "   ",
     'a="unclosed b=2 c= d="" e="x y" e=last',
 ]
@@ -50,10 +49,10 @@ def test_firewall_lines(spark):
     rows = {r.i: r for r in L.normalize_firewall(df).collect()}
     a, b, c = rows[0], rows[1], rows[2]
     assert (a.device_name, a.log_type, a.log_subtype, a.src_ip, a.dst_ip, a.protocol, a.fw_rule_id, a.sent_bytes, a.recv_bytes) == (
-        "FGT01", "traffic", "forward", "10.130.8.206", "184.51.105.193", "TCP", "1", "100", "200")
-    assert (a.log_date, a.log_time, a.src_zone, a.dst_zone_type) == ("", "", "port3", "wan")
-    assert (b.log_type, b.action, b.dst_port, b.protocol) == ("Firewall", "DROP", "53", "TCP")
-    assert (c.log_component, c.src_ip, c.dst_ip) == ("0001", "10.0.0.1", "8.8.8.8")
+        "edge-7", "session", "local", "172.16.5.9", "198.51.100.20", "TCP", "42", "512", "2048")
+    assert (a.log_date, a.log_time, a.src_zone, a.dst_zone_type) == ("", "", "dmz1", "wan")
+    assert (b.log_type, b.action, b.dst_port, b.protocol) == ("Filter", "REJECT", "25", "udp")
+    assert (c.log_component, c.src_ip, c.dst_ip) == ("S-9", "172.16.0.1", "203.0.113.77")
     assert 3 not in rows
 
 
