@@ -15,7 +15,6 @@ Bins in the same state are kept as one range of bins, so the plan's size depends
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -24,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import keyed, tidy_arrow
+from logwarden.llm.common import keyed, scratch_folder, tidy_arrow, written
 from logwarden.llm.words import WORD_PATTERN
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
-#: Pieces of one length that are numbered together.
-NUMBERED = 100_000
+#: Pieces of one length that are numbered together, on average.
+NUMBERED = 2_000
 
 
 class Plan:
@@ -152,14 +151,15 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_words") / most).cast("int") - 1, F.lit(0))))).select(
         "_id", "n_words", "_k1", F.col("piece").cast("long").alias("piece"), (F.col("piece").cast("long") * most).alias("piece_start")
     ).withColumn("piece_words", F.least(F.col("n_words") - F.col("piece_start"), F.lit(most).cast("long")))
-    # a frequent length is numbered in parts, by the hash of the row; parts are numbered from where the last one ended
-    total = docs.count()
-    parts = max(1, math.ceil(total / NUMBERED))
-    cut = cut.withColumn("_part", F.pmod(F.xxhash64("_k1", "piece"), F.lit(parts)))
-    tally = cut.where("piece_words > 0").groupBy("piece_words", "_part").agg(F.count("*").alias("n"))
+    # ids and lengths only; texts are read once
+    cut = written(cut, scratch_folder(spark), "pieces")
     # at most one row for each length, which the largest capacity bounds
-    counts = {r["piece_words"]: r["n"] for r in tally.groupBy("piece_words").agg(F.sum("n").alias("n")).toLocalIterator()}
+    counts = {r["piece_words"]: r["n"] for r in cut.where("piece_words > 0").groupBy("piece_words").agg(F.count("*").alias("n")).toLocalIterator()}
     plan = best_fit(counts, tuple(capacities), overhead)
+    # a frequent length is numbered in parts, by the hash of the row; parts are numbered from where the last one ended
+    parts = spark.createDataFrame([(n, -(-c // NUMBERED)) for n, c in counts.items()], "piece_words long, _parts long")
+    cut = cut.join(F.broadcast(parts), "piece_words", "left").withColumn("_part", F.pmod(F.xxhash64("_k1", "piece"), F.col("_parts")))
+    tally = cut.where("piece_words > 0").groupBy("piece_words", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("piece_words").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = tally.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy("piece_words", "_part").orderBy("_id", "_k1", "piece")
