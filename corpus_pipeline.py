@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or the perplexity band of their language."""
-    return quality.assess(docs, carry=docs.columns).where("kept").select(docs.columns)
+    return quality.keep_good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

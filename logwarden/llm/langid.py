@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import pieces, scratch_folder, tidy_arrow, written
+from logwarden.llm.common import pieces, remove_folder, scratch_folder, tidy_arrow, written
 from logwarden.llm.words import mix, sums, text_bytes
 
 LENGTHS = (3, 4)
@@ -209,6 +209,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filt
         # at most 2**21 rows for each 64 languages
         got = masks.toArrow()
         table[got["slot"].to_numpy(), got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
+    remove_folder(spark, folder)
     most = max(range(len(names)), key=lambda i: (names[i][1], -i)) if names else -1
     return Filters(langs, table, most)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import keyed, pieces, scratch_folder, tidy_arrow, written
+from logwarden.llm.common import keyed, pieces, remove_folder, scratch_folder, tidy_arrow, written
 from logwarden.llm.components import components
 from logwarden.llm.substrings import repeated_windows
 from logwarden.llm.words import Words, mix, powers, rolling, split_words, sums, window_hashes, window_starts, word_hashes
@@ -305,7 +305,9 @@ def labels(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.col("a.label") != F.col("b.label")) & _alike("a", "b") & once
     ).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
     more = _links(cross, brief, there, weights, folder, "cross")
-    return components(links.union(more), folder, "last")
+    out = written(components(links.union(more), folder, "last"), scratch_folder(spark), "labels")
+    remove_folder(spark, folder)  # nothing that follows reads the tables on the way
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
