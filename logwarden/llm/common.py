@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once.  A longer document is taken alone and whole.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def scratch_folder(spark: SparkSession) -> str:
