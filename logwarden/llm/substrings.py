@@ -13,6 +13,7 @@ the corpus has a probability below 1/500 at every size.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -33,13 +34,13 @@ CHUNK_BYTES = 4 << 20
 SETTLED = 0xFFFFFFFF
 
 _ENTRY = T.StructType([
-    T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()),
+    T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.BinaryType()),
     T.StructField("kind", T.StringType()), T.StructField("n", T.IntegerType()),
     T.StructField("hashes", T.BinaryType()), T.StructField("rest", T.BinaryType()),
     T.StructField("places", T.BinaryType()),
 ])
 _ARROW = pa.schema([
-    ("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.string()), ("n", pa.int32()), ("hashes", pa.binary()),
+    ("bucket", pa.int32()), ("chunk", pa.binary()), ("kind", pa.string()), ("n", pa.int32()), ("hashes", pa.binary()),
     ("rest", pa.binary()), ("places", pa.binary()),
 ])
 
@@ -96,8 +97,9 @@ def _ask(window: int, buckets: int, wide: int):
                     again = np.lexsort((rest, first))
                     first, rest, order = first[again], rest[again], order[again]
                 same = (first[1:] == first[:-1]) & (rest[1:] == rest[:-1])
-            # The id follows from the keys, so that a task that runs again says the same.
-            name = int(np.bitwise_xor.reduce(k1 * np.int64(31) + k2 + np.arange(len(k1), dtype=np.int64)))
+            # The name follows from the keys in their order, so a task that runs again says the same, and only chunks of
+            # the same documents share one.
+            name = hashlib.blake2b(np.stack((k1, k2)).tobytes(), digest_size=16).digest()
             places = starts[order].astype(np.uint32)
             head = np.concatenate(([True], ~same))
             runs = np.flatnonzero(head)
@@ -122,7 +124,7 @@ def _ask(window: int, buckets: int, wide: int):
                 steps = np.diff(first[part], prepend=np.uint64(0))
                 tail = planes(rest[part]) if rest is not None else None
                 add(int(b), name, "ask", edges[b + 1] - edges[b], planes(steps), tail, planes(sent[part]))
-            home = int(np.uint64(name & 0x7FFFFFFFFFFFFFFF) % np.uint64(buckets))
+            home = int.from_bytes(name[:8], "little") % buckets
             docs = np.stack((k1, k2, words.first[:-1].astype(np.int64)), axis=1)
             add(home, name, "docs", len(docs), docs.tobytes(), None, None)
             settled = np.sort(places[twice])
@@ -169,6 +171,8 @@ def _settle(answers: pd.DataFrame) -> pd.DataFrame:
     lists = answers.loc[answers["kind"] == "docs", "hashes"]
     found = answers.loc[answers["kind"] == "found", "places"]
     rows = []
+    if lists.nunique() > 1:
+        raise ValueError("two chunks of different documents have one name")
     if len(lists) and len(found):
         docs = np.frombuffer(lists.iloc[0], np.int64).reshape(-1, 3)
         at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in found])).astype(np.int64)
@@ -186,7 +190,7 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     buckets = min(1 << 30, max(1, math.ceil(total / BUCKET_BYTES)))
     asked = texts.select("_k1", "_k2", "_text").mapInArrow(_ask(window, buckets, hash_bytes(total)), _ENTRY)
-    answers = asked.groupBy("bucket").applyInPandas(_answer, "chunk long, kind string, hashes binary, places binary")
+    answers = asked.groupBy("bucket").applyInPandas(_answer, "chunk binary, kind string, hashes binary, places binary")
     return answers.groupBy("chunk").applyInPandas(_settle, "_k1 long, _k2 long, _starts binary").groupBy("_k1", "_k2").agg(
         F.min("_starts").alias("_starts")
     )

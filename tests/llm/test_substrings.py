@@ -6,6 +6,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pytest
+
 from logwarden.llm import substrings
 from logwarden.llm.substrings import hash_bytes, remove_repeats
 
@@ -53,6 +57,23 @@ def test_wide_hashes_and_many_buckets(spark, monkeypatch):
     assert found(spark, rows) == brute(rows, 35)
 
 
+def test_chunks_of_doubled_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices([f"w{x}" for x in range(3000)], k=40 + i))) for i in range(40)]
+    rows.append((None, " ".join(f"n{x}" for x in range(50))))
+    doubled = [row for row in rows for _ in range(2)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(doubled, len(rows)), "doc_id long, text string")  # a chunk each
+    out = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(df).collect()]
+    assert sorted(out, key=repr) == brute(doubled, 35)
+
+
+def test_a_name_of_two_lists_is_an_error():
+    lists = [np.array([[k, k, 0]], np.int64).tobytes() for k in (1, 2)]
+    answers = pd.DataFrame([(b"name", "docs", x, None) for x in lists], columns=["chunk", "kind", "hashes", "places"])
+    with pytest.raises(ValueError, match="one name"):
+        substrings._settle(answers)
+
+
 def test_intervals_are_maximal(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"a b {passage} c"), (2, f"{passage} d")]
