@@ -10,6 +10,9 @@ query's final beam are ranked by exact distances of the original vectors in doub
 * Search: all queries go together.  In each round a query expands its nearest nodes that were not expanded yet: their rows of
   the graph are joined to it, and it keeps the ``BEAM`` nearest of all it has seen.
 
+* Exact: a query that codes cannot serve (see :func:`search`) is ranked against all vectors, block by block, and a node
+  that the start left without a neighbour gets its edges that way.
+
 Numbers of neighbours, proposals and rounds are parameters of the method; recall against brute force is measured in the
 tests and reported in the README.
 """
@@ -124,7 +127,8 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _nearest(edges: DataFrame, by: str, most: int) -> DataFrame:
     """The ``most`` nearest different neighbours of each node.  Equal edges have one rank; the limit works before the shuffle too."""
     other = "b" if by == "a" else "a"
-    rank = F.dense_rank().over(Window.partitionBy(by).orderBy("d", other))
+    # equal distances in an order of the pair's own: by id, all would choose the same few
+    rank = F.dense_rank().over(Window.partitionBy(by).orderBy("d", F.xxhash64("a", "b"), other))
     return edges.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank").groupBy(by, other).agg(F.min("d").alias("d"))
 
 
@@ -135,6 +139,59 @@ def _lists(edges: DataFrame, codes: DataFrame, key: str, name: str) -> DataFrame
     return full.groupBy(F.col(key).alias("id")).agg(F.collect_list(F.struct(F.col(other).alias("b"), "code")).alias(name))
 
 
+_BLOCK = "dim int, ids binary, vectors binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of a batch as one matrix per dimension, in the order of their ids."""
+    for batch in batches:
+        by: dict[int, list] = {}
+        for i, v in sorted(zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist(), strict=True), key=lambda x: x[0]):
+            by.setdefault(len(v), []).append((i, v))
+        rows = [(dim, np.array([i for i, _ in own], np.int64).tobytes(), np.array([v for _, v in own], np.float64).tobytes()) for dim, own in by.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                names=["dim", "ids", "vectors"],
+            )
+
+
+def _compare(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, ids = np.frombuffer(row["qs"], np.int64), np.frombuffer(row["ids"], np.int64)
+                a, b = (np.frombuffer(row[c], np.float64).reshape(-1, row["dim"]).T for c in ("asked", "vectors"))
+                total = np.zeros((len(q), len(ids)))
+                for x, y in zip(a, b, strict=True):  # summed in the order in which Spark sums
+                    step = x[:, None] - y[None, :]
+                    total += step * step
+                near = np.argsort(total, axis=1, kind="stable")[:, :most]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(q, near.shape[1])), pa.array(ids[near].ravel()), pa.array(np.sqrt(np.take_along_axis(total, near, axis=1)).ravel())],
+                    names=["q", "id", "score"],
+                )
+
+    return run
+
+
+def against_all(asked: DataFrame, vectors: DataFrame, most: int, parts: int) -> DataFrame:
+    """``q, id, score``: the ``most`` nearest of the nodes ``vectors`` to each of the nodes ``asked`` (both ``id, vector``),
+    itself included, by exact distance and then id."""
+    blocks = vectors.select("id", "vector").mapInArrow(_pack, _BLOCK).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    wanted = asked.select("id", "vector").mapInArrow(_pack, _BLOCK).select(
+        "dim", F.col("ids").alias("qs"), F.col("vectors").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")
+    )
+    found = blocks.join(wanted, ["dim", "part"]).select("dim", "qs", "asked", "ids", "vectors").mapInArrow(_compare(most), "q long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))
+    return found.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
+
+
+def parts_of(n: int) -> int:
+    """Parts into which the blocks of ``n`` nodes are dealt; this sets how many tasks compare them, not what is compared."""
+    return max(1, min(2000, math.ceil(n / 2000)))
+
+
 def build(vectors: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """Codes ``id, dim, code`` of the nodes ``id, vector``, and the graph ``a, b, d``: the nearest nodes found for each."""
     codes = written(vectors.mapInArrow(_codes, "id long, dim int, code binary"), folder, "codes")
@@ -146,7 +203,13 @@ def build(vectors: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     first = spread.join(size, ["start", "dim", "side"]).withColumn("salt", salt).groupBy("start", "dim", "side", "salt").applyInPandas(
         _propose_bucket, "a long, b long, d double"
     )
-    graph = written(_nearest(first, "a", DEGREE), folder, "graph-0")
+    graph = written(_nearest(first, "a", DEGREE), folder, "start")
+    alone = vectors.join(graph.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    joined = against_all(alone, vectors, DEGREE + 1, parts_of(n)).where("q != id").select(
+        F.col("q").alias("a"), F.col("id").alias("b"), (F.col("score") * F.col("score")).alias("d")
+    )
+    both = joined.unionByName(joined.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    graph = written(graph.unionByName(both), folder, "graph-0")
     for step in range(1, DESCENTS + 1):
         near = _lists(graph, codes, "a", "near")
         back = _lists(_nearest(graph, "b", DEGREE), codes, "b", "back")
@@ -207,8 +270,20 @@ def _advance(state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(row["q"], row["code"], seen.tobytes(), pool.tobytes(), dist.tobytes(), done.tobytes())], columns=list(state.columns))
 
 
-def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, folder: str) -> DataFrame:
-    """``q, id``: the nodes in the final beam of each of the nodes ``queries`` (``q``)."""
+def unsure(code: bytes, dist: np.ndarray, k: int) -> bool:
+    """Whether a beam may miss one of the ``k`` nearest because of the codes: it is not full, so the search ran dry; or the
+    errors of the codes reach over the ``k``-th distance, or from there to the end of the beam."""
+    if len(dist) < max(BEAM, k + 1):
+        return True
+    _, scale = decode([code])
+    error = 4 * math.sqrt(len(code) - 8) / 2 * float(scale[0])
+    kth, last = math.sqrt(dist[k]), math.sqrt(dist[-1])
+    return kth <= error or last - kth <= error
+
+
+def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, folder: str, k: int) -> DataFrame:
+    """``q, id, unsure``: the nodes in the final beam of each of the nodes ``queries`` (``q``), and whether codes suffice
+    to find its ``k`` nearest; if not, ``id`` is null."""
     both = graph.select("a", "b", "d").unionByName(_nearest(graph, "b", DEGREE).select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     adjacent = written(_lists(both.distinct(), codes, "a", "near"), folder, "adjacent")
 
@@ -229,11 +304,16 @@ def search(queries: DataFrame, codes: DataFrame, graph: DataFrame, folder: str)
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pools = [np.frombuffer(x, np.int64) for x in batch.column("pool").to_pylist()]
-            q = np.repeat(batch.column("q").to_numpy(), [len(x) for x in pools])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate(pools))], names=["q", "id"])
+            q, ids, flags = [], [], []
+            for node, code, pool, dist in zip(*(batch.column(c).to_pylist() for c in ("q", "code", "pool", "dist")), strict=True):
+                open_ = unsure(code, np.frombuffer(dist, np.float64), k)
+                own = [None] if open_ else np.frombuffer(pool, np.int64).tolist()
+                q += [node] * len(own)
+                ids += own
+                flags += [open_] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(flags, pa.bool_())], names=["q", "id", "unsure"])
 
-    return state.select("q", "pool").mapInArrow(end, "q long, id long")
+    return written(state.select("q", "code", "pool", "dist").mapInArrow(end, "q long, id long, unsure boolean"), folder, "found")
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -259,12 +339,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     nodes = members.where("member = id").select("id", "vector")
     codes, graph = build(nodes, folder)
     asked = members.where(F.col("member") % every == 0).select(F.col("member").alias("query_id"), F.col("id").alias("q"))
-    found = search(asked.select("q").distinct(), codes, graph, folder)
-    exact = found.join(nodes.select(F.col("id").alias("q"), F.col("vector").alias("_q")), "q").join(nodes, "id").withColumn(
+    found = search(asked.select("q").distinct(), codes, graph, folder, k)
+    exact = found.where("NOT unsure").select("q", "id").join(nodes.select(F.col("id").alias("q"), F.col("vector").alias("_q")), "q").join(nodes, "id").withColumn(
         "score", F.sqrt(F.aggregate(F.zip_with("_q", "vector", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     ).select("q", "id", "score")
     order = Window.partitionBy("q").orderBy("score", "id")
     exact = exact.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r")
+    hard = nodes.join(found.where("unsure").select(F.col("q").alias("id")), "id", "left_semi")
+    exact = exact.unionByName(against_all(hard, nodes, k + 1, parts_of(codes.count())))
     # of equal vectors the k + 1 least ids can be among a query's k nearest others
     least = members.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("member"))).where(F.col("_r") <= k + 1).select("id", "member")
     ranked = asked.join(exact, "q").join(least, "id").where("member != query_id").withColumn(

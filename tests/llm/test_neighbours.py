@@ -70,6 +70,20 @@ def test_recall_on_clusters_and_copies(spark):
     assert [i for _, i in got[3000]] == [100, *range(3001, 3010)]
 
 
+def test_large_group_of_equal_codes_and_an_outlier(spark):
+    rng = np.random.default_rng(3)
+    base, side = rng.standard_normal(24), rng.standard_normal(24)
+    base[0] = 9.0  # the scale of the codes, so that the noise does not change them
+    base[1:] = np.rint(base[1:] * 127 / 9) * 9 / 127
+    rows = [(i, (side + 0.3 * rng.standard_normal(24)).tolist()) for i in range(1, 800)]
+    rows += [(1000 + i, (base + 1e-3 * np.concatenate(([0], rng.uniform(-1, 1, 23)))).tolist()) for i in range(1500)]
+    rows += [(5000, (-50 * (base + side)).tolist())]  # opposite to all others
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want, got = brute(rows), found(df)
+    assert {q: [i for _, i in d] for q, d in got.items() if q >= 1000} == {q: [i for _, i in d] for q, d in want.items() if q >= 1000}
+    assert recall(got, want) >= 0.95
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, []),
             (None, [1.0, 1.0]), (100, [0.9, 0.1]), (100, [0.9, 0.1]), (7, [float("inf"), 0.0]), (8, [1.0, 2.0, 3.0]), (200, [3.0, 2.0, 1.0]), (300, [5.0])]
