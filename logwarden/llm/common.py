@@ -65,3 +65,19 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
     if len(lengths) > start:
         yield batch.slice(start)
 
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches with about ``limit`` bytes in ``column``, whatever the sizes of those that came in; none is empty."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for piece in pieces(batch, column, limit):
+            grown = pc.sum(pc.binary_length(piece.column(column))).as_py() or 0
+            if held and size + grown > limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(piece)
+            size += grown
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

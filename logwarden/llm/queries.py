@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import langid, neardup, neighbours, packing, pieces, quality, sharding, substrings, toxicity, warc
+from logwarden.llm import (
+    collocations,
+    langid,
+    neardup,
+    neighbours,
+    packing,
+    pieces,
+    quality,
+    sharding,
+    substrings,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -124,3 +136,37 @@ def op6_toxicity(spark, sf_dir):
 @query("op3_nn_descent")
 def op3_nn_descent(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), grams AS (
+    SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, k
+    FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT *, unnest(range(1, 6)) AS k FROM words) WHERE len(ws) >= k)
+), f AS (SELECT lang, phrase, k, count(*) AS n FROM grams GROUP BY ALL),
+size AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 100),
+inner_phrases AS (
+    SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))
+    GROUP BY ALL
+), kept AS (
+    SELECT c.* FROM c LEFT JOIN inner_phrases USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+), cuts AS (
+    SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)
+), scored AS (
+    SELECT cuts.lang, cuts.phrase, a, cut, x.n AS l, y.n AS r, size.n,
+        (1000::HUGEINT * a * size.n // (x.n::HUGEINT * y.n))::BIGINT AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+    JOIN size ON size.lang = cuts.lang
+), least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM least QUALIFY rank <= 2000""")
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents")).drop("cut")
