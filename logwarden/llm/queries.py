@@ -13,6 +13,7 @@ from logwarden.llm import (
     neighbours,
     packing,
     pieces,
+    private,
     quality,
     sharding,
     substrings,
@@ -197,3 +198,14 @@ def op12_hard_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+@query("op11_private_data")
+def op11_private_data(spark, sf_dir):
+    found = private.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(private.of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in private.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(private.shown(F.col("base")), 256).alias("base_sha256"),
+        private.shown(private.merged(F.col("base"), F.col("added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
