@@ -1,14 +1,14 @@
 """Collocations of two to five words by the stripes pattern: each prefix keys an associative counter of its next words.
 
-Level k has the stripes of all prefixes of k - 1 words; level 1 is the stripe of the empty prefix.  A task counts chunks
+Level k has the stripes of all prefixes of k - 1 words; level 1 is the stripe of the empty prefix.  A task counts a chunk
 of text, sends one stripe for each (language, prefix, part) of a chunk, and stripes of one key are merged element by
 element.  One structure then tells all that scores ask for: an entry is the count of an extension, the entry of a prefix in
 the stripe above is its total, and the largest entry of a stripe says whether an extension subsumes it.
 
-No phrase of k words is more frequent than its two parts of k - 1 words.  So level k counts only places whose parts are
-frequent, which a bitmap over the hashes of the frequent phrases of level k - 1 tells.  Its size has a bound
-(``MOST_BITS``); where phrases share a bit, more is counted than needed and nothing is lost, since counts themselves are
-kept by the words and never by a hash.
+Nearly all phrases are rare, and stripes of rare ones would be most of the work.  So hashes of phrases are counted first,
+level by level: a hash is a number, and no phrase of k words is more frequent than its two parts of k - 1 words, so level k
+looks only at places whose parts are frequent.  Frequent hashes are kept in bitmaps of bounded size (``MOST_BITS``).  Where
+phrases share a hash or a bit, more stripes are sent than needed and nothing is lost, since stripes are keyed by words.
 
 The stripe of a frequent prefix would be one task's work, so stripes are cut into ``PARTS`` by the hash of the next word.
 """
@@ -16,7 +16,6 @@ The stripe of a frequent prefix would be one task's work, so stripes are cut int
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +36,8 @@ UNKNOWN = "und"
 #: Bytes of text whose phrases are counted together before anything is sent.
 CHUNK_BYTES = 8 << 20
 PARTS = 64
+#: Bits of a counted hash beyond those that tell as many phrases as the text has bytes.
+SPARE_BITS = 4
 #: Bits of a bitmap of frequent phrases: sixteen a phrase, and 32 MB at most.
 BITS_PER_PHRASE, MOST_BITS = 16, 1 << 28
 #: Bits of one row of Spark's bitmap functions.
@@ -96,94 +97,97 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _numbered(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A number for each key, the different keys by number, and the first place of each."""
-    number, different = pd.factorize(keys)
-    first = np.zeros(len(different), dtype=np.int64)
-    first[number[::-1]] = places[::-1]
-    return number, different, first
+class Level(NamedTuple):
+    """The different phrases of a length in a chunk; a phrase is a prefix of the level below and a word."""
 
+    prefix: np.ndarray  #: number of the prefix, which is the number of the language at level 1
+    last: np.ndarray  #: number of the last word
+    count: np.ndarray
+    first: np.ndarray  #: one place of the phrase
+    hashes: np.ndarray
 
-def chunk_stripes(langs: pa.Array, text: pa.Array, bitmaps: list[np.ndarray]) -> pa.RecordBatch:
-    """Stripes of one chunk at level ``len(bitmaps) + 1``; ``bitmaps`` are those of the levels below."""
-    t = tokens(text)
-    root = langs.dictionary_encode()
-    root_hash = _hashes(root.dictionary)
-    level = len(bitmaps) + 1
+
+def levels(t: Tokens, lang: np.ndarray, lang_hashes: np.ndarray, bitmaps: list[np.ndarray], longest: int) -> Iterator[Level]:
+    """Phrases of 1 to ``longest`` words; from level k on only places are followed whose phrase is in ``bitmaps[k - 1]``."""
     places = np.arange(len(t.word))
-    key = (root.indices.to_numpy().astype(np.int64)[t.doc] << 32) | t.word
-    number, different, first = _numbered(key, places)
-    hashes = mix(root_hash[different >> 32] * _STEP + t.hashes[different & 0xFFFFFFFF])
-    for k, bitmap in enumerate(bitmaps, 1):
+    above, hashes = lang[t.doc], lang_hashes
+    for k in range(1, longest + 1):
+        number, different = pd.factorize((above << 32) | t.word[places + k - 1])
+        first = np.zeros(len(different), dtype=np.int64)
+        first[number[::-1]] = places[::-1]
+        prefix, last = different >> 32, different & 0xFFFFFFFF
+        hashes = mix(hashes[prefix] * _STEP + t.hashes[last])
+        yield Level(prefix, last, np.bincount(number, minlength=len(different)), first, hashes)
+        if k == longest:
+            return
         alive = np.full(len(t.word) + 1, -1, dtype=np.int64)
-        alive[places] = np.where(_has(bitmap, hashes)[number], number, -1)
+        alive[places] = np.where(_has(bitmaps[k - 1], hashes)[number], number, -1) if k <= len(bitmaps) else number
         head = np.flatnonzero((alive[:-1] >= 0) & (alive[1:] >= 0))
         head = head[head + k < len(t.word)]
         places = head[t.piece[head] == t.piece[head + k]]
-        key = (alive[places] << 32) | t.word[places + k]
-        above = hashes
-        number, different, first = _numbered(key, places)
-        hashes = mix(above[different >> 32] * _STEP + t.hashes[different & 0xFFFFFFFF])
-    count = np.bincount(number, minlength=len(different))
-    last, part = different & 0xFFFFFFFF, (t.hashes[different & 0xFFFFFFFF] % np.uint64(PARTS)).astype(np.int32)
-    order = np.lexsort((last, part, different >> 32))
-    group = ((different >> 32) * PARTS + part)[order]
-    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else order
-    at = first[order][heads]
-    if level == 1:
-        prefix = pa.array([""] * len(at), pa.string())
-    else:
-        parts = [t.words.take(pa.array(t.word[at + i])) for i in range(level - 1)]
-        prefix = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
-    edges = pa.array(np.append(heads, len(order)).astype(np.int32))
-    stripe = pa.MapArray.from_arrays(edges, t.words.take(pa.array(last[order])).cast(pa.string()), pa.array(count[order]))
-    out = [root.dictionary.take(pa.array(root.indices.to_numpy()[t.doc[at]])), prefix, pa.array(part[order][heads]), stripe]
-    batch = pa.RecordBatch.from_arrays(out, names=_STRIPE.fieldNames())
-    if level > 1:
-        return batch
+        above = alive[places]
+
+
+def _opened(chunk: pa.RecordBatch) -> tuple[Tokens, pa.Array, np.ndarray, np.ndarray]:
+    root = chunk.column("_lang").dictionary_encode()
+    return tokens(chunk.column("_text")), root.dictionary, root.indices.to_numpy().astype(np.int64), _hashes(root.dictionary)
+
+
+def chunk_stripes(chunk: pa.RecordBatch, bitmaps: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+    """Stripes of one chunk, of the phrases whose hash is in the bitmap of their level, if it has one."""
+    t, names, lang, lang_hashes = _opened(chunk)
+    for k, level in enumerate(levels(t, lang, lang_hashes, bitmaps, longest), 1):
+        part = (t.hashes[level.last] % np.uint64(PARTS)).astype(np.int32)
+        kept = np.flatnonzero(_has(bitmaps[k - 1], level.hashes)) if k <= len(bitmaps) else np.arange(len(part))
+        order = kept[np.lexsort((level.last[kept], part[kept], level.prefix[kept]))]
+        group = level.prefix[order] * PARTS + part[order]
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else order
+        at = level.first[order][heads]
+        words = [t.words.take(pa.array(t.word[at + i])) for i in range(k - 1)]
+        prefix = pc.binary_join_element_wise(*words, b" ").cast(pa.string()) if words else pa.array([""] * len(at), pa.string())
+        edges = pa.array(np.append(heads, len(order)).astype(np.int32))
+        stripe = pa.MapArray.from_arrays(edges, t.words.take(pa.array(level.last[order])).cast(pa.string()), pa.array(level.count[order]))
+        out = [names.take(pa.array(lang[t.doc[at]])), prefix, pa.array(part[order][heads]), stripe]
+        yield pa.RecordBatch.from_arrays(out, names=_STRIPE.fieldNames())
     # the number of all words of a language is the entry of the empty word, which no text has
-    total = np.bincount(root.indices.to_numpy()[t.doc], minlength=len(root.dictionary))
+    total = np.bincount(lang[t.doc], minlength=len(names))
     own = pa.MapArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32)), pa.array([""] * len(total)), pa.array(total))
-    sizes = pa.RecordBatch.from_arrays(
-        [root.dictionary, pa.array([""] * len(total)), pa.array(np.full(len(total), -1, np.int32)), own], names=_STRIPE.fieldNames()
-    )
-    return pa.Table.from_batches([batch.cast(sizes.schema), sizes]).combine_chunks().to_batches()[0]
+    nowhere = [pa.array([""] * len(total), pa.string()), pa.array(np.zeros(len(total), np.int32))]
+    yield pa.RecordBatch.from_arrays([names, *nowhere, own], names=_STRIPE.fieldNames())
 
 
-def _count(bitmaps: list):
+def _stripes(bitmaps: list, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "_text", CHUNK_BYTES):
-            out = chunk_stripes(chunk.column("_lang"), chunk.column("_text"), [b.value for b in bitmaps])
-            # a whole chunk of stripes at once would be a large batch for the JVM
-            yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
+            for out in chunk_stripes(chunk, [b.value for b in bitmaps], longest):
+                yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
 
     return run
 
 
-def _slots(bits: int):
+def _slots(bitmaps: list, bits: int):
+    """Hashes of the phrases of level ``len(bitmaps) + 1``, cut to ``bits`` bits, with their counts in a chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = tokens(batch.column("phrase"))
-            at = np.searchsorted(t.doc, np.arange(batch.num_rows))
-            lang = batch.column("lang").dictionary_encode()
-            code = mix(_hashes(lang.dictionary)[lang.indices.to_numpy()] * _STEP + t.hashes[t.word[at]])
-            size = np.diff(np.append(at, len(t.word)))
-            for k in range(1, size.max(initial=1)):  # all phrases of a level have as many words
-                code = mix(code * _STEP + t.hashes[t.word[at + k]])
-            slot = (code & np.uint64(bits - 1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot)], names=["slot"])
+        for chunk in chunks(batches, "_text", CHUNK_BYTES):
+            t, _, lang, lang_hashes = _opened(chunk)
+            for level in levels(t, lang, lang_hashes, [b.value for b in bitmaps], len(bitmaps) + 1):
+                pass
+            slot = (level.hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array(slot), pa.array(level.count)], names=["slot", "c"])
+            yield from (out.slice(i, 100_000) for i in range(0, out.num_rows, 100_000))
 
     return run
 
 
-def bitmap(phrases: DataFrame) -> np.ndarray:
-    """The bitmap of ``phrases`` (``lang, phrase``), little-endian: at most ``MOST_BITS / 8`` bytes reach the driver."""
-    n = phrases.count()
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """The bitmap of a column of hashes ``slot``, little-endian: at most ``MOST_BITS / 8`` bytes reach the driver."""
+    n = slots.count()
     bits = min(MOST_BITS, max(_BITMAP, 1 << (BITS_PER_PHRASE * n).bit_length()))
-    place = F.col("slot") + 1
-    rows = phrases.select("lang", "phrase").mapInArrow(_slots(bits), "slot long").groupBy(
-        F.call_function("bitmap_bucket_number", place).alias("bucket")
-    ).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place)).alias("bits"))
+    place = F.col("slot").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
+    rows = slots.groupBy(F.call_function("bitmap_bucket_number", place).alias("bucket")).agg(
+        F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place)).alias("bits")
+    )
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in rows.toLocalIterator():
         at = (row["bucket"] - 1) * _BITMAP // 8
@@ -196,29 +200,26 @@ def _phrase() -> Column:
 
 
 def frequent(docs: DataFrame, folder: str, least: int = LEAST, longest: int = LONGEST, text_col: str = "text",
-             lang_col: str = "lang") -> list[DataFrame]:
-    """Entries ``lang, prefix, word, n, phrase`` of all stripes with ``n >= least``, a table for each level.
+             lang_col: str = "lang") -> DataFrame:
+    """Entries ``lang, prefix, word, n, phrase`` of all stripes with ``n >= least``, a written table.
 
-    Level 1 also has an entry of the empty word for each language: the number of all its words.
+    For each language there is an entry of the empty word too: the number of all its words.
     """
     spark = tidy_arrow(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("_lang"), F.col(text_col).alias("_text"))
     texts = texts.where("_text IS NOT NULL")
-    levels, bitmaps = [], []
-    for k in range(1, longest + 1):
-        stripes = texts.mapInArrow(_count(bitmaps), _STRIPE).repartition("lang", "prefix", "part")
-        entries = stripes.select("lang", "prefix", "part", F.explode("stripe").alias("word", "c"))
-        merged = entries.groupBy("lang", "prefix", "part", "word").agg(F.sum("c").alias("n"))
-        kept = merged.where((F.col("n") >= least) | (F.col("word") == "")).select("lang", "prefix", "word", "n", _phrase().alias("phrase"))
-        level = written(kept, folder, f"level-{k}")
-        levels.append(level)
-        words = level.where("word <> ''")
-        if k == longest or words.isEmpty():
-            break
-        bitmaps = [*bitmaps, spark.sparkContext.broadcast(bitmap(words))]
-    for b in bitmaps:
-        b.unpersist()
-    return levels
+    size = texts.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
+    bits = min(62, max(16, size.bit_length() + SPARE_BITS))
+    bitmaps: list = []
+    for k in range(1, longest):
+        slots = texts.mapInArrow(_slots(bitmaps, bits), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("n"))
+        often = written(slots.where(F.col("n") >= least).select("slot"), folder, f"slots-{k}")
+        bitmaps.append(spark.sparkContext.broadcast(bitmap(often)))
+    stripes = texts.mapInArrow(_stripes(bitmaps, longest), _STRIPE).repartition("lang", "prefix", "part")
+    entries = stripes.select("lang", "prefix", "part", F.explode("stripe").alias("word", "c"))
+    merged = entries.groupBy("lang", "prefix", "part", "word").agg(F.sum("c").alias("n"))
+    kept = merged.where((F.col("n") >= least) | (F.col("word") == ""))
+    return written(kept.select("lang", "prefix", "word", "n", _phrase().alias("phrase")), folder, "entries")
 
 
 def _whole(x: Column) -> Column:
@@ -241,9 +242,9 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     """
     spark = docs.sparkSession
     folder = scratch_folder(spark)
-    levels = frequent(docs, folder, least, longest, text_col, lang_col)
-    sizes = levels[0].where("word = ''").select("lang", F.col("n").alias("size"))
-    every = reduce(DataFrame.unionByName, (x.where("word <> ''") for x in levels)).select("lang", "prefix", "phrase", "n")
+    entries = frequent(docs, folder, least, longest, text_col, lang_col)
+    sizes = entries.where("word = ''").select("lang", F.col("n").alias("size"))
+    every = entries.where("word <> ''").select("lang", "prefix", "phrase", "n")
     words = F.split("phrase", " ")
     candidates = every.where("prefix <> ''")
     longer = candidates.select("lang", F.col("prefix").alias("phrase"), "n").unionByName(
