@@ -34,7 +34,7 @@ LEAST = 100
 TOP = 2000
 UNKNOWN = "und"
 #: Bytes of text whose phrases are counted together before anything is sent.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 PARTS = 64
 #: Bits of a counted hash beyond those that tell as many phrases as the text has bytes.
 SPARE_BITS = 4
@@ -43,6 +43,10 @@ BITS_PER_PHRASE, MOST_BITS = 16, 1 << 28
 #: Bits of one row of Spark's bitmap functions.
 _BITMAP = 32768
 
+#: Entries that a task merges before it sends them.
+MOST_ENTRIES = 400_000
+_ENTRY = ["lang", "prefix", "part", "word", "n"]
+
 _BYTE_BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -133,38 +137,65 @@ def _opened(chunk: pa.RecordBatch) -> tuple[Tokens, pa.Array, np.ndarray, np.nda
     return tokens(chunk.column("_text")), root.dictionary, root.indices.to_numpy().astype(np.int64), _hashes(root.dictionary)
 
 
-def chunk_stripes(chunk: pa.RecordBatch, bitmaps: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
-    """Stripes of one chunk, of the phrases whose hash is in the bitmap of their level, if it has one."""
+def chunk_entries(chunk: pa.RecordBatch, bitmaps: list[np.ndarray], longest: int) -> pa.Table:
+    """Entries of the stripes of one chunk, of the phrases whose hash is in the bitmap of their level, if it has one."""
     t, names, lang, lang_hashes = _opened(chunk)
+    out = []
     for k, level in enumerate(levels(t, lang, lang_hashes, bitmaps, longest), 1):
-        part = (t.hashes[level.last] % np.uint64(PARTS)).astype(np.int32)
-        kept = np.flatnonzero(_has(bitmaps[k - 1], level.hashes)) if k <= len(bitmaps) else np.arange(len(part))
-        order = kept[np.lexsort((level.last[kept], part[kept], level.prefix[kept]))]
-        group = level.prefix[order] * PARTS + part[order]
-        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else order
-        at = level.first[order][heads]
+        kept = np.flatnonzero(_has(bitmaps[k - 1], level.hashes)) if k <= len(bitmaps) else np.arange(len(level.last))
+        last, at = level.last[kept], level.first[kept]
         words = [t.words.take(pa.array(t.word[at + i])) for i in range(k - 1)]
         prefix = pc.binary_join_element_wise(*words, b" ").cast(pa.string()) if words else pa.array([""] * len(at), pa.string())
-        edges = pa.array(np.append(heads, len(order)).astype(np.int32))
-        stripe = pa.MapArray.from_arrays(edges, t.words.take(pa.array(level.last[order])).cast(pa.string()), pa.array(level.count[order]))
-        out = [names.take(pa.array(lang[t.doc[at]])), prefix, pa.array(part[order][heads]), stripe]
-        yield pa.RecordBatch.from_arrays(out, names=_STRIPE.fieldNames())
+        part = (t.hashes[last] % np.uint64(PARTS)).astype(np.int32)
+        out.append([names.take(pa.array(lang[t.doc[at]])), prefix, pa.array(part), t.words.take(pa.array(last)).cast(pa.string()), pa.array(level.count[kept])])
     # the number of all words of a language is the entry of the empty word, which no text has
     total = np.bincount(lang[t.doc], minlength=len(names))
-    own = pa.MapArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32)), pa.array([""] * len(total)), pa.array(total))
-    nowhere = [pa.array([""] * len(total), pa.string()), pa.array(np.zeros(len(total), np.int32))]
-    yield pa.RecordBatch.from_arrays([names, *nowhere, own], names=_STRIPE.fieldNames())
+    nothing = pa.array([""] * len(total), pa.string())
+    out.append([names, nothing, pa.array(np.zeros(len(total), np.int32)), nothing, pa.array(total)])
+    return pa.concat_tables([pa.Table.from_arrays(x, names=_ENTRY) for x in out])
+
+
+def as_stripes(entries: pa.Table) -> pa.RecordBatch:
+    """One row for each (language, prefix, part), with its associative counter."""
+    entries = entries.sort_by([(c, "ascending") for c in _ENTRY[:3]]).combine_chunks()
+    keys = [entries.column(c) for c in _ENTRY[:3]]
+    changes = [pc.not_equal(x.slice(1), x.slice(0, max(0, len(x) - 1))).to_numpy() for x in keys]
+    heads = np.append(0, np.flatnonzero(changes[0] | changes[1] | changes[2]) + 1) if len(entries) else np.zeros(0, np.int64)
+    word, count = (entries.column(c).combine_chunks() for c in _ENTRY[3:])
+    stripe = pa.MapArray.from_arrays(pa.array(np.append(heads, len(entries)).astype(np.int32)), word, count)
+    return pa.RecordBatch.from_arrays([*(x.combine_chunks().take(pa.array(heads)) for x in keys), stripe], names=_STRIPE.fieldNames())
 
 
 def _stripes(bitmaps: list, longest: int):
+    """Stripes of a task; those of its chunks are merged before they leave, and leave before they are many."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for chunk in chunks(batches, "_text", CHUNK_BYTES):
-            for out in chunk_stripes(chunk, [b.value for b in bitmaps], longest):
-                yield from (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
+            held.append(chunk_entries(chunk, [b.value for b in bitmaps], longest))
+            rows += len(held[-1])
+            if rows > MOST_ENTRIES:
+                held = [_merged(held)]
+                rows = len(held[0])
+                if rows > MOST_ENTRIES // 2:
+                    yield from _sent(held)
+                    held, rows = [], 0
+        if held:
+            yield from _sent([_merged(held)])
 
     return run
 
 
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    every = pa.concat_tables(tables).group_by(_ENTRY[:4], use_threads=False).aggregate([("n", "sum")])
+    return every.rename_columns({"n_sum": "n"}).select(_ENTRY)
+
+
+def _sent(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    out = as_stripes(tables[0])
+    return (out.slice(i, 20_000) for i in range(0, out.num_rows, 20_000))
+
+
 def _slots(bitmaps: list, bits: int):
     """Hashes of the phrases of level ``len(bitmaps) + 1``, cut to ``bits`` bits, with their counts in a chunk."""
 

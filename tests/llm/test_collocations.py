@@ -64,6 +64,7 @@ def found(df, **kw):
 @pytest.mark.parametrize("least, longest, top", [(5, 5, 2000), (2, 3, 7), (20, 5, 2000)])
 def test_equals_brute_force(spark, monkeypatch, least, longest, top):
     monkeypatch.setattr(collocations, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(collocations, "MOST_ENTRIES", 600)
     rows = corpus()
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
     assert found(df, least=least, longest=longest, top=top) == brute(rows, least, longest, top)
