@@ -44,7 +44,7 @@ BITS_PER_PHRASE, MOST_BITS = 16, 1 << 28
 _BITMAP = 32768
 
 #: Entries that a task merges before it sends them.
-MOST_ENTRIES = 400_000
+MOST_ENTRIES = 1_000_000
 _ENTRY = ["lang", "prefix", "part", "word", "n"]
 
 _BYTE_BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
