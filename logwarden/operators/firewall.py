@@ -20,17 +20,17 @@ LATERAL_PORTS = {"445": "SMB", "3389": "RDP", "5985": "WinRM", "22": "SSH", "135
 BLOCKED = ["DROP", "DENY", "REJECT"]
 LARGE_TRANSFER_BYTES = 50_000_000
 
-# Attributes of FW-1 … FW-8; level and technique of some rules
-# depend on the row and are refined below.
-_LEVEL = ["INFO", "HIGH", "CRITICAL", "MEDIUM", "MEDIUM", "MEDIUM", "MEDIUM", "LOW", "LOW"]
-_TYPE = [
-    "", "IDS_IPS_ALERT", "C2_PORT_OUTBOUND", "EXTERNAL_ACCESS_SENSITIVE_PORT", "LATERAL_MOVEMENT_INDICATOR",
-    "LARGE_OUTBOUND_TRANSFER", "DNS_OVER_TCP", "PROTOCOL_ANOMALY", "FIREWALL_DENY",
-]
-_TECHNIQUE = ["", "T1190", "T1571", "T1133", "T1021", "T1041", "T1071.004", "T1571", ""]
-_MODULE = [
-    "", "Firewall_IDS", "Firewall_C2", "Firewall_ExternalAccess", "Firewall_LateralMovement", "Firewall_Exfil",
-    "Firewall_DNSTunnel", "Firewall_Anomaly", "Firewall_Policy",
+# Rules in order; level and technique of some depend on the row and are refined below.
+RULES = [  # number, level, type, technique, module
+    (0, "INFO", "", "", ""),
+    (1, "HIGH", "IDS_IPS_ALERT", "T1190", "Firewall_IDS"),
+    (2, "CRITICAL", "C2_PORT_OUTBOUND", "T1571", "Firewall_C2"),
+    (3, "MEDIUM", "EXTERNAL_ACCESS_SENSITIVE_PORT", "T1133", "Firewall_ExternalAccess"),
+    (4, "MEDIUM", "LATERAL_MOVEMENT_INDICATOR", "T1021", "Firewall_LateralMovement"),
+    (5, "MEDIUM", "LARGE_OUTBOUND_TRANSFER", "T1041", "Firewall_Exfil"),
+    (6, "MEDIUM", "DNS_OVER_TCP", "T1071.004", "Firewall_DNSTunnel"),
+    (7, "LOW", "PROTOCOL_ANOMALY", "T1571", "Firewall_Anomaly"),
+    (8, "LOW", "FIREWALL_DENY", "", "Firewall_Policy"),
 ]
 
 VERDICT_COLUMNS = ["threat_level", "threat_type", "mitre_technique", "detection_module", "event_details"]
@@ -69,13 +69,14 @@ def detect_firewall(df: DataFrame) -> DataFrame:
     base = [c for c in df.columns if c not in VERDICT_COLUMNS]
     numbered = computed_once(df.select(*base, number.alias("__fw_n")), "__fw_n")
     n = F.col("__fw_n")
+    _, levels, types, techniques, modules = (list(column) for column in zip(*RULES, strict=True))
     level = (
         F.when((n == 1) & (F.lower(e.severity) == "critical"), "CRITICAL")
         .when((n == 2) & blocked, "HIGH")
         .when((n == 3) & (action == "ALLOW"), "HIGH")
-        .otherwise(pick(_LEVEL, n + 1))
+        .otherwise(pick(levels, n + 1))
     )
-    technique = F.when((n == 3) & e.dst_port.isin("22", "3389"), "T1021.001").otherwise(pick(_TECHNIQUE, n + 1))
+    technique = F.when((n == 3) & e.dst_port.isin("22", "3389"), "T1021.001").otherwise(pick(techniques, n + 1))
     arrow = F.concat(e.src_ip, F.lit(" → "), e.dst_ip)
     details = (
         F.when(n == 1, F.concat(F.lit("Sophos IDS/ATP: "), e.message, F.lit(" | class="), e.classification,
@@ -98,8 +99,8 @@ def detect_firewall(df: DataFrame) -> DataFrame:
     return numbered.select(
         *base,
         level.alias("threat_level"),
-        pick(_TYPE, n + 1).alias("threat_type"),
+        pick(types, n + 1).alias("threat_type"),
         technique.alias("mitre_technique"),
-        pick(_MODULE, n + 1).alias("detection_module"),
+        pick(modules, n + 1).alias("detection_module"),
         details.alias("event_details"),
     )

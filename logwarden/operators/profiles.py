@@ -35,6 +35,13 @@ _LETTERS = {
     "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "b": "MMM", "B": "MMMM", "p": "a",
     "f": "SSSSSS", "j": "DDD", "z": "xx", "%": "'%'", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "D": "MM/dd/yy", "R": "HH:mm",
 }
+# strptime's composed layouts, and what it reads without using it.
+COMPOSED = {"%c": "%a %b %d %H:%M:%S %Y", "%x": "%m/%d/%y", "%X": "%H:%M:%S"}
+UNUSED = {
+    "%a": r"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\b",
+    "%A": r"\b(?:Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)\b",
+    "%Z": r"\b(?:UTC|GMT)\b",
+}
 _OFFSET = r"([+-])(\d{2}):?(\d{2})"
 
 
@@ -66,14 +73,21 @@ def profile_time(value: Column, layout: str) -> Column:
     if layout in ("epoch", "epoch_ms"):
         number = value.try_cast("bigint")
         return F.coalesce(iso(F.timestamp_seconds(number) if layout == "epoch" else F.timestamp_millis(number)), value)
+    for letter, full in COMPOSED.items():
+        layout = layout.replace(letter, full)
+    given = value
+    for letter, names in UNUSED.items():
+        if letter in layout:  # read, and then of no use
+            value = F.when(F.regexp_extract(value, names, 0) != "", F.regexp_replace(value, names, ""))
+            layout = layout.replace(letter, "")
     pattern = spark_layout(layout)
     if pattern is None:
-        return value
+        return given
     # A fraction may have fewer digits than the pattern asks for.
     padded = F.regexp_replace(value, r"\.(\d{1,5})(?!\d)", ".$1" + "0" * 5) if "%f" in layout else value
     cut = F.regexp_replace(padded, r"\.(\d{6})\d*", ".$1") if "%f" in layout else value
     if "%z" not in layout:
-        return F.coalesce(iso(F.try_to_timestamp(cut, F.lit(pattern))), value)
+        return F.coalesce(iso(F.try_to_timestamp(cut, F.lit(pattern))), given)
     # Z is an offset of nothing, and a colon in the offset is allowed.
     plain = F.regexp_replace(F.regexp_replace(cut, r"([+-]\d{2}):(\d{2})$", "$1$2"), "Z$", "+0000")
     parsed = F.try_to_timestamp(plain, F.lit(pattern))
@@ -81,7 +95,7 @@ def profile_time(value: Column, layout: str) -> Column:
     hours, minutes = (F.regexp_extract(plain, _OFFSET, i) for i in (2, 3))
     shift = sign * (hours.try_cast("int") * 3600 + minutes.try_cast("int") * 60)
     local = F.timestamp_micros(F.unix_micros(parsed) + shift.cast("bigint") * 1_000_000)
-    return F.coalesce(F.concat(iso(local), F.regexp_extract(plain, _OFFSET, 1), hours, F.lit(":"), minutes), value)
+    return F.coalesce(F.concat(iso(local), F.regexp_extract(plain, _OFFSET, 1), hours, F.lit(":"), minutes), given)
 
 
 def _named(name: Column, mapping: dict[str, str]) -> Column:
@@ -134,6 +148,12 @@ def parse_csv(lines: DataFrame, columns: list[str], delimiter: str = ",", mappin
     return _result(staged, _with_time(_last_per_key(entries), mapping, timestamp), "csv", error).drop("__cells")
 
 
+def bare_cell(c: Column) -> Column:
+    """A cell without its quotes."""
+    quoted = (F.length(c) >= 2) & c.startswith('"') & c.endswith('"')
+    return F.when(quoted, F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+
+
 def csv_cells(line: Column, delimiter: str) -> Column:
     """Cells of one line; quoted cells may hold the delimiter and doubled quotes."""
     d = re.escape(delimiter)
@@ -141,12 +161,7 @@ def csv_cells(line: Column, delimiter: str) -> Column:
     # Every cell ends with a delimiter once the line does.
     cell = rf'("(?:[^"]|"")*"|[^{outside}]*){d}'
     found = F.regexp_extract_all(F.concat(line, F.lit(delimiter)), F.lit(cell), F.lit(1))
-
-    def bare(c: Column) -> Column:
-        quoted = (F.length(c) >= 2) & c.startswith('"') & c.endswith('"')
-        return F.when(quoted, F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
-
-    quoted_line = F.transform(found, bare)
+    quoted_line = F.transform(found, bare_cell)
     # Lines without a quote, nearly all, are a plain split.
     return F.when(line.contains('"'), quoted_line).otherwise(F.split(line, d, -1))
 
@@ -162,6 +177,21 @@ def _json_entries(text: Column, prefix: Column | None = None) -> Column:
         F.coalesce(F.startswith(F.schema_of_variant(F.try_element_at(kinds, e["key"])), F.lit("OBJECT")), F.lit(False)).alias("nested")))
 
 
+def flat_json_entries(document: Column, flatten: Column) -> Column:
+    """Entries of a JSON object; where ``flatten`` holds, those of nested objects under joined keys.  A null document has none."""
+    entries = F.coalesce(_json_entries(document), F.array().cast("array<struct<key:string,value:string,nested:boolean>>"))
+    # A text cannot be nested deeper than it has braces; where nothing is nested any more, nothing changes.
+    braces = F.length(document) - F.length(F.replace(document, F.lit("{"), F.lit("")))
+
+    def once(found: Column) -> Column:
+        return F.flatten(F.transform(found, lambda e: F.when(
+            e["nested"], _json_entries(e["value"], e["key"])).otherwise(F.array(e))))
+
+    depth = F.sequence(F.lit(1), F.greatest(F.coalesce(braces, F.lit(1)), F.lit(1)))
+    flat = F.aggregate(depth, entries, lambda found, _: F.when(F.exists(found, lambda e: e["nested"]), once(found)).otherwise(found))
+    return F.when(flatten, flat).otherwise(entries)
+
+
 def parse_json(lines: DataFrame, mapping: dict[str, str] | None = None, timestamp: dict | None = None,
                flatten: bool = False, raw: str = "raw_log") -> DataFrame:
     """JSON objects.  ``flatten`` joins the keys of nested objects with ``_``, as deep as they go; arrays keep their JSON
@@ -169,18 +199,7 @@ def parse_json(lines: DataFrame, mapping: dict[str, str] | None = None, timestam
     mapping = mapping or {}
     text = strip(F.col(raw))
     staged = lines.withColumn("__json", F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), text))
-    entries = F.coalesce(_json_entries(F.col("__json")), F.array().cast("array<struct<key:string,value:string,nested:boolean>>"))
-    if flatten:
-        # A text cannot be nested deeper than it has braces; where nothing is nested any more, nothing changes.
-        braces = F.length("__json") - F.length(F.replace("__json", F.lit("{"), F.lit("")))
-
-        def once(found: Column) -> Column:
-            return F.flatten(F.transform(found, lambda e: F.when(
-                e["nested"], _json_entries(e["value"], e["key"])).otherwise(F.array(e))))
-
-        entries = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.coalesce(braces, F.lit(1)), F.lit(1))), entries,
-            lambda found, _: F.when(F.exists(found, lambda e: e["nested"]), once(found)).otherwise(found))
+    entries = flat_json_entries(F.col("__json"), F.lit(flatten))
     renamed = F.transform(entries, lambda e: F.struct(_named(e["key"], mapping).alias("key"), e["value"].alias("value")))
     error = F.when(F.col("__json").isNull(), JSON_ERROR)
     return _result(staged, _with_time(_last_per_key(renamed), mapping, timestamp), "json", error).drop("__json")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from logwarden.plans import analysis, correlation, detection, ingest, windowing  # noqa: F401
+from logwarden.plans import analysis, correlation, detection, ingest, profiled, windowing  # noqa: F401
 from logwarden.plans.catalog import ORACLES, QUERIES  # noqa: F401
