@@ -31,6 +31,14 @@ def row_hash(ids: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(both.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def row_key(ids: Column, text: Column) -> Column:
+    """What tells rows apart: SHA-256 of id and text with their lengths; nulls differ from all texts."""
+    def part(x: Column) -> Column:
+        return F.when(x.isNull(), "-").otherwise(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x))
+
+    return F.sha2(F.concat(part(ids.cast("string")), F.lit("\n"), part(text)).cast("binary"), 256)
+
+
 def leading(hashes: Column, of: int, bits: Column) -> Column:
     """The first ``bits`` bits of hashes that have ``of`` bits."""
     return F.call_function("shiftright", hashes, (F.lit(of) - bits).cast("int"))
@@ -75,12 +83,14 @@ def assign(rows: DataFrame, limit: int) -> DataFrame:
         base, bits = bits + 1, min(HASH_BITS, bits + FINER + 3)
 
 
-def _placed(docs: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
-    """``_id, hash, n_bytes, shard, depth, part`` of each row."""
+def _placed(docs: DataFrame, limit: int, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """``_id, n_bytes, shard, depth, part`` of each row, and ``_key`` (:func:`row_key`) where ``whole`` asks for it."""
+    key = ["_key"] if whole else []
     rows = docs.select(F.col(id_col).alias("_id"), row_hash(F.col(id_col), F.col(text_col)).alias("hash"),
+                       *(row_key(F.col(id_col), F.col(text_col)).alias(k) for k in key),
                        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     # equal rows travel as one with a count
-    equal = rows.groupBy("_id", "hash", F.col("n_bytes").alias("size")).agg(F.count("*").alias("times"))
+    equal = rows.groupBy("_id", "hash", *key, F.col("n_bytes").alias("size")).agg(F.count("*").alias("times"))
     placed = assign(equal.withColumn("n_bytes", F.col("size") * F.col("times")), limit)
     many = F.greatest(F.floor(F.lit(limit) / F.greatest("size", F.lit(1))), F.lit(1))
     placed = placed.withColumn("per", F.when(F.col("over"), many).otherwise(F.col("times")).cast("long"))
@@ -91,7 +101,7 @@ def _placed(docs: DataFrame, limit: int, id_col: str, text_col: str) -> DataFram
     name = F.when(F.col("over"), F.concat(name, F.lit("."), F.col("part").cast("string"))).otherwise(name)
     here = F.least(F.col("per"), F.col("times") - F.col("part") * F.col("per"))
     return parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), here))).select(
-        "_id", "hash", F.col("size").alias("n_bytes"), name.alias("shard"), F.col("depth").cast("long").alias("depth"), "part"
+        "_id", *key, F.col("size").alias("n_bytes"), name.alias("shard"), F.col("depth").cast("long").alias("depth"), "part"
     )
 
 
@@ -108,7 +118,10 @@ def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write id and text of every row below ``path``, one folder ``shard=...`` for each shard."""
-    placed = _placed(docs, limit, id_col, text_col).select("hash", "shard")
-    texts = docs.select(F.col(id_col), F.col(text_col), row_hash(F.col(id_col), F.col(text_col)).alias("hash")).dropDuplicates(["hash"])
-    # rows of one hash are equal, so one text serves them all
-    placed.join(texts, "hash").select(id_col, text_col, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    placed = _placed(docs, limit, id_col, text_col, whole=True)
+    # Hashes of 60 bits can be equal by chance, so rows meet their shards by the whole text: id, full digest and length.
+    # Equal rows are told apart by a number only, so one of them serves all.
+    whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_key", row_key(F.col("_id"), F.col("_text")))
+    texts = whole.dropDuplicates(["_key"])
+    out = placed.join(texts.drop("_id"), "_key").select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "shard")
+    out.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import pieces, scratch_folder, tidy_arrow, written
-from logwarden.llm.words import mix, rolling, text_bytes
+from logwarden.llm.words import mix, span_hashes, text_bytes
 
 MOST_ROWS = 20_000
 FEATURE_BITS = 20
@@ -42,7 +42,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[edge] = letter[edge]
     ends[edge[1:] - 1] = letter[edge[1:] - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    words = rolling(np.where(letter, data, 0).astype(np.uint64) + np.uint64(1), start, end, _WORD_BASE)
+    words = span_hashes(np.where(letter, data, 0).astype(np.uint8), start, end, _WORD_BASE)
     # blanks around every document, so that no sequence reaches into another one
     gap = np.zeros(len(data) + 2 * (len(at) + 1), dtype=np.uint64)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))

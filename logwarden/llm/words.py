@@ -6,6 +6,7 @@ multi-byte UTF-8 character.
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +17,8 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes from which on a span is hashed by a digest and not by a polynomial.
+LONG = 256
 #: Odd multipliers of the polynomial hashes of bytes and of words.
 _BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -107,9 +110,23 @@ def split_words(column: pa.Array) -> Words:
     return Words(data, at, start, np.flatnonzero(ends) + 1, np.searchsorted(start, at))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of ``data[start:end]`` (bytes) for each pair.
+
+    Polynomials modulo 2**64 have texts of a thousand letters and more that collide for every odd base (Thue-Morse words).
+    So they serve spans of less than ``LONG`` bytes, and a keyed digest serves the few that are longer.
+    """
+    out = rolling(data.astype(np.uint64) + np.uint64(1), start, end, base)
+    key = base.to_bytes(8, "little")
+    for i in np.flatnonzero(end - start >= LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 def word_hashes(w: Words, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each word; ``which`` chooses one of two independent ones."""
-    return rolling(w.data.astype(np.uint64) + np.uint64(1), w.start, w.end, _BYTE_BASES[which])
+    return span_hashes(w.data, w.start, w.end, _BYTE_BASES[which])
 
 
 def window_starts(w: Words, size: int) -> np.ndarray:

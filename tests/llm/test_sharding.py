@@ -7,7 +7,9 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from logwarden.llm import sharding
 from logwarden.llm.sharding import shards, write_shards
 
 
@@ -69,3 +71,12 @@ def test_no_python_on_the_executors(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     plan = shards(df, 5000)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_equal_hashes_of_different_rows_lose_no_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "row_hash", lambda ids, text: F.lit(5).cast("long") + F.length(text) * 0)
+    rows = [(1, "one"), (2, "two"), (2, "two"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(df, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, back)) == sorted(rows)

@@ -91,3 +91,17 @@ def test_empty_table_and_clashing_columns(spark):
 
 def test_hash_width_grows_with_the_corpus():
     assert hash_bytes(0) == 8 and hash_bytes(10**10) == 9 and hash_bytes(10**14) > 11
+
+
+def thue_morse(letters, swap=False):
+    """Words of 2 ** n letters that every polynomial modulo 2**64 with an odd base takes for one."""
+    out = "ab"
+    while len(out) < letters:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out.translate(str.maketrans("ab", "ba")) if swap else out
+
+
+def test_words_that_polynomials_confuse(spark):
+    shared = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{shared} {thue_morse(4096)}"), (2, f"{shared} {thue_morse(4096, True)}")]
+    assert found(spark, rows) == brute(rows, 35)
