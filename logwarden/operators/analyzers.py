@@ -110,6 +110,17 @@ def _value_counts(rows: DataFrame, key: str, kinds: dict[str, Column]) -> DataFr
     )
 
 
+def _few(counted: DataFrame, key: str, kind: str, k: int, value: Column) -> DataFrame:
+    """``few``: the first ``k`` values of a kind of each (window, key), which are not the key itself.
+
+    Every task keeps ``k`` of its rows before they meet, so a key with many values is no long list anywhere.
+    """
+    rows = counted.where((F.col("kind") == kind) & (F.col("value") != F.col(key))).withColumn("few", value)
+    place = F.row_number().over(Window.partitionBy("first_slot", key).orderBy("few"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).groupBy("first_slot", key).agg(
+        F.array_sort(F.collect_list("few")).alias("few"))
+
+
 def _of(kind: str, value: Column | str) -> Column:
     return F.when(F.col("kind") == kind, F.col(value) if isinstance(value, str) else value)
 
@@ -126,29 +137,44 @@ def _totals(base: str) -> list[Column]:
     ]
 
 
-def ip_activity(logs: DataFrame) -> DataFrame:
-    """Addresses with many denied actions, peers, ports or source types."""
-    kinds = {
+def _ip_values(logs: DataFrame) -> DataFrame:
+    return _value_counts(_by_ip(with_slot(logs)), "ip", {
         "type": nz("source_type"), "dest": _filled("dest_ip"), "port": F.nullif("dst_port", F.lit(0)),
         "source": _filled("source_system"), "user": _filled("username"), "action": _filled("action"),
-    }
-    measured = _value_counts(_by_ip(with_slot(logs)), "ip", kinds).groupBy("first_slot", "ip").agg(
+    })
+
+
+def _user_values(logs: DataFrame) -> DataFrame:
+    return _value_counts(with_slot(logs).filter(_filled("username").isNotNull()), "username", {
+        "type": nz("source_type"), "ip": _filled("source_ip"), "source": _filled("source_system")})
+
+
+def _scan_values(logs: DataFrame) -> DataFrame:
+    used = with_slot(logs).filter(_filled("source_ip").isNotNull() & (F.coalesce("dst_port", F.lit(0)) != 0))
+    return _value_counts(used, "source_ip", {"port": F.col("dst_port"), "source": _filled("source_system")})
+
+
+def ip_activity(logs: DataFrame) -> DataFrame:
+    """Addresses with many denied actions, peers, ports or source types."""
+    other, counted = F.col("value") != F.col("ip"), _ip_values(logs)
+    measured = counted.groupBy("first_slot", "ip").agg(
         *_totals("type"), F.count_if(F.col("kind") == "dest").alias("dests"), F.count_if(F.col("kind") == "port").alias("ports"),
         F.count_if(F.col("kind") == "type").alias("types"), _values("source").alias("sources"), _values("user").alias("users"),
-        _values("dest", F.when(F.col("value") != F.col("ip"), F.col("value"))).alias("peers"),
+        F.count_if((F.col("kind") == "dest") & other).alias("peers"),
         _values("action", F.struct("value", "n")).alias("actions"),
     )
     severity = F.when((F.col("denied") > 10) | (F.col("dests") > 20) | (F.col("ports") > 50), "CRITICAL").when(
         (F.col("denied") > 5) | (F.col("dests") > 10) | (F.col("types") > 2), "WARNING"
     )
     df = measured.filter(F.col("n") >= 5).withColumn("severity", severity).filter(F.col("severity").isNotNull())
-    few = F.slice("peers", 1, LISTED_PEERS)
+    df = df.join(_few(counted, "ip", "dest", LISTED_PEERS, F.col("value")), ["first_slot", "ip"], "left")
+    few = F.coalesce("few", _none())
     listed = F.array_join(F.transform("actions", lambda e: F.concat(
         F.lit("'"), e["value"], F.lit("': "), e["n"].cast("string"))), ", ")
     description = F.concat(
         F.lit("IP "), "ip", F.lit(" generated "), F.col("n").cast("string"), F.lit(" events across "),
         F.size("sources").cast("string"), F.lit(" sources. Actions: {"), listed, F.lit("}. "),
-        F.when(F.size("peers") > 0, F.concat(F.lit("Contacted "), F.size("peers").cast("string"),
+        F.when(F.col("peers") > 0, F.concat(F.lit("Contacted "), F.col("peers").cast("string"),
                                              F.lit(" unique destinations."))).otherwise(""),
     )
     critical = F.col("severity") == "CRITICAL"
@@ -166,8 +192,7 @@ def ip_activity(logs: DataFrame) -> DataFrame:
 
 def user_activity(logs: DataFrame) -> DataFrame:
     """Users with many failures, addresses or source types."""
-    kinds = {"type": nz("source_type"), "ip": _filled("source_ip"), "source": _filled("source_system")}
-    measured = _value_counts(with_slot(logs).filter(_filled("username").isNotNull()), "username", kinds).groupBy(
+    measured = _user_values(logs).groupBy(
         "first_slot", "username"
     ).agg(
         *_totals("type"), F.count_if(F.col("kind") == "ip").alias("addresses"), F.count_if(F.col("kind") == "type").alias("types"),
@@ -193,20 +218,18 @@ def user_activity(logs: DataFrame) -> DataFrame:
 
 def port_scans(logs: DataFrame, minimum: int = 20) -> DataFrame:
     """Sources that reach more than ``minimum`` different ports."""
-    used = with_slot(logs).filter(_filled("source_ip").isNotNull() & (F.coalesce("dst_port", F.lit(0)) != 0))
-    kinds = {"port": F.col("dst_port"), "source": _filled("source_system")}
-    df = _value_counts(used, "source_ip", kinds).groupBy("first_slot", "source_ip").agg(
+    counted = _scan_values(logs)
+    df = counted.groupBy("first_slot", "source_ip").agg(
         *_totals("port"), F.count_if(F.col("kind") == "port").alias("ports"), _values("source").alias("sources"),
-        # A port is a 16-bit number, so this list has at most 65535 members.
-        F.slice(_values("port", F.col("value").cast("int")), 1, LISTED_PORTS).alias("scanned"),
     ).filter(F.col("ports") > minimum)
+    df = df.join(_few(counted, "source_ip", "port", LISTED_PORTS, F.col("value").cast("int")), ["first_slot", "source_ip"])
     return _result(
         df, "attack_sequence", F.concat(F.lit("portscan_"), F.replace("source_ip", F.lit("."), F.lit("_"))),
         F.lit("CRITICAL"), F.concat(F.lit("Port Scanning Detected: "), "source_ip"),
         F.concat(F.lit("IP "), "source_ip", F.lit(" attempted to access "), F.col("ports").cast("string"),
                  F.lit(" different ports, indicating possible port scanning.")),
         F.col("sources"), F.array("source_ip"), _none(),
-        F.struct(F.array("source_ip").alias("source_ips"), F.col("scanned").alias("scanned_ports"),
+        F.struct(F.array("source_ip").alias("source_ips"), F.col("few").alias("scanned_ports"),
                  _texts("port_scanning", "reconnaissance").alias("attack_type")),
         _texts(F.concat(F.lit("Block IP "), "source_ip", F.lit(" at firewall")), "Review all connections from this IP",
                "Check for successful connections after scan"),
@@ -250,6 +273,32 @@ def login_attacks(logs: DataFrame, minimum: int = 5) -> DataFrame:
     )
 
 
+#: Analyzer, its values, their key, and the column of a result that holds the key.
+EVIDENCE = [
+    ("ip_activity", _ip_values, "ip", "involved_ips"),
+    ("user_activity", _user_values, "username", "involved_users"),
+    ("port_scans", _scan_values, "source_ip", "involved_ips"),
+]
+
+
+def evidence(logs: DataFrame, options: dict[str, dict] | None = None) -> DataFrame:
+    """Every value behind every result: ``analyzer, window_start, key, kind, value, events, first_seen, last_seen``.
+
+    Results list the first few peers and ports; here are all, one row each, so a scanning address is many rows and no
+    long list.  ``options`` has the arguments of an analyzer by its name.
+    """
+    out = None
+    for name, values, key, column in EVIDENCE:
+        found = ANALYZERS[name](logs, **(options or {}).get(name, {}))
+        wanted = found.select(bucket("window_start", SLOT_SECONDS).alias("first_slot"), F.get(column, F.lit(0)).alias(key))
+        rows = values(logs).join(wanted, ["first_slot", key]).select(
+            F.lit(name).alias("analyzer"), bucket_start(F.col("first_slot"), SLOT_SECONDS).alias("window_start"), F.col(key).alias("key"),
+            "kind", "value", F.col("n").alias("events"), F.timestamp_micros("first_us").alias("first_seen"), F.timestamp_micros("last_us").alias("last_seen"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 ANALYZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "ip_activity": ip_activity,
     "user_activity": user_activity,

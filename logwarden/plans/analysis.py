@@ -156,6 +156,30 @@ def analyzer_first_events(spark, sf):
     return listed.select(micros("window_start").alias("window_us"), "username", F.array_join(ids, ",").alias("ids"))
 
 
+_SIDES = " UNION ALL ".join(
+    f"SELECT w, {key} AS key, '{name}' AS analyzer, '{kind}' AS kind, CAST({column} AS VARCHAR) AS value, us FROM {table} WHERE {key} IS NOT NULL{more}"
+    for name, table, key, more, kinds in (
+        ("ip_activity", "pw2", "ip", "", {"type": "source_type", "dest": "dest_ip", "port": "dst_port", "source": "source_system", "user": "username", "action": "action"}),
+        ("user_activity", "pw", "username", "", {"type": "source_type", "ip": "source_ip", "source": "source_system"}),
+        ("port_scans", "pw", "source_ip", " AND dst_port IS NOT NULL", {"port": "dst_port", "source": "source_system"}),
+    ) for kind, column in kinds.items())
+
+
+@query("analyzer_evidence", PARSED + "," + IP_SQL + "," + USER_SQL + "," + SCAN_SQL.format(minimum=14) + f""",
+pw2 AS (SELECT *, unnest(list_filter([source_ip, dest_ip], lambda x: x IS NOT NULL)) AS ip FROM pw),
+sides AS ({_SIDES}),
+hit AS (
+  SELECT window_us, string_split(ips, ',')[1] AS key, 'ip_activity' AS analyzer FROM r_ip
+  UNION ALL SELECT window_us, users, 'user_activity' FROM r_user UNION ALL SELECT window_us, ips, 'port_scans' FROM r_scan
+)
+SELECT analyzer, window_us, key, kind, value, count(*) AS events, min(us) AS first_us, max(us) AS last_us
+FROM sides JOIN hit USING (analyzer, key) WHERE w * 10000000 = window_us AND value IS NOT NULL GROUP BY ALL""")
+def analyzer_evidence(spark, sf):
+    found = A.evidence(V.parsed(spark, sf), {"port_scans": {"minimum": 14}})
+    return found.select("analyzer", micros("window_start").alias("window_us"), "key", "kind", "value", "events",
+                        micros("first_seen").alias("first_us"), micros("last_seen").alias("last_us"))
+
+
 # ------------------------------------------------------------ process chains
 
 _EDGE = """
