@@ -10,7 +10,7 @@ from logwarden.operators import dedup as D
 from logwarden.operators import projections as P
 from logwarden.operators import windows as W
 from logwarden.plans import views as V
-from logwarden.plans.catalog import query
+from logwarden.plans.catalog import ORACLES, query
 from logwarden.plans.detection import firewall_verdicts, security_verdicts
 
 _FP = "sha256(concat_ws('|', agent_host, eventid_0, mitre_technique, detection_module, image_2, destinationip_2, destinationport_2))"
@@ -179,6 +179,9 @@ def window_verdicts(spark, sf):
     )
 
 
+query("window_verdicts_uncapped", ORACLES["window_verdicts"])(window_verdicts)  # its earlier name; no path has a cap any more
+
+
 @query("window_evidence", WINDOW_SQL + """
 SELECT source_type, window_us, kind, value, rows, o[1] AS first_us FROM evi""")
 def window_evidence(spark, sf):
