@@ -1,11 +1,14 @@
 """Cross-source correlation: five interval joins of endpoint and firewall events.
 
-Every rule joins on an IP address and a time distance.  A plain equi-join on
-the address would send one noisy address to one task, so the join key is
-(address, ten-minute bucket): the filtered endpoint side is copied to the two
-or three buckets its interval touches, the firewall side stays single.  A pair
-is found in exactly one bucket.  What remains hot inside one bucket is split
-by the adaptive skew join, or by ``salt``.
+Every rule joins on an IP address and a time distance.  Incidents only need the
+number of matches, the first and the last; a sweep over sorted times gives them
+without making pairs (:mod:`logwarden.operators.sweep`).
+
+Evidence needs the pairs.  A plain equi-join on the address would send one noisy
+address to one task, so its key is (address, ten-minute bucket): the filtered
+endpoint side is copied to the two or three buckets its interval touches, the
+firewall side stays single.  A pair is found in exactly one bucket.  What
+remains hot inside one bucket is split by the adaptive skew join, or by ``salt``.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from logwarden.functions.text import any_true, to_long
 from logwarden.functions.times import as_timestamp, bucket, iso_text, micros, whole_division
+from logwarden.operators.sweep import within_reach
 
 WINDOW_SECONDS = 600
 
@@ -150,6 +154,24 @@ _REACH = {
 }
 
 
+def _flags(tests: dict[str, Column], rules: list[str], side: str) -> list[Column]:
+    return [F.coalesce(tests[r], F.lit(False)).alias(f"{side}{i}") for i, r in enumerate(rules)]
+
+
+def _endpoint_side(endpoint: DataFrame, rules: list[str], as_of: dt.datetime | None) -> DataFrame:
+    """Rows that can take part in some rule; ``__w0``, ``__w1`` … say in which."""
+    tests = _endpoint_tests()
+    w = _between(endpoint, as_of).filter(any_true([tests[r] for r in rules]))
+    return w.select("ts", *[F.col(c).alias("w_" + c) for c in _W], *_flags(tests, rules, "__w"))
+
+
+def _firewall_side(firewall: DataFrame, rules: list[str], as_of: dt.datetime | None, mode: str) -> DataFrame:
+    """Rows that can take part in some rule under their source address; ``__f0``, ``__f1`` … say in which."""
+    tests = _firewall_tests(mode)
+    f = _between(firewall, as_of).filter(any_true([tests[r] for r in rules]))
+    return f.select(F.col("src_ip").alias("key"), "ts", *[F.col(c).alias("f_" + c) for c in _F], *_flags(tests, rules, "__f"))
+
+
 def pair_incidents(
     endpoint: DataFrame,
     firewall: DataFrame,
@@ -160,17 +182,52 @@ def pair_incidents(
 ) -> DataFrame:
     """Incidents of the rules that need an endpoint and a firewall row: one for each rule and endpoint row.
 
-    The first firewall row that matches is told, the others are counted; all of
-    them are rows of :func:`pair_matches`.
+    The first firewall row that matches is told (the smallest of those of the
+    same instant), the others are counted; all of them are rows of
+    :func:`pair_matches`.  No pair is made here: a sweep over sorted times
+    counts them, so busy addresses cost a sort.  ``salt`` is for
+    :func:`pair_matches` and changes nothing here.
     """
-    pairs = _pairs(endpoint, firewall, rules, as_of, mode, salt)
-    row = F.struct("right_ts", "f_id", *[c for c in pairs.columns if c.startswith("f_") and c != "f_id"])
-    own = ["kind", "left_ts", *[c for c in pairs.columns if c.startswith("w_")]]
-    grouped = pairs.groupBy("kind", "w_id").agg(
-        F.min(row).alias("f"), F.count("*").alias("matches"), F.max("right_ts").alias("last_ts"),
-        *[F.first(c).alias(c) for c in own if c not in ("kind", "w_id")],
-    )
-    return _pair_output(grouped.select(*own, "f.*", "matches", "last_ts"), F.col("w_id"))
+    rules = rules or PAIR_RULES
+    w, f = _endpoint_side(endpoint, rules, as_of), _firewall_side(firewall, rules, as_of, mode)
+
+    def watch(rule: str, key: Column, peer: Column) -> Column:
+        before, after = _REACH[rule]
+        low, high = F.col("us") - before * 1_000_000, F.col("us") + after * 1_000_000
+        if rule == BYPASS:  # strictly earlier
+            high = high - 1
+        return F.struct(F.lit(rule).alias("kind"), key.alias("key"), peer.alias("peer"), low.alias("low"), high.alias("high"))
+
+    def watches(i: int, rule: str) -> Column:
+        none = F.lit("")
+        if rule != C2:
+            some = F.array(watch(rule, F.col("w_src_ip"), none))
+        else:
+            keys = F.array_distinct(F.array("w_src_ip", "w_agent_host"))
+            some = F.concat(*[F.transform(keys, lambda k: watch(C2, k, peer)) for peer in (none, F.col("w_dst_ip"))])
+        return F.when(F.col(f"__w{i}"), some).otherwise(F.slice(some, 1, 0))
+
+    own = ["ts", *["w_" + c for c in _W if c != "id"]]
+    probes = w.withColumn("us", micros("ts")).select(
+        "w_id", F.struct(*own).alias("told"), F.explode(F.concat(*[watches(i, r) for i, r in enumerate(rules)])).alias("p")
+    ).select(F.struct("p.kind", "w_id").alias("probe"), "told", "p.*")
+    if mode == "intent":
+        probes = probes.where(F.col("key") != "")
+
+    def seen(i: int, rule: str) -> Column:
+        # A beacon is known by its port, whoever it reaches, or else by the peer that both sides name.
+        beacon = F.coalesce(F.col("f_dst_port").isin(BEACON_PORTS), F.lit(False))
+        peer = F.when(beacon, "").otherwise(F.nullif("f_dst_ip", F.lit(""))) if rule == C2 else F.lit("")
+        return F.when(F.col(f"__f{i}"), F.struct(F.lit(rule).alias("kind"), peer.alias("peer")))
+
+    points = f.select(
+        "key", micros("ts").alias("us"), F.struct(*["f_" + c for c in _F]).alias("told"),
+        F.explode(F.array_compact(F.array(*[seen(i, r) for i, r in enumerate(rules)]))).alias("p"),
+    ).select("p.*", "key", "us", "told", F.lit(1).cast("bigint").alias("n")).where(F.col("peer").isNotNull())
+    found = within_reach(probes, points, ["kind", "key", "peer"]).select(
+        "probe.*", F.col("told.ts").alias("left_ts"), *["told." + c for c in own[1:]], F.timestamp_micros("first_us").alias("right_ts"),
+        "first.*", F.col("n").alias("matches"), F.timestamp_micros("last_us").alias("last_ts"))
+    return _pair_output(found, F.col("w_id"))
 
 
 def pair_matches(
@@ -197,18 +254,7 @@ def _pairs(endpoint: DataFrame, firewall: DataFrame, rules: list[str] | None, as
     nothing; with ``mode="reference"`` they match each other.
     """
     rules = rules or PAIR_RULES
-    w_test, f_test = _endpoint_tests(), _firewall_tests(mode)
-
-    def flags(tests):
-        return [F.coalesce(tests[r], F.lit(False)).alias(f"{side}{i}") for i, r in enumerate(rules)]
-
-    side = "__w"
-    w = _between(endpoint, as_of).filter(any_true([w_test[r] for r in rules]))
-    w = w.select("ts", *[F.col(c).alias("w_" + c) for c in _W], *flags(w_test))
-    side = "__f"
-    f = _between(firewall, as_of).filter(any_true([f_test[r] for r in rules]))
-    right = f.select(F.col("src_ip").alias("key"), "ts", *[F.col(c).alias("f_" + c) for c in _F], *flags(f_test))
-
+    w, right = _endpoint_side(endpoint, rules, as_of), _firewall_side(firewall, rules, as_of, mode)
     two_keys = F.col(f"__w{rules.index(C2)}") if C2 in rules else F.lit(False)
     keys = F.when(two_keys, F.array_distinct(F.array("w_src_ip", "w_agent_host"))).otherwise(F.array("w_src_ip"))
     left = w.withColumn("key", F.explode(keys))
@@ -320,10 +366,10 @@ def failure_bursts(endpoint: DataFrame, minimum: int = MIN_FAILURES, window: int
 
     A burst row has ``minimum`` failures in the ``window`` seconds up to it;
     burst rows less than ``window`` apart belong together.  Failures are first
-    counted per (source, instant); the range count then runs per (source,
-    bucket), with the previous bucket copied in as context, so no task ever
-    sorts one source's whole history.  Only one row per bucket reaches the
-    window that chains buckets.
+    counted per (source, instant); a sweep over short cells then counts what
+    lies before each instant, so no task sorts a source's whole history or even
+    one whole window of it.  Only one row per window-wide cell reaches the
+    step that chains cells.
     """
     width = window * 1_000_000
     instants = (
@@ -332,17 +378,11 @@ def failure_bursts(endpoint: DataFrame, minimum: int = MIN_FAILURES, window: int
         .agg(F.count("*").alias("n"), F.min_by("agent_host", "id").alias("host"))
     )
     cell = whole_division(F.col("us"), width)
-    copies = instants.select(
-        "src_ip", "us", "n",
-        F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")),
-                          F.struct((cell + 1).alias("cell"), F.lit(False).alias("own")))).alias("c"),
-    ).select("src_ip", "us", "n", "c.cell", "c.own")
-    recent = Window.partitionBy("src_ip", "cell").orderBy("us").rangeBetween(-width, 0)
-    hot = (
-        copies.withColumn("recent", F.sum("n").over(recent)).withColumn("since", F.min("us").over(recent))
-        .filter(F.col("own") & (F.col("recent") >= minimum))
-    )
-    cells = hot.groupBy("src_ip", "cell").agg(
+    probes = instants.select("src_ip", F.struct("src_ip", "us").alias("probe"), F.lit(0).alias("told"), "n",
+                             (F.col("us") - width).alias("low"), F.col("us").alias("high"))
+    recent = within_reach(probes, None, ["src_ip"])
+    hot = recent.filter(F.col("n") >= minimum).select("probe.*", F.col("first_us").alias("since"))
+    cells = hot.groupBy("src_ip", cell.alias("cell")).agg(
         F.min("us").alias("start"), F.max("us").alias("end"), F.min("since").alias("since")
     )
     ordered = Window.partitionBy("src_ip").orderBy("cell")
@@ -367,15 +407,13 @@ def failure_bursts(endpoint: DataFrame, minimum: int = MIN_FAILURES, window: int
 
 def _brute_force_incidents(groups: DataFrame, blocks: DataFrame) -> DataFrame:
     """``groups``: src_ip, host, failures, first_us, last_us."""
-    left = groups.select(
-        F.col("src_ip").alias("key"), F.timestamp_micros("first_us").alias("ts"), "host", "failures", "first_us", "last_us"
-    )
-    right = blocks.select(F.col("src_ip").alias("key"), "ts")
-    hits = (
-        interval_join(left, right, WINDOW_SECONDS, WINDOW_SECONDS)
-        .groupBy("key", "first_us", "last_us", "host", "failures")
-        .agg(F.count("*").alias("blocks"), F.min(micros("right_ts")).alias("f_min"), F.max(micros("right_ts")).alias("f_max"))
-    )
+    reach = WINDOW_SECONDS * 1_000_000
+    probes = groups.select(
+        F.col("src_ip").alias("key"), F.struct(F.col("src_ip").alias("key"), "first_us").alias("probe"),
+        F.struct("host", "failures", "last_us").alias("told"), (F.col("first_us") - reach).alias("low"), (F.col("first_us") + reach).alias("high"))
+    points = blocks.groupBy(F.col("src_ip").alias("key"), micros("ts").alias("us")).agg(F.count("*").alias("n"))
+    hits = within_reach(probes, points.withColumn("told", F.lit(0)), ["key"]).select(
+        "probe.*", "told.*", F.col("n").alias("blocks"), F.col("first_us").alias("f_min"), F.col("last_us").alias("f_max"))
     host = F.coalesce(F.nullif("host", F.lit("")), F.concat(F.lit("host@"), "key"))
     return hits.select(
         incident_key(F.lit("BRUTE_FORCE_CONFIRMED"), F.col("key"), F.col("first_us")).alias("incident_key"),
