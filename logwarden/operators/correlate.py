@@ -351,11 +351,13 @@ def firewall_bypass(endpoint: DataFrame, firewall: DataFrame, as_of=None, salt:
 # ---------------------------------------------------------------------------
 
 
-def _failures(endpoint: DataFrame) -> DataFrame:
+def failures(endpoint: DataFrame) -> DataFrame:
+    """Failed logons from elsewhere."""
     return endpoint.filter((F.col("event_id") == "4625") & ~F.col("src_ip").isin(LOCAL_SOURCES))
 
 
-def _guessing_blocks(firewall: DataFrame) -> DataFrame:
+def guessing_blocks(firewall: DataFrame) -> DataFrame:
+    """Connections to logon ports that the firewall blocked."""
     return firewall.filter(
         F.col("dst_port").isin(BRUTE_FORCE_PORTS) & F.upper("action").isin(BLOCKED) & ~F.col("src_ip").isin(LOCAL_SOURCES)
     )
@@ -373,7 +375,7 @@ def failure_bursts(endpoint: DataFrame, minimum: int = MIN_FAILURES, window: int
     """
     width = window * 1_000_000
     instants = (
-        _failures(endpoint)
+        failures(endpoint)
         .groupBy("src_ip", micros("ts").alias("us"))
         .agg(F.count("*").alias("n"), F.min_by("agent_host", "id").alias("host"))
     )
@@ -414,6 +416,11 @@ def _brute_force_incidents(groups: DataFrame, blocks: DataFrame) -> DataFrame:
     points = blocks.groupBy(F.col("src_ip").alias("key"), micros("ts").alias("us")).agg(F.count("*").alias("n"))
     hits = within_reach(probes, points.withColumn("told", F.lit(0)), ["key"]).select(
         "probe.*", "told.*", F.col("n").alias("blocks"), F.col("first_us").alias("f_min"), F.col("last_us").alias("f_max"))
+    return burst_incidents(hits)
+
+
+def burst_incidents(hits: DataFrame) -> DataFrame:
+    """Incidents of confirmed bursts: key, host, failures, first_us, last_us, blocks, f_min, f_max."""
     host = F.coalesce(F.nullif("host", F.lit("")), F.concat(F.lit("host@"), "key"))
     return hits.select(
         incident_key(F.lit("BRUTE_FORCE_CONFIRMED"), F.col("key"), F.col("first_us")).alias("incident_key"),
@@ -440,11 +447,11 @@ def brute_force(endpoint: DataFrame, firewall: DataFrame, as_of=None) -> DataFra
     very many, are given by :func:`brute_force_evidence`.
     """
     if as_of is None:
-        return _brute_force_incidents(failure_bursts(endpoint), _guessing_blocks(firewall))
+        return _brute_force_incidents(failure_bursts(endpoint), guessing_blocks(firewall))
     w, f = _between(endpoint, as_of), _between(firewall, as_of)
     order = F.struct(micros("ts"), F.col("id"))
     groups = (
-        _failures(w).groupBy("src_ip")
+        failures(w).groupBy("src_ip")
         .agg(F.count("*").alias("failures"), F.min(micros("ts")).alias("first_us"), F.max(micros("ts")).alias("last_us"))
         .filter(F.col("failures") >= MIN_FAILURES)
     )
@@ -453,7 +460,7 @@ def brute_force(endpoint: DataFrame, firewall: DataFrame, as_of=None) -> DataFra
         .filter(F.col("src_ip") != "")
         .groupBy("src_ip").agg(F.min_by("agent_host", order).alias("host"))
     )
-    return _brute_force_incidents(groups.join(hosts, "src_ip", "left"), _guessing_blocks(f))
+    return _brute_force_incidents(groups.join(hosts, "src_ip", "left"), guessing_blocks(f))
 
 
 def brute_force_evidence(endpoint: DataFrame, firewall: DataFrame) -> DataFrame:
@@ -466,12 +473,12 @@ def brute_force_evidence(endpoint: DataFrame, firewall: DataFrame) -> DataFrame:
         F.explode(F.sequence(whole_division(F.col("first_us"), width), whole_division(F.col("last_us"), width))).alias("cell"),
     )
     failed = (
-        _failures(endpoint).withColumn("cell", bucket("ts", WINDOW_SECONDS)).join(spans, ["src_ip", "cell"])
+        failures(endpoint).withColumn("cell", bucket("ts", WINDOW_SECONDS)).join(spans, ["src_ip", "cell"])
         .filter(micros("ts").between(F.col("first_us"), F.col("last_us")))
         .select("incident_key", "source", "id", "ts", "event_details")
     )
     left = bursts.select(key, F.col("src_ip").alias("key"), F.timestamp_micros("first_us").alias("ts"))
-    right = _guessing_blocks(firewall).select(F.col("src_ip").alias("key"), "ts", "source", "id", "event_details")
+    right = guessing_blocks(firewall).select(F.col("src_ip").alias("key"), "ts", "source", "id", "event_details")
     blocked = interval_join(left, right, WINDOW_SECONDS, WINDOW_SECONDS).select(
         "incident_key", "source", "id", F.col("right_ts").alias("ts"), "event_details"
     )

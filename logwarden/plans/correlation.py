@@ -11,6 +11,8 @@ from logwarden.plans import views as V
 from logwarden.plans.catalog import query
 from logwarden.plans.detection import firewall_verdicts, security_verdicts
 from logwarden.plans.sqltext import EVENTS, evidence, key
+from logwarden.streaming.bursts import brute_force_stream
+from logwarden.streaming.replay import replay
 
 BOTH = V.with_views(V.SQL_SECURITY, V.SQL_FIREWALL, V.SQL_FIREWALL_VERDICT, EVENTS)
 MIN10 = 600_000_000
@@ -128,6 +130,23 @@ def correlate_brute_force(spark, sf):
     return flat(C.brute_force(*sides(spark, sf)))
 
 
+def _after_all(rows):
+    """One of ``rows`` a day later, under an address of its own: it moves the watermark past all others."""
+    latest = rows.agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct("ts", "id")).alias("r"))
+    return latest.where(F.col("r").isNotNull()).select("r.*").withColumns(
+        {"ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "src_ip": F.lit("replay-end")})
+
+
+@query("correlate_brute_force_stream", BOTH + "," + BURST_CTE + BRUTE_SQL)
+def correlate_brute_force_stream(spark, sf):
+    w, f = sides(spark, sf)
+    w, f = C.failures(w), C.guessing_blocks(f)
+    columns = ["id", "ts", "event_id", "src_ip", "dst_port", "agent_host", "action"]
+    tables = {"endpoint": w.select(*[c for c in columns if c in w.columns]), "firewall": f.select(*[c for c in columns if c in f.columns])}
+    closing = {name: _after_all(rows) for name, rows in tables.items()}
+    return flat(replay(spark, tables, brute_force_stream, closing=closing))
+
+
 @query("correlate_brute_force_evidence", BOTH + "," + BURST_CTE + f"""
 SELECT {key("'BRUTE_FORCE_CONFIRMED'", "b.src_ip", "b.first_us")} AS incident_key, 'windows' AS source, e.id, e.us, w.event_details
 FROM brute b JOIN fail e ON e.src_ip = b.src_ip AND e.us BETWEEN b.first_us AND b.last_us JOIN w ON w.id = e.id

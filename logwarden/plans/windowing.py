@@ -12,6 +12,8 @@ from logwarden.operators import windows as W
 from logwarden.plans import views as V
 from logwarden.plans.catalog import ORACLES, query
 from logwarden.plans.detection import firewall_verdicts, security_verdicts
+from logwarden.streaming import jobs as J
+from logwarden.streaming.replay import replay
 
 _FP = "sha256(concat_ws('|', agent_host, eventid_0, mitre_technique, detection_module, image_2, destinationip_2, destinationport_2))"
 
@@ -253,3 +255,26 @@ def correlate_pass_rows(spark, sf):
     return C.pair_incidents(endpoint, firewall).groupBy("incident_type", "affected_ip").agg(
         F.count("*").alias("incidents"), F.min(micros("window_start")).alias("first_us")
     )
+
+
+def _replayed_noise(spark, sf, expire):
+    keyed = _noisy(spark, sf).withColumn("ts", F.timestamp_micros("us"))
+    # A key of its own moves the watermark past all others.
+    end = keyed.agg(F.max("us").alias("us")).where(F.col("us").isNotNull()).select(
+        F.lit("replay-end").alias("fp"), (F.col("us") + 86_400_000_000).alias("us"), F.lit(0).cast("bigint").alias("id")
+    ).withColumn("ts", F.timestamp_micros("us"))
+    out = replay(spark, {"keyed": keyed}, lambda keyed: J.suppress_keyed_stream(keyed, expire=expire), closing={"keyed": end})
+    return out.where(F.col("fp") != "replay-end")
+
+
+@query("alert_suppression_stream", ORACLES["alert_suppression"])
+def alert_suppression_stream(spark, sf):
+    return _replayed_noise(spark, sf, expire=False)
+
+
+@query("alert_suppression_expiry", _recursive(V.SQL_FIREWALL, V.SQL_FIREWALL_VERDICT, _NOISE, _GREEDY) + """,
+idle AS (SELECT *, us - lag(us) OVER o > 300000000 AS anew, lead(us) OVER o - us AS ahead FROM walk WINDOW o AS (PARTITION BY fp ORDER BY rn))
+SELECT fp, us, id, CASE WHEN anew THEN 0 ELSE duplicate_count END AS duplicate_count FROM idle WHERE passed
+UNION ALL SELECT fp, us, NULL, dropped FROM idle WHERE dropped > 0 AND coalesce(ahead > 300000000, true)""")
+def alert_suppression_expiry(spark, sf):
+    return _replayed_noise(spark, sf, expire=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,12 @@ def each_batch(df: DataFrame, job: Callable[[DataFrame], DataFrame], path: str,
 
 
 class _Suppressor(StatefulProcessor):
-    """Anchor and number of dropped rows per fingerprint; idle keys expire."""
+    """Anchor, number of dropped rows and time of the last row per fingerprint.
+
+    With ``expire`` a fingerprint that was idle for more than one window starts
+    anew, and a row without id tells how many were dropped since its last one
+    that passed: when the watermark says so, or at the latest when it comes back.
+    """
 
     def __init__(self, window_us: int, expire: bool):
         self.window_us, self.expire = window_us, expire
@@ -65,47 +71,79 @@ class _Suppressor(StatefulProcessor):
         self.state = handle.getValueState("anchor", "anchor_us long, dropped long, last_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["us", "id"], kind="stable")
-        known = self.state.get() if self.state.exists() else None
-        anchor, dropped = (known[0], known[1]) if known else (None, 0)
-        passed = []
-        for us, ident in zip(frame["us"].tolist(), frame["id"].tolist()):
-            if anchor is not None and us - anchor < self.window_us:
-                dropped += 1
-                continue
-            passed.append((key[0], us, ident, 0 if anchor is None else dropped + 1))
-            anchor, dropped = us, 0
-        last = int(frame["us"].iloc[-1])
-        self.state.update((anchor, dropped, max(last, known[2] if known else last)))
+        seen = None
+        for part in rows:  # only instants are kept, not rows
+            part = part[["us", "id"]].assign(n=1)
+            seen = (part if seen is None else pd.concat([seen, part])).groupby("us", as_index=False).agg({"id": "min", "n": "sum"})
+        us, ident, n = seen["us"].to_numpy(), seen["id"].to_numpy(), seen["n"].to_numpy()
+        sums = np.concatenate([[0], np.cumsum(n)])
+        anchor, dropped, last = self.state.get() if self.state.exists() else (None, 0, None)
+        out, at = [], 0
+        while at < len(us):
+            count = 0
+            if anchor is not None:
+                following = max(at, int(np.searchsorted(us, anchor + self.window_us)))
+                dropped += int(sums[following] - sums[at])
+                if following > at:
+                    last = max(last, int(us[following - 1]))
+                at = following
+                if at == len(us):
+                    break
+                if self.expire and us[at] - last > self.window_us:
+                    out += _dropped(key, last, dropped)
+                else:
+                    count = dropped + 1
+            out.append((key[0], int(us[at]), int(ident[at]), count))
+            anchor = last = int(us[at])
+            dropped = int(n[at]) - 1
+            at += 1
+        self.state.update((anchor, dropped, last))
         if self.expire:
             self.handle.registerTimer((last + self.window_us) // 1000 + 1)
-        yield pd.DataFrame(passed, columns=["fp", "us", "id", "duplicate_count"])
+        yield _passed(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
         if self.state.exists():
-            last = self.state.get()[2]
+            _, dropped, last = self.state.get()
             if (last + self.window_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+                out = _dropped(key, last, dropped)
                 self.state.clear()
-        yield pd.DataFrame({"fp": [], "us": [], "id": [], "duplicate_count": []}).astype(
-            {"fp": str, "us": "int64", "id": "int64", "duplicate_count": "int64"})
+        yield _passed(out)
 
     def close(self) -> None:
         pass
 
 
+def _dropped(key: tuple, last: int, dropped: int) -> list[tuple]:
+    return [(key[0], last, None, dropped)] if dropped else []
+
+
+def _passed(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["fp", "us", "id", "duplicate_count"]).astype(
+        {"fp": object, "us": "int64", "id": "Int64", "duplicate_count": "int64"})
+
+
 def suppress_stream(df: DataFrame, id_col: str = "id", ts_col: str = "ts", delay: str = "1 minute",
                     window_seconds: int = D.SUPPRESS_SECONDS, expire: bool = False) -> DataFrame:
     """Passing alerts of a stream: fp, us, id, duplicate_count.
 
     Event time decides; rows of one micro-batch are put in time order.
-    ``expire`` drops fingerprints idle for one window, with their pending count.
+    ``expire`` drops fingerprints idle for more than one window: the next row
+    passes with count 0, and a row with null id, the time of the last row and
+    the number dropped tells what was pending.
     Needs the RocksDB state store (:data:`ROCKSDB`).
     """
-    keyed = (
-        df.filter(~D.is_bypassed(df)).withWatermark(ts_col, delay)
-        .select(D.fingerprint(df).alias("fp"), micros(ts_col).alias("us"), F.col(id_col).cast("bigint").alias("id"), ts_col)
-    )
-    return keyed.groupBy("fp").transformWithStateInPandas(
+    keyed = df.filter(~D.is_bypassed(df)).select(
+        D.fingerprint(df).alias("fp"), micros(ts_col).alias("us"), F.col(id_col).cast("bigint").alias("id"),
+        F.col(ts_col).alias("ts"))
+    return suppress_keyed_stream(keyed, delay, window_seconds, expire)
+
+
+def suppress_keyed_stream(keyed: DataFrame, delay: str = "1 minute", window_seconds: int = D.SUPPRESS_SECONDS,
+                          expire: bool = False) -> DataFrame:
+    """:func:`suppress_stream` of rows that have their own key: fp, us, id, ts."""
+    return keyed.withWatermark("ts", delay).groupBy("fp").transformWithStateInPandas(
         statefulProcessor=_Suppressor(window_seconds * 1_000_000, expire),
         outputStructType="fp string, us long, id long, duplicate_count long",
         outputMode="Append", timeMode="EventTime" if expire else "None",
@@ -150,8 +188,8 @@ def correlate_stream(endpoint: DataFrame, firewall: DataFrame, delay: str = "2 m
     """Matches of the four pair rules on two streams in the common event shape, one row for each pair of rows.
 
     An inner join of two streams with watermarks and a time range: a row is
-    kept for ten minutes and the delay.  The brute-force rule aggregates before
-    it joins; run it on the tables with :func:`run_closed_windows`.
+    kept for ten minutes and the delay.  The fifth rule, brute force, keeps its
+    own state: :func:`logwarden.streaming.bursts.brute_force_stream`.
     """
     return C.pair_matches(
         endpoint.withWatermark("ts", delay), firewall.withWatermark("ts", delay), None, None, mode, salt
