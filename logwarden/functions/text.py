@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -82,6 +82,15 @@ def computed_once(df: DataFrame, name: str) -> DataFrame:
     return df.select(*others, F.explode(F.array(F.col(name))).alias(name))
 
 
+def named_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it; inside lambdas too.
+
+    Spark shares repeated expressions neither inside the function of a
+    higher-order function nor between the branches of a CASE.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def cut_text(c: Column, limit: int, keep: int, tail: str = "...") -> Column:
     """Text longer than ``limit`` becomes its first ``keep`` characters and ``tail``."""
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, keep), F.lit(tail))).otherwise(c)

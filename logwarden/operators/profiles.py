@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import strip
+from logwarden.functions.text import computed_once, named_once, strip
 
 # Line patterns.
 RFC3164 = r"^<(\d{1,3})>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+):\s*(.*)$"
@@ -107,30 +107,38 @@ def _named(name: Column, mapping: dict[str, str]) -> Column:
 
 def _last_per_key(entries: Column) -> Column:
     """Map of (key, value) entries; the last entry of a repeated key stays."""
-    keys = F.transform(entries, lambda e: e["key"])
-    size = F.size(entries)
-    last = F.filter(
-        entries, lambda e, i: F.array_position(F.slice(keys, i + 2, F.greatest(size - i - 1, F.lit(0))), e["key"]) == 0
-    )
-    return F.map_from_entries(last)
+    def last(found: Column, keys: Column) -> Column:
+        size = F.size(keys)
+        repeated = F.filter(
+            found, lambda e, i: F.array_position(F.slice(keys, i + 2, F.greatest(size - i - 1, F.lit(0))), e["key"]) == 0
+        )
+        # Keys differ in nearly every line.
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == size, found).otherwise(repeated))
+
+    return named_once(entries, lambda found: named_once(F.transform(found, lambda e: e["key"]), lambda keys: last(found, keys)))
 
 
-def _with_time(fields: Column, mapping: dict[str, str], timestamp: dict | None) -> Column:
+def _timed(df: DataFrame, mapping: dict[str, str], timestamp: dict | None) -> DataFrame:
+    """``fields`` with the time of the profile as ISO text under ``timestamp``."""
     if not timestamp:
-        return fields
+        return df
     name = mapping.get(timestamp["field"], timestamp["field"])
-    value = F.try_element_at(fields, F.lit(name))
+    fields = F.col("fields")
+    value = F.struct(F.try_element_at(fields, F.lit(name)).alias("text"))
+    staged = computed_once(df.withColumn("__time", F.when(F.map_contains_key(fields, name), value)), "__time")
     rest = F.map_filter(fields, lambda k, _: k != "timestamp")
-    fixed = F.map_concat(rest, F.create_map(F.lit("timestamp"), profile_time(value, timestamp["format"])))
-    return F.when(F.map_contains_key(fields, name), fixed).otherwise(fields)
+    fixed = F.map_concat(rest, F.create_map(F.lit("timestamp"), profile_time(F.col("__time.text"), timestamp["format"])))
+    return staged.withColumn("fields", F.when(F.col("__time").isNotNull(), fixed).otherwise(fields)).drop("__time")
 
 
-def _result(df: DataFrame, fields: Column, source_type: str, error: Column | None = None) -> DataFrame:
+def _result(df: DataFrame, fields: Column, source_type: str, error: Column | None = None, columns: list[str] | None = None,
+            mapping: dict[str, str] | None = None, timestamp: dict | None = None) -> DataFrame:
+    """``columns`` of ``df`` (all by default) and the result; the map is made once, however many of its keys are read."""
     error = F.lit(None).cast("string") if error is None else error
-    return df.select(
-        *df.columns, F.when(error.isNull(), fields).alias("fields"), F.lit(source_type).alias("source_type"),
-        error.alias("error"),
-    )
+    kept = df.columns if columns is None else columns
+    read = df.select(*kept, error.alias("error"), F.when(error.isNull(), fields).alias("fields"))
+    timed = _timed(computed_once(read, "fields"), mapping or {}, timestamp)
+    return timed.select(*kept, "fields", F.lit(source_type).alias("source_type"), "error")
 
 
 def parse_csv(lines: DataFrame, columns: list[str], delimiter: str = ",", mapping: dict[str, str] | None = None,
@@ -138,14 +146,14 @@ def parse_csv(lines: DataFrame, columns: list[str], delimiter: str = ",", mappin
     """Delimited lines with quotes; a wrong number of values is an error."""
     mapping = mapping or {}
     cells = csv_cells(F.col(raw), delimiter)
-    staged = lines.withColumn("__cells", cells)
+    staged = computed_once(lines.withColumn("__cells", cells), "__cells")
     names = [mapping.get(c, c) for c in columns]
     entries = F.array(*[
         F.struct(F.lit(n).alias("key"), F.nullif(strip(F.get("__cells", F.lit(i))), F.lit("")).alias("value"))
         for i, n in enumerate(names)
     ])
     error = F.when(F.size("__cells") != len(columns), COLUMN_ERROR)
-    return _result(staged, _with_time(_last_per_key(entries), mapping, timestamp), "csv", error).drop("__cells")
+    return _result(staged, _last_per_key(entries), "csv", error, lines.columns, mapping, timestamp)
 
 
 def bare_cell(c: Column) -> Column:
@@ -171,25 +179,41 @@ _TEXTS, _VALUES = "map<string,string>", "map<string,variant>"
 
 def _json_entries(text: Column, prefix: Column | None = None) -> Column:
     """Entries of a JSON object: key, value as text, and whether the value is an object (and not a text that looks like one)."""
-    kinds = F.from_json(text, _VALUES)
-    return F.transform(F.map_entries(F.from_json(text, _TEXTS)), lambda e: F.struct(
-        (e["key"] if prefix is None else F.concat(prefix, F.lit("_"), e["key"])).alias("key"), e["value"].alias("value"),
-        F.coalesce(F.startswith(F.schema_of_variant(F.try_element_at(kinds, e["key"])), F.lit("OBJECT")), F.lit(False)).alias("nested")))
+    def entry(e: Column, nested: Column) -> Column:
+        key = e["key"] if prefix is None else F.concat(prefix, F.lit("_"), e["key"])
+        return F.struct(key.alias("key"), e["value"].alias("value"), nested.alias("nested"))
+
+    def looks_nested(e: Column) -> Column:
+        return F.coalesce(F.startswith(e["value"], F.lit("{")), F.lit(False))
+
+    def told_apart(texts: Column) -> Column:
+        return named_once(F.from_json(text, _VALUES), lambda kinds: F.transform(texts, lambda e: entry(e, looks_nested(e) & F.coalesce(
+            F.startswith(F.schema_of_variant(F.try_element_at(kinds, e["key"])), F.lit("OBJECT")), F.lit(False)))))
+
+    # What kind a value is, is asked only where one begins like an object.
+    return named_once(F.map_entries(F.from_json(text, _TEXTS)), lambda texts: F.when(F.exists(texts, looks_nested), told_apart(texts))
+                      .otherwise(F.transform(texts, lambda e: entry(e, F.lit(False)))))
 
 
 def flat_json_entries(document: Column, flatten: Column) -> Column:
     """Entries of a JSON object; where ``flatten`` holds, those of nested objects under joined keys.  A null document has none."""
-    entries = F.coalesce(_json_entries(document), F.array().cast("array<struct<key:string,value:string,nested:boolean>>"))
-    # A text cannot be nested deeper than it has braces; where nothing is nested any more, nothing changes.
-    braces = F.length(document) - F.length(F.replace(document, F.lit("{"), F.lit("")))
+    none = F.array().cast("array<struct<key:string,value:string,nested:boolean>>")
+
+    def level(found: Column) -> Column:
+        return F.struct(found.alias("found"), F.exists(found, lambda e: e["nested"]).alias("more"))
 
     def once(found: Column) -> Column:
         return F.flatten(F.transform(found, lambda e: F.when(
             e["nested"], _json_entries(e["value"], e["key"])).otherwise(F.array(e))))
 
-    depth = F.sequence(F.lit(1), F.greatest(F.coalesce(braces, F.lit(1)), F.lit(1)))
-    flat = F.aggregate(depth, entries, lambda found, _: F.when(F.exists(found, lambda e: e["nested"]), once(found)).otherwise(found))
-    return F.when(flatten, flat).otherwise(entries)
+    def flat(entries: Column) -> Column:
+        # A text cannot be nested deeper than it has braces; where nothing is nested any more, nothing changes.
+        braces = F.length(document) - F.length(F.replace(document, F.lit("{"), F.lit("")))
+        depth = F.sequence(F.lit(1), F.greatest(F.coalesce(braces, F.lit(1)), F.lit(1)))
+        return F.aggregate(depth, level(entries), lambda s, _: F.when(s["more"], named_once(once(s["found"]), level)).otherwise(s))["found"]
+
+    return named_once(F.coalesce(_json_entries(document), none), lambda entries: F.when(
+        flatten & F.exists(entries, lambda e: e["nested"]), flat(entries)).otherwise(entries))
 
 
 def parse_json(lines: DataFrame, mapping: dict[str, str] | None = None, timestamp: dict | None = None,
@@ -198,11 +222,12 @@ def parse_json(lines: DataFrame, mapping: dict[str, str] | None = None, timestam
     text, and so do texts that look like JSON."""
     mapping = mapping or {}
     text = strip(F.col(raw))
-    staged = lines.withColumn("__json", F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), text))
+    valid = F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), text)
+    staged = computed_once(lines.withColumn("__json", valid), "__json")
     entries = flat_json_entries(F.col("__json"), F.lit(flatten))
     renamed = F.transform(entries, lambda e: F.struct(_named(e["key"], mapping).alias("key"), e["value"].alias("value")))
     error = F.when(F.col("__json").isNull(), JSON_ERROR)
-    return _result(staged, _with_time(_last_per_key(renamed), mapping, timestamp), "json", error).drop("__json")
+    return _result(staged, _last_per_key(renamed), "json", error, lines.columns, mapping, timestamp)
 
 
 def parse_key_value(lines: DataFrame, mapping: dict[str, str] | None = None, timestamp: dict | None = None,
@@ -219,8 +244,7 @@ def parse_key_value(lines: DataFrame, mapping: dict[str, str] | None = None, tim
         return F.struct(_named(key, mapping).alias("key"), value.alias("value"))
 
     tokens = F.regexp_extract_all(F.col(raw), F.lit(pattern), F.lit(1))
-    fields = _last_per_key(F.transform(tokens, one))
-    return _result(lines, _with_time(fields, mapping, timestamp), "key_value")
+    return _result(lines, _last_per_key(F.transform(tokens, one)), "key_value", mapping=mapping, timestamp=timestamp)
 
 
 def parse_syslog(lines: DataFrame, version: str = "RFC3164", mapping: dict[str, str] | None = None,
@@ -243,23 +267,29 @@ def parse_syslog(lines: DataFrame, version: str = "RFC3164", mapping: dict[str,
     return _result(lines, fields, "syslog", error)
 
 
+def cef_cells(line: Column) -> Column:
+    """The seven header cells of a CEF line, without ``CEF:``, and its extension; null for other lines.  The line is matched once."""
+    cells = F.split(line, r"\|", len(CEF_FIELDS))
+    plain = F.transform(cells, lambda c, i: F.when(i == 0, F.substring(c, 5, F.length(c))).when(
+        i == len(CEF_FIELDS) - 1, F.regexp_replace(c, r"\n\z", "")).otherwise(c))
+    return F.when(line.rlike("(?d)" + CEF), plain)
+
+
 def parse_cef(lines: DataFrame, mapping: dict[str, str] | None = None, raw: str = "raw_log") -> DataFrame:
     """CEF lines; extension pairs become ``ext_<key>``."""
     mapping = mapping or {}
-    line, pattern = F.col(raw), "(?d)" + CEF
-    staged = lines.withColumn("__ext", F.regexp_extract(line, pattern, 8))
+    staged = computed_once(lines.withColumn("__cef", cef_cells(F.col(raw))), "__cef")
+    cell = [F.get("__cef", F.lit(i)) for i in range(len(CEF_FIELDS))]
     header = F.array(*[
-        F.struct(F.lit(mapping.get(n, n)).alias("key"),
-                 (F.regexp_extract(line, pattern, i + 1).try_cast("int").cast("string") if i == 0
-                  else F.regexp_extract(line, pattern, i + 1)).alias("value"))
-        for i, n in enumerate(CEF_FIELDS)
+        F.struct(F.lit(mapping.get(n, n)).alias("key"), (c.try_cast("int").cast("string") if i == 0 else c).alias("value"))
+        for i, (n, c) in enumerate(zip(CEF_FIELDS, cell, strict=True))
     ])
-    tokens = F.regexp_extract_all("__ext", F.lit(r"(\w+=[^\s]+)"), F.lit(1))
+    tokens = F.regexp_extract_all(cell[-1], F.lit(r"(\w+=[^\s]+)"), F.lit(1))
     extension = F.transform(tokens, lambda t: F.struct(
         _named(F.concat(F.lit("ext_"), F.substring_index(t, "=", 1)), mapping).alias("key"),
         F.substring(t, F.length(F.substring_index(t, "=", 1)) + 2, F.length(t)).alias("value")))
-    error = F.when(~line.rlike(pattern), CEF_ERROR)
-    return _result(staged, _last_per_key(F.concat(header, extension)), "cef", error).drop("__ext")
+    error = F.when(F.col("__cef").isNull() & F.col(raw).isNotNull(), CEF_ERROR)
+    return _result(staged, _last_per_key(F.concat(header, extension)), "cef", error, lines.columns)
 
 
 def parse_raw(lines: DataFrame, ingest_col: str = "ingest_ts", raw: str = "raw_log") -> DataFrame:
