@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from logwarden import schemas as S
-from logwarden.functions.text import first_filled, nz, strip
+from logwarden.functions.text import computed_once, first_filled, named_once, nz, strip
 from logwarden.functions.times import as_timestamp, parse_event_time, parse_iso, parse_scada_time
 
 
 def _events(value: Column, wire: StructType) -> Column:
     """A JSON array of objects, else one object, else NULL."""
-    text = strip(value)
-    many = F.when(text.startswith("["), F.from_json(text, ArrayType(wire)))
-    one = F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), F.array(F.from_json(text, wire)))
-    return F.when(F.try_parse_json(text).isNotNull(), F.coalesce(many, one))
+    def read(text: Column) -> Column:
+        many = F.when(text.startswith("["), F.from_json(text, ArrayType(wire)))
+        one = F.when(text.startswith("{"), F.array(F.from_json(text, wire)))
+        return F.when(F.try_parse_json(text).isNotNull(), F.coalesce(many, one))
+
+    return named_once(strip(value), read)
 
 
 def split_payloads(df: DataFrame, wire: StructType, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(rows with column ``event``, rejected payloads).  Unknown keys are dropped."""
-    staged = df.withColumn("__events", _events(F.col(value), wire))
+    staged = computed_once(df.withColumn("__events", _events(F.col(value), wire)), "__events")
     rejected = staged.filter(F.col("__events").isNull()).drop("__events")
     rows = staged.filter(F.col("__events").isNotNull())
     kept = [c for c in df.columns if c != value]
