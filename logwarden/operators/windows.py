@@ -53,7 +53,7 @@ def dedupe_in_window(windowed: DataFrame) -> DataFrame:
     order = ["ts", "source_event_id"]
     carried = [c for c in windowed.columns if c not in (*_KEYS, *_IDENTITY, *order, "fingerprint")]
     absent = [F.col(c).isNull().alias(f"__n{i}") for i, c in enumerate(_IDENTITY)]  # null and empty are one alert
-    first = windowed.groupBy(*_KEYS, *same).agg(F.min(F.struct(*order, *carried, *absent)).alias("r"))
+    first = windowed.groupBy(*_KEYS, *same).agg(F.min_by(F.struct(*order, *carried, *absent), F.struct(*order)).alias("r"))
     shared = [F.when(~F.col(f"r.__n{i}"), F.col(f"__i{i}")).alias(c) for i, c in enumerate(_IDENTITY)]
     rows = first.select(*_KEYS, *[F.col("r")[c].alias(c) for c in [*order, *carried]], *shared)
     return rows.select("*", *([_fingerprint()] if "fingerprint" in windowed.columns else [])).select(*windowed.columns)

@@ -39,5 +39,5 @@ def test_an_alert_is_carried_once(spark):
     assert found[0]["agent_host"] is None and found[2]["agent_host"] == "" and found[2]["src_ip"] is None
     whole = {r["source_event_id"]: r for r in W.assign_windows(inputs).collect()}
     assert all(found[i] == whole[i] for i in found)
-    carried = re.search(r"min\(struct\((.*?)\)\)", _plan(batches))
+    carried = re.search(r"min_by\(struct\((.*?)\), struct", _plan(batches))
     assert carried and "command_line" in carried[1] and "process_name," not in carried[1] and "fingerprint" not in carried[1]
