@@ -18,7 +18,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.functions.text import any_true, to_long
+from logwarden.functions.text import any_true, computed_once, to_long
 from logwarden.functions.times import as_timestamp, bucket, iso_text, micros, whole_division
 from logwarden.operators.sweep import within_reach
 
@@ -167,9 +167,12 @@ def _endpoint_side(endpoint: DataFrame, rules: list[str], as_of: dt.datetime | N
 
 def _firewall_side(firewall: DataFrame, rules: list[str], as_of: dt.datetime | None, mode: str) -> DataFrame:
     """Rows that can take part in some rule under their source address; ``__f0``, ``__f1`` … say in which."""
-    tests = _firewall_tests(mode)
-    f = _between(firewall, as_of).filter(any_true([tests[r] for r in rules]))
-    return f.select(F.col("src_ip").alias("key"), "ts", *[F.col(c).alias("f_" + c) for c in _F], *_flags(tests, rules, "__f"))
+    f = _between(firewall, as_of)
+    hits = F.struct(*_flags(_firewall_tests(mode), rules, "__f")).alias("__hits")
+    # A filter on the tests themselves would work out addresses and actions anew for each of them.
+    told = computed_once(f.select(F.col("src_ip").alias("key"), "ts", *[F.col(c).alias("f_" + c) for c in _F], hits), "__hits")
+    some = any_true([F.col(f"__hits.__f{i}") for i in range(len(rules))])
+    return told.filter(some).select("key", "ts", *["f_" + c for c in _F], "__hits.*")
 
 
 def pair_incidents(

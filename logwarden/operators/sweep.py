@@ -59,12 +59,14 @@ def within_reach(probes: DataFrame, points: DataFrame | None, by: list[str], cel
         looked_at = copies.select(*by, "cell").distinct()
         seen = seen.unionByName(placed.join(looked_at, [*by, "cell"], "left_semi"), allowMissingColumns=True)
 
-    point = F.when(F.col("rank") == _POINT, F.struct("us", "tells"))
+    seen = seen.withColumn("point", F.when(F.col("rank") == _POINT, F.struct("us", "tells")))
     passed = Window.partitionBy(*by, "cell").orderBy("us", "rank", "tells").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by, "cell").orderBy(F.desc("us"), F.desc("rank"), F.desc("tells")).rowsBetween(Window.unboundedPreceding, 0)
+    # In the same order, so that a cell is sorted once; the next point is asked of Spark by name, F.lead cannot skip nulls.
+    ahead = f"lead(point) IGNORE NULLS OVER (PARTITION BY {', '.join(f'`{c}`' for c in by)}, cell ORDER BY us, rank, tells)"
     counted = seen.withColumns({
-        "head": F.first(point, ignorenulls=True).over(passed), "tail": F.max(point["us"]).over(passed), "passed": F.sum("n").over(passed),
-    }).withColumn("next", F.last(point, ignorenulls=True).over(ahead)).where(F.col("rank") != _POINT)
+        "head": F.first("point", ignorenulls=True).over(passed), "tail": F.max("point.us").over(passed), "passed": F.sum("n").over(passed),
+        "next": F.expr(ahead),
+    }).where(F.col("rank") != _POINT)
     at_start = F.col("rank") == _START
     first = F.when(at_start & (F.col("next.us") <= F.col("bound")), F.col("next")).when(
         ~at_start & (F.col("head.us") >= F.col("bound")), F.col("head"))
