@@ -41,3 +41,24 @@ def test_an_alert_is_carried_once(spark):
     assert all(found[i] == whole[i] for i in found)
     carried = re.search(r"min_by\(struct\((.*?)\), struct", _plan(batches))
     assert carried and "command_line" in carried[1] and "process_name," not in carried[1] and "fingerprint" not in carried[1]
+
+
+def test_sorts_compare_a_number_first(spark):
+    batches = W.window_batches(_inputs(spark, (0, {}), (1, {"dst_ip": "y"})))
+    for steps in (batches, W.window_verdicts(batches), W.window_texts(batches)):
+        plan = steps._jdf.queryExecution().executedPlan().toString()
+        grouping = re.findall(r"SortAggregate\(key=\[(\w+)", plan) + re.findall(r"ObjectHashAggregate\(keys?=\[(\w+)", plan)
+        assert grouping and set(grouping) <= {"__h", "_groupingexpression"}
+
+
+def test_only_the_technique_of_a_row_carries_its_details(spark):
+    inputs = _inputs(
+        spark, (2, {"mitre_technique": "T2", "event_details": " late ", "src_ip": " "}), (1, {"mitre_technique": "", "event_details": "first", "dst_ip": None, "dst_port": ""}),
+        (0, {"mitre_technique": None, "event_details": " ", "rule_severity": "high"}), (3, {"mitre_technique": "T1", "event_details": None, "agent_host": "h"}), (4, {"mitre_technique": "T2"}))
+    batches = W.window_batches(inputs)
+    got = W.window_verdicts(batches).first().asDict()
+    assert (got["verdict"], got["reasoning"], got["iocs"], got["ioa"], got["rows"]) == ("Critical", "first", 2, ["mitre:T2", "mitre:T1"], 4)  # the last is the first once more
+    found = {(r["kind"], r["value"]): (r["rows"], r["first_us"] % 5_000_000) for r in W.window_evidence(batches).collect()}
+    assert found == {("ioc", "x"): (6, 0), ("ioc", "port:x"): (3, 0), ("ioa", "mitre:T2"): (1, 2_000_000), ("ioa", "mitre:T1"): (1, 3_000_000)}
+    plan = _plan(W.window_verdicts(batches))
+    assert re.search(r"CASE WHEN \(i#\d+ = 3\) THEN details#\d+ END AS details", plan)
