@@ -243,7 +243,7 @@ def _field(name):
 
 
 def _lines(spark, sf, text):
-    return V.parsed(spark, sf).select("id", text.alias("raw_log"), F.lit(INGEST).cast("timestamp").alias("ingest_ts"))
+    return V.parsed(spark, sf, spread=True).select("id", text.alias("raw_log"), F.lit(INGEST).cast("timestamp").alias("ingest_ts"))
 
 
 def _csv_text():
@@ -300,7 +300,7 @@ def parse_json_depths(spark, sf):
     """Six levels, texts that look like objects, arrays, null."""
     text = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"f":"v'), F.col("event_id").cast("string"),
                     F.lit('"}}}}},"text":"{\\"b\\":1}","list":[{"x":1}],"n":{"t":"{\\"k\\":\\"}\\"}"},"nothing":null}'))
-    lines = V.table(spark, sf, "events").select(F.col("event_id").alias("id"), text.alias("raw_log"))
+    lines = V.dealt(V.table(spark, sf, "events"), "event_id", "ts", "user_id").select(F.col("event_id").alias("id"), text.alias("raw_log"))
     parsed = P.parse_json(lines, flatten=True)
     return parsed.select("id", *[_field(n) for n in ("a_b_c_d_e_f", "text", "list", "n_t", "nothing")])
 

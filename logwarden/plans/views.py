@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt to all tasks by a hash of ``columns``, before dear work on each: one row group of a file is one task's."""
+    return rows.repartition(*columns)
+
+
 def _lit_if(cond: Column, value: str, other: Column | str) -> Column:
     return F.when(cond, F.lit(value)).otherwise(other)
 
@@ -115,14 +120,17 @@ def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standardized logs: one per row of ``events``, 30 days pressed into one hour."""
+def parsed(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Standardized logs: one per row of ``events``, 30 days pressed into one hour; where ``spread``, dealt to all tasks."""
+    events = table(spark, sf_dir, "events")
+    if spread:
+        events = dealt(events, "event_id", "ts", "user_id")
     n, u = F.col("event_id"), F.col("user_id")
     action = (
         F.when(F.col("event_type") == "error", "deny").when(F.col("event_type") == "signup", "Block")
         .when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "click", "allow")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         n.alias("id"),
         _compressed("ts", 720).alias("ts"),
         F.when(n % 3 == 0, "firewall").when(n % 3 == 1, "web_server").otherwise("application").alias("source_type"),

@@ -51,3 +51,17 @@ def test_a_cef_line_is_matched_once(spark):
     lines = spark.createDataFrame([("CEF:1|a|b|c|d|e|5|x=1",)], "raw_log string")
     plan = P.parse_cef(lines)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract(" not in plan and plan.count("RLIKE") <= 1
+
+
+def test_lines_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
+    from logwarden.plans import ingest
+
+    rows = spark.range(40).selectExpr(
+        "CASE WHEN id % 8 < 7 THEN id END AS event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "id % 9 AS user_id",
+        "'click' AS event_type", "1.0D AS value", "'{}' AS props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for read in (ingest.parse_json_lines, ingest.parse_cef_lines, ingest.parse_json_depths):
+        parsed = read(spark, str(tmp_path))
+        plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("RepartitionByExpression") > max(plan.find("from_json"), plan.find("RLIKE"))  # parsed after rows are dealt
+        assert len(parsed.collect()) == 40
