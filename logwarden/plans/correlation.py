@@ -143,8 +143,7 @@ def correlate_brute_force_stream(spark, sf):
     w, f = C.failures(w), C.guessing_blocks(f)
     columns = ["id", "ts", "event_id", "src_ip", "dst_port", "agent_host", "action"]
     tables = {"endpoint": w.select(*[c for c in columns if c in w.columns]), "firewall": f.select(*[c for c in columns if c in f.columns])}
-    closing = {name: _after_all(rows) for name, rows in tables.items()}
-    return flat(replay(spark, tables, brute_force_stream, closing=closing))
+    return flat(replay(spark, tables, brute_force_stream, closing=dict.fromkeys(tables, _after_all)))
 
 
 @query("correlate_brute_force_evidence", BOTH + "," + BURST_CTE + f"""

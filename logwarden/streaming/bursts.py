@@ -8,10 +8,11 @@ judged once all rows up to it have come, a burst ends once no row can extend it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +23,11 @@ from logwarden.operators import correlate as C
 _ROW = ["blocked", "us", "n", "id", "host"]
 _FOUND = "key string, host string, failures long, first_us long, last_us long, blocks long, f_min long, f_max long"
 _COLUMNS = [c.split()[0] for c in _FOUND.split(", ")]
+_PACK = pa.schema([("blocked", pa.bool_()), ("us", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("host", pa.string())])
+#: Instants in one entry of the state, which is read and written entry by entry.
+PACK_ROWS = 10_000
+#: Rows that come in are reduced to instants when so many wait, or as many as there are instants.
+WAITING_ROWS = 100_000
 
 
 def _instants(rows: pd.DataFrame) -> pd.DataFrame:
@@ -48,17 +54,19 @@ class _BurstFinder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "blocked boolean, us long, n long, id long, host string")
+        self.rows = handle.getListState("rows", "packed binary")
         self.open = handle.getValueState("open", "first long, last long, failures long, host string")
         self.judged = handle.getValueState("judged", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        come = None
+        come, waiting = _unpacked([]), []
         for part in rows:
-            fresh = _instants(part[_ROW])
-            come = fresh if come is None else _instants(pd.concat([come, fresh]))
-        if come is not None and len(come):
-            self.rows.appendList(_tuples(come))
+            waiting.append(part[_ROW])
+            if sum(map(len, waiting)) >= max(WAITING_ROWS, len(come)):
+                come, waiting = _instants(pd.concat([come, *waiting])), []
+        come = _instants(pd.concat([come, *waiting])) if waiting else come
+        if len(come):
+            self.rows.appendList(_packed(come))
             newest = int(come["us"].max())
             for wait in (self.width, 2 * self.width):  # a burst can end then; its blocks are needed no longer
                 self.handle.registerTimer((newest + wait) // 1000 + 1)
@@ -66,8 +74,7 @@ class _BurstFinder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        known = pd.DataFrame(list(self.rows.get()) if self.rows.exists() else [], columns=_ROW)
-        known = _instants(known.astype({"blocked": bool, "us": "int64", "n": "int64"}))
+        known = _instants(_unpacked(self.rows.get() if self.rows.exists() else []))
         failed, blocks = known[~known["blocked"]], known[known["blocked"]]
         before = self.judged.get()[0] if self.judged.exists() else None
         burst = _Burst(*self.open.get()) if self.open.exists() else None
@@ -81,7 +88,7 @@ class _BurstFinder(StatefulProcessor):
             stay = stay[0], stay[1] | blocks["us"].between(burst.first - self.width, burst.first + self.width)
         left = pd.concat([failed[stay[0]], blocks[stay[1]]])
         if len(left) or burst is not None:
-            self.rows.put(_tuples(left))
+            self.rows.put(_packed(left))
             self.judged.update((now,))
         else:
             self.rows.clear()
@@ -122,8 +129,21 @@ class _BurstFinder(StatefulProcessor):
         pass
 
 
-def _tuples(rows: pd.DataFrame) -> list[tuple]:
-    return [(bool(b), int(us), int(n), int(i), h) for b, us, n, i, h in rows[_ROW].itertuples(index=False)]
+def _packed(rows: pd.DataFrame) -> list[tuple[bytes]]:
+    """Entries of the state, each an Arrow stream of some instants."""
+    out = []
+    for start in range(0, len(rows), PACK_ROWS):
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(rows[_ROW].iloc[start:start + PACK_ROWS], schema=_PACK, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _unpacked(entries: Iterable[tuple[bytes]]) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(bytes(e[0])).read_all() for e in entries]
+    return pa.concat_tables([_PACK.empty_table(), *tables]).to_pandas()[_ROW]
 
 
 def _found(rows: list[tuple]) -> pd.DataFrame:

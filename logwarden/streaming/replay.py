@@ -24,13 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def replay(spark: SparkSession, tables: dict[str, DataFrame], build: Callable[..., DataFrame], slices: int = 3,
-           closing: dict[str, DataFrame] | None = None, folder: str | None = None) -> DataFrame:
+           closing: dict[str, DataFrame | Callable[[DataFrame], DataFrame]] | None = None, folder: str | None = None) -> DataFrame:
     """What ``build(**streams)`` has written after all rows of ``tables`` (column ``ts``) came in time order.
 
     The span of times is cut into ``slices`` equal parts; rows of one part come
     together and in no order.  Every part is a new run on the same checkpoint,
     so the state goes through the store.  ``closing`` rows come last, to move
-    the watermark past all others.
+    the watermark past all others; a function makes them of the written rows.
     """
     folder = folder or shared_folder(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -51,6 +51,7 @@ def replay(spark: SparkSession, tables: dict[str, DataFrame], build: Callable[..
 
     for k in range(0 if low is None else slices + bool(closing)):
         for name, rows in (staged if k < slices else closing).items():
+            rows = rows(staged[name]) if callable(rows) else rows
             part(rows, k).select(*staged[name].columns).write.mode("append").parquet(f"{folder}/in/{name}")
         streams = {n: spark.readStream.schema(t.schema).parquet(f"{folder}/in/{n}") for n, t in staged.items()}
         running = append_stream(build(**streams), f"{folder}/out", f"{folder}/checkpoint")

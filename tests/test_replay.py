@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from logwarden.operators import correlate as C
+from logwarden.streaming import bursts as B
 from logwarden.streaming import jobs as J
 from logwarden.streaming.bursts import brute_force_stream
 from logwarden.streaming.replay import replay
@@ -74,3 +77,25 @@ def test_idle_fingerprints_expire_with_their_pending_count(spark, fresh_dir, sli
     # 903 is 301 s after the last row, so what was pending at 602 is told and 903 starts anew.
     assert seen == [(0, 0, 0), (300, 4, 4), (601, 6, 2), (903, 8, 0), (2000, 9, 0)]
     assert pending == [(602, 1)]
+
+
+def test_instants_are_packed_into_few_entries_of_the_state():
+    rows = pd.DataFrame({"blocked": [i % 2 == 0 for i in range(25_000)], "us": range(25_000), "n": 2, "id": range(7, 25_007), "host": ["a", None] * 12_500})
+    entries = B._packed(rows)
+    assert len(entries) == 3 and all(isinstance(e, bytes) for e, in entries)
+    back = B._unpacked(entries)
+    assert [tuple(r) for r in back.itertuples(index=False)] == [tuple(r) for r in rows[back.columns].itertuples(index=False)]
+    assert B._packed(rows.head(0)) == [] and len(B._unpacked([])) == 0
+
+
+def test_closing_rows_are_made_of_the_written_ones(spark, fresh_dir):
+    times = ["2024-01-01 00:00:00", "2024-01-01 00:10:00"]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "ts string, i int").withColumn("ts", F.col("ts").cast("timestamp"))
+    read = []
+
+    def last(written):
+        read.extend(written.inputFiles())
+        return written.agg(F.max("ts").alias("ts"), F.lit(9).alias("i"))
+
+    out = replay(spark, {"rows": rows}, lambda rows: rows, closing={"rows": last}, folder=fresh_dir)
+    assert sorted(r["i"] for r in out.collect()) == [0, 1, 9] and read and all("staged" in f for f in read)
