@@ -129,7 +129,7 @@ def window_verdicts(batches: DataFrame) -> DataFrame:
     base = _value_rows(batches).groupBy(*_led(*_KEYS)).agg(
         F.max("rank").alias("rank"), F.sum(F.when(is_ioa, F.col("rows"))).alias("rows"),
         F.min("d")["details"].alias("first_details"), F.count_if(~is_ioa).alias("iocs"),
-        F.transform(F.array_sort(F.collect_list(F.when(is_ioa & (F.col("v") != ""), F.struct("o", "v")))), lambda s: s["v"]).alias("ioa"),
+        F.transform(F.sort_array(F.collect_list(F.when(is_ioa & (F.col("v") != ""), F.struct("o", "v")))), lambda s: s["v"]).alias("ioa"),
     )
     quiet = (F.col("rank") == 1) & (F.col("iocs") == 0) & (F.size("ioa") == 0)
     return base.select(
@@ -221,7 +221,7 @@ def window_texts(batches: DataFrame, preamble: str = "", rows: int = TEXT_ROWS)
         *_KEYS, number.alias("h"), F.struct(micros("ts"), F.col("source_event_id")).alias("o"), lines.alias("line")
     ).join(parts, _KEYS[::-1]).withColumn("part", F.col("h") % F.col("parts"))
     numbered = F.transform(
-        F.array_sort(F.collect_list(F.struct("o", "line"))),
+        F.sort_array(F.collect_list(F.struct("o", "line"))),
         lambda s, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), s["line"]),
     )
     return ordered.groupBy(*_led(*_KEYS, "part")).agg(F.concat(F.lit(preamble), F.array_join(numbered, "")).alias("text")).drop("__h")
