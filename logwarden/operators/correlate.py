@@ -116,6 +116,13 @@ def incident_key(kind: Column, *parts: Column) -> Column:
 _W = ["id", "src_ip", "dst_ip", "agent_host", "mitre_technique", "event_details", "logon_type"]
 _F = ["id", "src_ip", "dst_ip", "dst_port", "mitre_technique", "event_details", "sent_bytes"]
 
+#: Incident columns of the pair rules that tell little, with the last of ``_W`` and of ``_F`` that they are made of.
+_TOLD = {
+    "incident_key": ("agent_host", "src_ip"), "incident_type": ("id", "id"), "severity": ("id", "id"), "confidence": ("id", "id"),
+    "affected_host": ("agent_host", "id"), "affected_ip": ("src_ip", "src_ip"), "mitre_techniques": ("mitre_technique", "mitre_technique"),
+    "window_start": ("id", "id"), "window_end": ("id", "id"), "source_count": ("id", "id"),
+}
+
 C2 = "C2_BEACON_CONFIRMED"
 EXFIL = "CRED_DUMP_THEN_EXFIL"
 LATERAL = "LATERAL_MOVEMENT_CONFIRMED"
@@ -182,6 +189,7 @@ def pair_incidents(
     as_of: dt.datetime | None = None,
     mode: str = "intent",
     salt: int = 1,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Incidents of the rules that need an endpoint and a firewall row: one for each rule and endpoint row.
 
@@ -189,9 +197,11 @@ def pair_incidents(
     same instant), the others are counted; all of them are rows of
     :func:`pair_matches`.  No pair is made here: a sweep over sorted times
     counts them, so busy addresses cost a sort.  ``salt`` is for
-    :func:`pair_matches` and changes nothing here.
+    :func:`pair_matches` and changes nothing here.  ``columns`` are those of the
+    incidents that are asked for (all by default); rows carry no more than these need.
     """
     rules = rules or PAIR_RULES
+    columns = columns or INCIDENT_COLUMNS
     w, f = _endpoint_side(endpoint, rules, as_of), _firewall_side(firewall, rules, as_of, mode)
 
     def watch(rule: str, key: Column, peer: Column) -> Column:
@@ -210,7 +220,10 @@ def pair_incidents(
             some = F.concat(*[F.transform(keys, lambda k: watch(C2, k, peer)) for peer in (none, F.col("w_dst_ip"))])
         return F.when(F.col(f"__w{i}"), some).otherwise(F.slice(some, 1, 0))
 
-    own = ["ts", *["w_" + c for c in _W if c != "id"]]
+    # The smallest row is told, so what it is told by is cut at its end only.
+    w_told, f_told = (
+        names[: max(names.index(_TOLD[c][i]) if c in _TOLD else len(names) for c in columns) + 1] for i, names in enumerate((_W, _F)))
+    own = ["ts", *["w_" + c for c in w_told if c != "id"]]
     probes = w.withColumn("us", micros("ts")).select(
         "w_id", F.struct(*own).alias("told"), F.explode(F.concat(*[watches(i, r) for i, r in enumerate(rules)])).alias("p")
     ).select(F.struct("p.kind", "w_id").alias("probe"), "told", "p.*")
@@ -224,13 +237,14 @@ def pair_incidents(
         return F.when(F.col(f"__f{i}"), F.struct(F.lit(rule).alias("kind"), peer.alias("peer")))
 
     points = f.select(
-        "key", micros("ts").alias("us"), F.struct(*["f_" + c for c in _F]).alias("told"),
+        "key", micros("ts").alias("us"), F.struct(*["f_" + c for c in f_told]).alias("told"),
         F.explode(F.array_compact(F.array(*[seen(i, r) for i, r in enumerate(rules)]))).alias("p"),
     ).select("p.*", "key", "us", "told", F.lit(1).cast("bigint").alias("n")).where(F.col("peer").isNotNull())
     found = within_reach(probes, points, ["kind", "key", "peer"]).select(
         "probe.*", F.col("told.ts").alias("left_ts"), *["told." + c for c in own[1:]], F.timestamp_micros("first_us").alias("right_ts"),
         "first.*", F.col("n").alias("matches"), F.timestamp_micros("last_us").alias("last_ts"))
-    return _pair_output(found, F.col("w_id"))
+    absent = [F.lit(None).cast("string").alias(c) for c in ["w_" + c for c in _W] + ["f_" + c for c in _F] if c not in found.columns]
+    return _pair_output(found.select("*", *absent), F.col("w_id")).select(*columns)
 
 
 def pair_matches(

@@ -37,3 +37,34 @@ def test_a_cell_is_sorted_once(spark):
         (0, 5, 10, "z", 40), (1, 3, 30, None, 30), (3, 10, 10, "z", 400_000_000)]
     orders = set(re.findall(r"us#\d+L? (ASC|DESC)", "\n".join(line for line in _plan(found).splitlines() if "Window [" in line)))
     assert orders == {"ASC"}
+
+
+def test_incidents_tell_what_is_asked_for(spark):
+    details = F.concat(F.lit("told "), F.col("id").cast("string"))
+    common = [F.timestamp_seconds(F.col("id") % 900).alias("ts"), F.lit("h").alias("agent_host"), details.alias("event_details")]
+    rows = spark.range(60).unionAll(spark.range(30)).withColumn("src_ip", F.concat(F.lit("10.0.0."), (F.col("id") % 3).cast("string")))
+    ids = F.when(F.col("id") % 7 > 0, F.col("id") % 20).alias("id")  # repeated and absent
+    endpoint = rows.select(ids, "src_ip", F.lit("x").alias("dst_ip"), *common, F.lit("T1003,T1571").alias("mitre_technique"),
+                           F.when(F.col("id") % 2 == 0, "4624").otherwise("1").alias("event_id"), F.lit("3").alias("logon_type"))
+    firewall = rows.select(ids, "src_ip", F.lit("x").alias("dst_ip"), *common, F.lit("T1").alias("mitre_technique"), F.lit("22").alias("dst_port"),
+                           F.when(F.col("id") % 2 == 0, "ALLOW").otherwise("DROP").alias("action"), F.lit("20000000").alias("sent_bytes"))
+    whole = C.pair_incidents(endpoint, firewall).cache()
+    assert whole.select("incident_type").distinct().count() == 4 and whole.columns == C.INCIDENT_COLUMNS
+    small = ["incident_type", "affected_ip", "window_start"]
+    for columns in (small, ["incident_key", "affected_host", "mitre_techniques", "window_end"]):
+        asked = C.pair_incidents(endpoint, firewall, columns=columns)
+        assert asked.columns == columns and sorted(asked.collect()) == sorted(whole.select(*columns).collect())
+    assert "told " not in _plan(C.pair_incidents(endpoint, firewall, columns=small)) and "told " in _plan(C.pair_incidents(endpoint, firewall))
+
+
+def test_alerts_of_pass_rows_are_looked_for_once(spark):
+    from logwarden.plans.windowing import correlate_pass_rows
+    from tests.conftest import SF
+
+    plan = [re.sub(r"#\d+L?", "", line.lstrip(" :+-")) for line in _plan(correlate_pass_rows(spark, SF)).splitlines()]
+    read = set()
+    for i, line in enumerate(plan):
+        if line.startswith("Aggregate") and "min_by(struct(ts" in line:
+            end = next(j for j in range(i, len(plan)) if "Relation [" in plan[j])
+            read.add("\n".join(plan[i + 1 : end + 1]))
+    assert len(read) == 2  # both uses of the alerts of a source read the same rows in the same way
